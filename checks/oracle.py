@@ -103,17 +103,17 @@ def filled(attrs="b", means_from="m"):
     return ", ".join(f"coalesce(CAST({attrs}.{a} AS DOUBLE), {means_from}.m{i}) AS f{i}" for i, a in enumerate(ATTRIBUTE_NAMES))
 
 
-LENGTH = f"CASE WHEN ({total(lambda i: f'f{i} * f{i}')}) = 0 THEN 1e0 ELSE sqrt({total(lambda i: f'f{i} * f{i}')}) END AS len"
+LENGTH = f"sqrt(greatest({total(lambda i: f'f{i} * f{i}')}, 1e-300)) AS len"
 
 
 def weighted_mean(weight):
     return ", ".join(
-        f"CASE WHEN sum({weight}) > 0 THEN CAST(sum(CAST(floor({weight} * (f{i} / len) * 1e12 + 0.5e0) AS BIGINT)) "
+        f"CASE WHEN sum({weight}) > 0 THEN CAST(sum(CAST(floor(f{i} * ({weight} / len) * 1e12 + 0.5e0) AS BIGINT)) "
         f"AS DOUBLE) / (sum({weight}) * 1e12) END AS u{i}" for i in range(N))
 
 
-SCORE = ("floor((" + total(lambda i: f"f{i} / len * (u{i} * {float(ATTRIBUTES[i][2])}e0)")
-         + ") * 1e12 + 0.5e0) / 1e12")
+SCORE = ("floor((" + total(lambda i: f"f{i} * (u{i} * {float(ATTRIBUTES[i][2])}e0)")
+         + ") / len * 1e12 + 0.5e0) / 1e12")
 
 
 def bin_ctes(scored, prefix="", by="query_id", value="similarity"):

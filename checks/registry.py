@@ -15,7 +15,7 @@ from placerank.plans import (
     Query, clean_business, clean_checkin, clean_review, clean_tip, clean_user, recommend, recommend_batch,
     recommend_json,
 )
-from placerank.plans import batch, recommend as single
+from placerank.plans import batch, single
 from . import fixtures as fx
 from . import oracle as o
 from .oracle import with_ctes
@@ -392,7 +392,7 @@ def expand_categories(spark, sf):
 
 
 @query("""SELECT DISTINCT p_type || '/' || w AS term FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS w FROM part)
-    UNION SELECT DISTINCT lower(p_type) FROM part""")
+    UNION SELECT DISTINCT lower(p_type) FROM part WHERE lower(p_type) NOT IN (SELECT word FROM vocabulary)""")
 def reject_oov_terms(spark, sf):
     part = fx.table(spark, sf, "part").withColumn("w", F.explode(F.split("p_name", " ")))
     terms = part.select(F.explode(F.array("w", F.concat_ws("/", "p_type", "w"), F.lower("p_type"))).alias("term")).distinct()
@@ -512,7 +512,7 @@ def describe_category_size(spark, sf):
 
 
 @query(" UNION ALL ".join(
-    f"SELECT 'compliment_{a}' AS left, 'compliment_{b}' AS right, round(corr(compliment_{a}, compliment_{b}), 6) AS correlation FROM user_raw"
+    f"SELECT 'compliment_{a}' AS left, 'compliment_{b}' AS right, {1.0 if a == b else f"CASE WHEN stddev_pop(compliment_{a}) * stddev_pop(compliment_{b}) > 0 THEN round(covar_pop(compliment_{a}, compliment_{b}) / (stddev_pop(compliment_{a}) * stddev_pop(compliment_{b})), 6) END"} AS correlation FROM user_raw"
     for a in COMPLIMENTS for b in COMPLIMENTS))
 def correlation_matrix(spark, sf):
     user = fx.user_raw(spark, sf)

@@ -72,31 +72,23 @@ def point_cells(lat: Column, lon: Column) -> Column:
 
 
 def circle_level(lat: Column, radius_km: Column) -> Column:
+    """The grid level of a circle. The cells of any level would do; this one keeps them few."""
     dlat, dlon = box_half_widths(lat, radius_km)
-    half = F.greatest(dlat, dlon)
-    level = F.lit(len(CELL_EDGES) - 1)
-    for i in reversed(range(len(CELL_EDGES) - 1)):
-        level = F.when(half <= CELL_EDGES[i], i).otherwise(level)
-    return level
+    level = F.ceil(F.log2(F.greatest(dlat, dlon) / CELL_EDGES[0]) / 2)
+    return F.least(F.greatest(level, F.lit(0)), F.lit(len(CELL_EDGES) - 1)).cast("int")
 
 
-def circle_cells(lat: Column, lon: Column, radius_km: Column) -> Column:
-    """The names of the cells, on the circle's own level, that its box meets (date line included)."""
+def circle_cells(lat: Column, lon: Column, radius_km: Column, level: Column) -> Column:
+    """The names of the cells of a level that the box of a circle meets (date line included)."""
     dlat, dlon = box_half_widths(lat, radius_km)
-    level = circle_level(lat, radius_km)
-    edge = F.lit(CELL_EDGES[0]) * F.pow(F.lit(4.0), level.cast("double"))
-
-    def span(low: Column, high: Column) -> Column:
-        return F.sequence(F.floor(low / edge), F.floor(high / edge))
-
-    west, east = lon - dlon, lon + dlon
-    everywhere = dlon >= 180.0
-    none = F.array().cast("array<bigint>")
-    columns = F.array_distinct(F.concat(
-        F.when(everywhere, span(F.lit(-180.0), F.lit(180.0))).otherwise(
-            span(F.greatest(west, F.lit(-180.0)), F.least(east, F.lit(180.0)))),
-        F.when(~everywhere & (west < -180), span(west + 360, F.lit(180.0))).otherwise(none),
-        F.when(~everywhere & (east > 180), span(F.lit(-180.0), east - 360)).otherwise(none),
-    ))
-    rows = span(F.greatest(lat - dlat, F.lit(-90.0)), F.least(lat + dlat, F.lit(90.0)))
-    return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: cell_name(level, r, c))))
+    edge = F.get(F.array(*[F.lit(e) for e in CELL_EDGES]), level)
+    # A box over the date line goes on at the other side: the same longitudes 360 degrees away.
+    shifted = F.transform(F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0)), lambda s: F.struct(
+        F.greatest(lon - dlon + s, F.lit(-180.0)).alias("west"), F.least(lon + dlon + s, F.lit(180.0)).alias("east")))
+    spans = F.transform(
+        F.filter(shifted, lambda s: s["west"] <= s["east"]),
+        lambda s: F.sequence(F.floor(s["west"] / edge), F.floor(s["east"] / edge)))
+    rows = F.sequence(
+        F.floor(F.greatest(lat - dlat, F.lit(-90.0)) / edge), F.floor(F.least(lat + dlat, F.lit(90.0)) / edge))
+    return F.flatten(F.transform(
+        rows, lambda r: F.transform(F.array_distinct(F.flatten(spans)), lambda c: cell_name(level, r, c))))

@@ -22,7 +22,7 @@ def pack_attributes() -> Column:
 
 
 def elements(vector: Column) -> list[Column]:
-    return [vector[i] for i in range(WIDTH)]
+    return [F.get(vector, F.lit(i)) for i in range(WIDTH)]
 
 
 def fill(attrs: Column, means: Column) -> Column:
@@ -41,9 +41,8 @@ def total(terms: list[Column]) -> Column:
 
 
 def norm(vector: Column) -> Column:
-    """Length of a vector, 1 for the zero vector so that dividing by it keeps the zeros."""
-    length = F.sqrt(total([x * x for x in elements(vector)]))
-    return F.when(length == 0, 1.0).otherwise(length)
+    """Length of a vector; never 0, so that dividing the zero vector by it keeps the zeros."""
+    return F.sqrt(F.greatest(total([x * x for x in elements(vector)]), F.lit(1e-300)))
 
 
 def on_grid(value: Column) -> Column:
@@ -54,14 +53,13 @@ def on_grid(value: Column) -> Column:
 def weighted_dot(vector: Column, length: Column, preference: Column) -> Column:
     """Importance-weighted dot product of a unit vector (given unscaled with its length) and a
     preference vector, on the 1e-12 grid."""
-    terms = [b / length * (u * w) for b, u, w in zip(elements(vector), elements(preference), IMPORTANCE)]
-    return on_grid(total(terms)) / GRID
+    terms = [b * (u * w) for b, u, w in zip(elements(vector), elements(preference), IMPORTANCE)]
+    return on_grid(total(terms) / length) / GRID
 
 
 def mean_vector(vector: str, length: str, weight: Column) -> Column:
     """Aggregate: sum(w * v) / sum(w) over unit vectors; NULL when the weights add up to 0."""
     weights = F.sum(weight)
-    sums = [
-        F.sum(on_grid(weight * (x / F.col(length))).cast("decimal(20,0)")) for x in elements(F.col(vector))
-    ]
+    scale = weight / F.col(length)
+    sums = [F.sum(on_grid(x * scale).cast("decimal(20,0)")) for x in elements(F.col(vector))]
     return F.when(weights > 0, F.array(*[s.cast("double") / (weights * GRID) for s in sums]))

@@ -51,7 +51,7 @@ def _block_neighbours(terms: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     """The best k words of one block of words, for each term of one block of terms."""
     if terms.empty or words.empty:
         return pd.DataFrame({"term": [], "word": [], "cosine": [], "k": []})
-    cosines = np.round(_matrix(terms["vector"]) @ _matrix(words["vector"]).T, 9)
+    cosines = np.round(_matrix(terms["term_vector"]) @ _matrix(words["vector"]).T, 9)
     names = words["word"].to_numpy()
     order_by_name = np.argsort(np.argsort(names))
     kept = []
@@ -81,7 +81,7 @@ def nearest_words(terms: DataFrame, vectors: DataFrame) -> DataFrame:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
 
     left = (
-        terms.join(vectors.withColumnRenamed("word", "term"), "term")
+        terms.join(vectors.select(F.col("word").alias("term"), F.col("vector").alias("term_vector")), "term")
         .withColumn("i", own("term", term_blocks)).withColumn("j", every(word_blocks))
     )
     right = vectors.withColumn("j", own("word", word_blocks)).withColumn("i", every(term_blocks))

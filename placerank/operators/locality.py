@@ -43,17 +43,20 @@ def in_locality(business: DataFrame, locality: tuple) -> DataFrame:
     raise ValueError(f"Unknown locality mode: {locality[0]}")
 
 
-def query_places(queries: DataFrame) -> DataFrame:
-    """One row per query and place key: its state, its city, or the up to nine cells of its circle."""
+def place_keys(queries: DataFrame) -> DataFrame:
+    """Queries with the kind and names of their places: the state, the city, or the up to nine cells
+    of the circle."""
     mode = F.lower("locality_mode")
-    level = geo.circle_level(F.col("latitude"), F.col("radius_km"))
+    level = F.when(mode == "radial", geo.circle_level(F.col("latitude"), F.col("radius_km")))
+    leveled = queries.withColumn("_level", level)
     places = (
         F.when(mode == "state", F.array(F.concat(F.lit("state:"), F.col("state"))))
         .when(mode == "city", F.array(F.concat(F.lit("city:"), F.col("city"))))
-        .when(mode == "radial", geo.circle_cells(F.col("latitude"), F.col("longitude"), F.col("radius_km")))
+        .when(mode == "radial", geo.circle_cells(
+            F.col("latitude"), F.col("longitude"), F.col("radius_km"), F.col("_level")))
     )
-    kind = F.when(mode == "radial", F.concat(F.lit("cell"), level.cast("string"))).otherwise(mode)
-    return queries.withColumn("kind", kind).withColumn("place", F.explode(places))
+    kind = F.when(mode == "radial", F.concat(F.lit("cell"), F.col("_level").cast("string"))).otherwise(mode)
+    return leveled.withColumns({"kind": kind, "places": places}).drop("_level")
 
 
 def business_places(business: DataFrame, queried: DataFrame) -> DataFrame:
@@ -67,13 +70,7 @@ def business_places(business: DataFrame, queried: DataFrame) -> DataFrame:
         ),
         geo.point_cells(F.col("latitude"), F.col("longitude")),
     )
-    return (
-        business.withColumn("_key", F.explode(keys))
-        .withColumn("kind", F.col("_key.kind"))
-        .withColumn("place", F.col("_key.place"))
-        .drop("_key")
-        .join(kinds, "kind", "left_semi")
-    )
+    return business.select("*", F.inline(keys)).join(kinds, "kind", "left_semi")
 
 
 def within_query_circle(latitude: str = "latitude", longitude: str = "longitude",
@@ -85,10 +82,8 @@ def within_query_circle(latitude: str = "latitude", longitude: str = "longitude"
 
 def radial_join(queries: DataFrame, business: DataFrame, per_task: int | None = None) -> DataFrame:
     """(query_id, business_id, distance_km) for every business inside a query's circle."""
-    circles = query_places(queries.filter(F.lower("locality_mode") == "radial").select(
-        "query_id", "locality_mode", "state", "city", "latitude", "longitude", "radius_km"))
-    circles = circles.select(
-        "query_id", "kind", "place", "radius_km",
+    circles = place_keys(queries.filter(F.lower("locality_mode") == "radial")).select(
+        "query_id", "kind", F.explode("places").alias("place"), "radius_km",
         F.col("latitude").alias("query_latitude"), F.col("longitude").alias("query_longitude"))
     points = business_places(business.select("business_id", "state", "city", "latitude", "longitude"), circles)
     distance = geo.haversine(

@@ -1,7 +1,7 @@
 """Profiling aggregates: nulls, distinct values, correlations, descriptions."""
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -41,14 +41,24 @@ def columns_equal(df: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of all column pairs as (left, right, correlation), in one pass."""
-    pairs = [(a, b) for a in columns for b in columns]
-    upper = list(combinations_with_replacement(columns, 2))
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in upper])
-    found = {p: f"{p[0]}|{p[1]}" for p in upper} | {(b, a): f"{a}|{b}" for a, b in upper}
+    """Pearson correlation of all column pairs as (left, right, correlation), in one pass; NULL beside
+    a column without variance."""
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    row = numbers.agg(
+        *[F.stddev_pop(c).alias(f"sd|{c}") for c in columns],
+        *[F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in combinations(columns, 2)],
+    )
+
+    def correlation(a: str, b: str) -> Column:
+        if a == b:
+            return F.lit(1.0)
+        first, second = sorted((a, b), key=list(columns).index)
+        spread = F.col(f"sd|{a}") * F.col(f"sd|{b}")
+        return F.when(spread > 0, F.col(f"{first}|{second}") / spread)
+
     return row.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(found[a, b]).alias("correlation"))
-        for a, b in pairs
+        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), correlation(a, b).alias("correlation"))
+        for a in columns for b in columns
     ])).alias("cell")).select("cell.*")
 
 

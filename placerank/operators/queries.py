@@ -18,7 +18,7 @@ def _tokens(raw: Column) -> Column:
     """Category names from a JSON list or a comma-separated text: trimmed, empty ones left out."""
     listed = F.from_json(F.when(F.startswith(F.ltrim(raw), F.lit("[")), raw), "array<string>")
     names = F.coalesce(listed, F.split(raw, ","))
-    return F.filter(F.transform(names, F.trim), lambda c: c != "")
+    return F.filter(F.transform(names, lambda c: F.trim(c)), lambda c: c != "")
 
 
 def normalize_requests(requests: DataFrame) -> DataFrame:

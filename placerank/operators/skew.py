@@ -1,9 +1,13 @@
 """Joins whose hot keys are split over many tasks."""
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAIRS_PER_TASK = 20_000_000
 ROWS_PER_TASK = 2_000_000
@@ -12,38 +16,38 @@ MAX_HOT_KEYS = 1000
 _BIG, _SMALL = "_big_part", "_small_part"
 
 
-def _hot_keys(big: DataFrame, small: DataFrame | None, keys: list[str], per_task: int) -> DataFrame:
-    """At most MAX_HOT_KEYS keys with the number of parts to cut either side into. Counts are exact
-    (partially aggregated before their shuffle) and ties are ordered by key, so the table is the same
-    however often it is computed. A key beyond the limit holds under 1/MAX_HOT_KEYS of the work and
-    goes through the ordinary shuffle join."""
-    not_null = [F.col(k).isNotNull() for k in keys]
-    counts = big.filter(_all(not_null)).groupBy(*keys).agg(F.count("*").alias("_b"))
+def _hot_keys(big: DataFrame, small: DataFrame | None, keys: list[str], per_task: int) -> DataFrame | None:
+    """At most MAX_HOT_KEYS keys with the number of parts to cut either side into; None when no key
+    needs cutting, so that ordinary data gets an ordinary join. Counts are exact and partially
+    aggregated before their shuffle; the bounded result is fixed before the join is planned, so both
+    sides agree on it also when tasks are run again. A key beyond the limit holds under
+    1/MAX_HOT_KEYS of the work and goes through the shuffle join whole."""
+    not_null = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    counts = big.filter(not_null).groupBy(*keys).agg(F.count("*").alias("_b"))
     if small is None:
         counts = counts.withColumn("_s", F.lit(1).cast("bigint"))
     else:
-        counts = counts.join(
-            small.filter(_all(not_null)).groupBy(*keys).agg(F.count("*").alias("_s")), keys
-        )
-    tasks = F.ceil(F.col("_b").cast("double") * F.col("_s") / per_task).cast("double")
-    small_parts = F.lit(1).cast("bigint") if small is None else F.least(
-        F.col("_s"), F.greatest(F.lit(1), F.ceil(F.sqrt(tasks * F.col("_s") / F.col("_b"))))
-    )
-    return (
-        counts.filter(tasks > 1)
-        .withColumn(_SMALL, small_parts)
-        .withColumn(_BIG, F.least(F.col("_b"), F.greatest(F.lit(1), F.ceil(tasks / F.col(_SMALL)))))
-        .orderBy((F.col("_b").cast("double") * F.col("_s")).desc(), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, _BIG, _SMALL)
+        counts = counts.join(small.filter(not_null).groupBy(*keys).agg(F.count("*").alias("_s")), keys)
+    work = F.col("_b").cast("double") * F.col("_s")
+    hot = (
+        counts.withColumn("_work", work).filter(F.col("_work") > per_task)
+        .orderBy(F.desc("_work"), *keys).limit(MAX_HOT_KEYS).collect()
     )
+    if not hot:
+        return None
+    rows = [tuple(r[k] for k in keys) + _parts(r["_b"], r["_s"], per_task) for r in hot]
+    schema = T.StructType(
+        [T.StructField(k, big.schema[k].dataType) for k in keys]
+        + [T.StructField(_BIG, T.LongType()), T.StructField(_SMALL, T.LongType())])
+    return big.sparkSession.createDataFrame(rows, schema)
 
 
-def _all(conditions: list[Column]) -> Column:
-    result = conditions[0]
-    for c in conditions[1:]:
-        result = result & c
-    return result
+def _parts(big_rows: int, small_rows: int, per_task: int) -> tuple[int, int]:
+    """How many parts to cut either side into: enough tiles for the work, shaped so that little is
+    repeated, and never more parts than rows."""
+    tiles = math.ceil(big_rows * small_rows / per_task)
+    small_parts = min(small_rows, max(1, math.ceil(math.sqrt(tiles * small_rows / big_rows))))
+    return min(big_rows, max(1, math.ceil(tiles / small_parts))), small_parts
 
 
 def _own_part(spread_by: Sequence[str], parts: str) -> Column:
@@ -70,7 +74,10 @@ def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by
     if both and how != "inner":
         raise ValueError("only inner joins can repeat the big side")
     per_task = per_task or (PAIRS_PER_TASK if both else ROWS_PER_TASK)
-    hot = F.broadcast(_hot_keys(big, small if both else None, keys, per_task))
+    hot = _hot_keys(big, small if both else None, keys, per_task)
+    if hot is None:
+        return big.join(small, keys, how)
+    hot = F.broadcast(hot)
     left = big.join(hot, keys, "left").withColumn("_i", _own_part(spread_by, _BIG))
     right = small.join(hot, keys, "left").withColumn("_i", _every_part(_BIG))
     joined_on = keys + ["_i"]

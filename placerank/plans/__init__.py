@@ -1,3 +1,3 @@
 from .batch import recommend_batch
 from .clean import clean_business, clean_checkin, clean_review, clean_tip, clean_user
-from .recommend import Query, recommend, recommend_json
+from .single import Query, recommend, recommend_json

@@ -66,7 +66,7 @@ def bases(resolved: DataFrame) -> DataFrame:
     base = resolved.groupBy("base_key").agg(*[F.min_by(c, "query_id").alias(c) for c in columns])
     fields = ["variant_id", "n", *_VARIANT[1:]]
     listed = variants(resolved).groupBy("base_key").agg(F.collect_list(F.struct(*fields)).alias("variants"))
-    return base.join(listed, "base_key")
+    return locality.place_keys(base.join(listed, "base_key"))
 
 
 def rated_in_pools(base: DataFrame, rated: DataFrame, per_task: int | None = None) -> DataFrame:
@@ -82,17 +82,17 @@ def rated_in_pools(base: DataFrame, rated: DataFrame, per_task: int | None = Non
 def user_preferences(base: DataFrame, rated: DataFrame, per_task: int | None = None) -> DataFrame:
     """(user_id, pool_key, preference), imputed among the user's own businesses of the pool."""
     pairs = ["user_id", "pool_key"]
-    history = rated_in_pools(base, rated, per_task)
+    history = materialize(rated_in_pools(base, rated, per_task), "history")
     return preference.preference_vectors(
         preference.business_vectors(history, pairs, per_task=per_task), pairs)
 
 
 def candidates(base: DataFrame, packed: DataFrame, per_task: int | None = None) -> DataFrame:
     """Open businesses in each base's locality and categories, with filled vector and length. `base`
-    has base_key, terms, means and locality; its other columns come along."""
+    has base_key, terms, means and places; its other columns come along."""
     renamed = base.withColumnsRenamed({"latitude": "query_latitude", "longitude": "query_longitude"})
-    placed = locality.query_places(base.select("base_key", *_LOCALITY)).select("base_key", "kind", "place")
-    placed = placed.join(renamed.drop("state", "city"), "base_key").withColumn("term", F.explode("terms"))
+    placed = renamed.withColumn("place", F.explode("places")).withColumn("term", F.explode("terms")).drop(
+        "state", "city", "places")
     points = locality.business_places(packed.filter("is_open").drop("is_open"), placed).select(
         "place", "business_id", "latitude", "longitude", "categories", "quality", "attrs", "hours",
         F.explode(F.array_distinct("categories")).alias("term"))
