@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 PAIRS_PER_TASK = 20_000_000
 ROWS_PER_TASK = 2_000_000
 MAX_HOT_KEYS = 1000
+# A big side that the optimizer puts below this size is not worth a counting pass for a lookup join.
+SMALL_BYTES = 32 << 20
 
 _BIG, _SMALL = "_big_part", "_small_part"
 
@@ -50,6 +52,10 @@ def _parts(big_rows: int, small_rows: int, per_task: int) -> tuple[int, int]:
     return min(big_rows, max(1, math.ceil(tiles / small_parts))), small_parts
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def _own_part(spread_by: Sequence[str], parts: str) -> Column:
     return F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col(parts), F.lit(1)))
 
@@ -73,6 +79,8 @@ def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by
     both = spread_small_by is not None
     if both and how != "inner":
         raise ValueError("only inner joins can repeat the big side")
+    if not both and per_task is None and _estimated_bytes(big) <= SMALL_BYTES:
+        return big.join(small, keys, how)
     per_task = per_task or (PAIRS_PER_TASK if both else ROWS_PER_TASK)
     hot = _hot_keys(big, small if both else None, keys, per_task)
     if hot is None:

@@ -96,8 +96,10 @@ def candidates(base: DataFrame, packed: DataFrame, per_task: int | None = None)
     points = locality.business_places(packed.filter("is_open").drop("is_open"), placed).select(
         "place", "business_id", "latitude", "longitude", "categories", "quality", "attrs", "hours",
         F.explode(F.array_distinct("categories")).alias("term"))
-    joined = spread_join(points, placed.drop("kind"), ["place", "term"], ["business_id"], ["base_key"],
-                         per_task=per_task)
+    # Few query rows fan out into many pairs: their number of tasks must not follow their size.
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.drop("kind").repartition(tasks, "place", "term")
+    joined = spread_join(points, placed, ["place", "term"], ["business_id"], ["base_key"], per_task=per_task)
     hit = joined.filter(
         is_first_match(F.col("categories"), F.col("terms"), F.col("term")) & locality.within_query_circle())
     return preference.unit_vectors(hit.drop("categories", "terms", "term", "place", "latitude", "longitude"))
@@ -158,7 +160,8 @@ def recommend_batch(queries: DataFrame, business: DataFrame, reviews: DataFrame,
         preference.latest_stars(mine), packed.select("business_id", "categories", "attrs"), per_task), "rated")
     ready = materialize(prepare(resolved, packed, rated, per_task), "ready")
     scored = materialize(score(ready, packed, rated, per_task), "scored")
-    best = ranking.top_n(ranking.similarity_bins(scored, per_task=per_task)).drop("n", "quality")
+    best = materialize(
+        ranking.top_n(ranking.similarity_bins(scored, per_task=per_task)).drop("n", "quality"), "best")
     return present(best, resolved, business, travel_times, per_task), rejects
 
 

@@ -2,10 +2,12 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 _local_root: dict[str, str] = {}
 
 
@@ -22,10 +24,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/placerank/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def compilable_methods(spark: SparkSession):
+    """While jobs run inside, stages whose generated method would exceed the 8000 bytes that the JVM
+    compiles are split into smaller methods instead. Unrolled vector arithmetic needs that."""
+    before = spark.conf.get(_METHOD_LIMIT)
+    spark.conf.set(_METHOD_LIMIT, 8000)
+    try:
+        yield
+    finally:
+        spark.conf.set(_METHOD_LIMIT, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: short lineage that outlives an
     executor, columnar re-reads and real size statistics for the joins that follow."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with compilable_methods(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
