@@ -512,7 +512,7 @@ def describe_category_size(spark, sf):
 
 
 @query(" UNION ALL ".join(
-    f"SELECT 'compliment_{a}' AS left, 'compliment_{b}' AS right, {1.0 if a == b else f"CASE WHEN stddev_pop(compliment_{a}) * stddev_pop(compliment_{b}) > 0 THEN round(covar_pop(compliment_{a}, compliment_{b}) / (stddev_pop(compliment_{a}) * stddev_pop(compliment_{b})), 6) END"} AS correlation FROM user_raw"
+    f"SELECT 'compliment_{a}' AS left, 'compliment_{b}' AS right, {"max(1e0)" if a == b else f"CASE WHEN stddev_pop(compliment_{a}) * stddev_pop(compliment_{b}) > 0 THEN round(covar_pop(compliment_{a}, compliment_{b}) / (stddev_pop(compliment_{a}) * stddev_pop(compliment_{b})), 6) END"} AS correlation FROM user_raw"
     for a in COMPLIMENTS for b in COMPLIMENTS))
 def correlation_matrix(spark, sf):
     user = fx.user_raw(spark, sf)
@@ -908,6 +908,10 @@ def user_businesses(spark, sf):
         "user_id", "business_id", F.col("user_stars").cast("double"), "name", F.array_join("categories", "|").alias("categories"))
 
 
+def _stored(df, name):
+    return sources.materialize(df, name)
+
+
 def _single_query(mode=("radial", fx.HOME, 35), terms=("red", "PROMO")):
     return Query("u7", mode, list(terms), "Friday", 1260)
 
@@ -943,7 +947,7 @@ _SHOWN = "b.name, b.address, b.city, CAST(b.stars AS DOUBLE) AS stars, b.review_
        "FROM business) b JOIN top t ON t.business_id = b.business_id WHERE t.rank <= 10", **_SINGLE)
 def recommend_(spark, sf):
     found = recommend(
-        fx.business(spark, sf), fx.review(spark, sf), _single_query(), n=10, detail=True, trip_duration=True,
+        _stored(fx.business(spark, sf), "business"), fx.review(spark, sf), _single_query(), n=10, detail=True, trip_duration=True,
         travel_times=fx.travel_times(spark, sf))
     return found.withColumns({"stars": F.col("stars").cast("double"), "categories": text.categories_text(F.col("categories"))})
 
@@ -952,7 +956,7 @@ def recommend_(spark, sf):
     '","city":"' || city || '","review_count":' || review_count || ',"stars":' || CAST(CAST(stars AS DOUBLE) AS VARCHAR) || '}' AS result
     FROM business b JOIN top t ON t.business_id = b.business_id WHERE t.rank <= 5""", **_SINGLE)
 def recommend_json_(spark, sf):
-    found = recommend_json(fx.business(spark, sf), fx.review(spark, sf), _single_query())
+    found = recommend_json(_stored(fx.business(spark, sf), "business"), fx.review(spark, sf), _single_query())
     return found.select(F.regexp_replace("result", r',"latitude":[-0-9.]+,"longitude":[-0-9.]+', "").alias("result"))
 
 
@@ -968,7 +972,8 @@ _BATCH_SQL = """SELECT t.query_id, t.rank, t.business_id, b.name, b.address, b.c
 
 
 def _batch(spark, sf, asked, word_vectors=None):
-    results, _ = recommend_batch(asked, fx.business(spark, sf), fx.review(spark, sf), word_vectors)
+    results, _ = recommend_batch(
+        asked, _stored(fx.business(spark, sf), "business"), fx.review(spark, sf), word_vectors)
     return results.withColumns({
         "stars": F.col("stars").cast("double"), "similarity": F.round("similarity", 9), "rank": F.col("rank").cast("bigint"),
     }).drop("latitude", "longitude")

@@ -11,6 +11,7 @@ from ..functions import hours, text, vectors
 from ..operators import expansion, locality, preference, ranking
 from ..operators.columns import any_category
 from ..operators.trips import add_trip_duration
+from ..sources.shared import materialize
 from .batch import similarity
 
 
@@ -105,7 +106,8 @@ def rank(business: DataFrame, reviews: DataFrame, query: Query, n: int = 5, open
     scored = scored.select(
         F.lit("q").alias("query_id"), "business_id", "name", "address", "city", "stars", "review_count",
         "latitude", "longitude", "categories", "quality", "similarity")
-    return ranking.top_n_single(ranking.similarity_bins(scored), n)
+    # Edges and bins read the scores several times; the pool behind them is computed once.
+    return ranking.top_n_single(ranking.similarity_bins(materialize(scored, "scored")), n)
 
 
 def project_results(results: DataFrame, detail: bool = False, trip_duration: bool = False) -> DataFrame:
