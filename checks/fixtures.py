@@ -112,7 +112,7 @@ def user_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Users with a home: every third has none, every tenth of the nameless gets the default name."""
+    """Users with a home location, except every third, and a name, except every tenth."""
     k = F.expr("cast(substr(user_id, 2) as bigint)")
     return user_raw(spark, sf).withColumns({
         "latitude": F.when(k % 3 != 0, F.lit(27.0) + (k % 10) / 10.0),
