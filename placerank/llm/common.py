@@ -1,8 +1,10 @@
 """Helpers of the corpus operators: tables, stored stages, batches of texts."""
 
+import pickle
 import uuid
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import shared_path
@@ -45,3 +47,12 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def unique_name(prefix: str) -> str:
     return f"{prefix}-{uuid.uuid4().hex}"
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast an object of any class whole, so that executors need no copy of this package; see `shared`."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(broadcast: Broadcast):
+    return pickle.loads(broadcast.value)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, texts
+from .common import fresh, share, shared, stored, texts
 
 WINDOW, SHINGLE, BLOCK_WORDS = 13, 3, 4_000_000
 #: Every ASCII character that is neither digit nor small letter parts words, once A-Z are lower-cased.
@@ -128,7 +128,7 @@ def _numbered(batch: pa.RecordBatch, text_col: str, number: dict[bytes, int]) ->
 
 def _count_shingles(block, text_col: str):
     def count(batches):
-        windows = block.value
+        windows = shared(block)
         total = np.zeros(len(windows.codes), np.int64)
         for batch in batches:
             numbers, _ = _numbered(batch, text_col, windows.number)
@@ -144,7 +144,7 @@ def _join(block, text_col: str, names: dict[str, str]):
     """Adds to each row what the block's windows hit: runs of hit words (start, length) and item ids."""
 
     def join(batches):
-        windows = block.value
+        windows = shared(block)
         for batch in batches:
             numbers, starts = _numbered(batch, text_col, windows.number)
             at, window = windows.matches(numbers, starts)
@@ -197,19 +197,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     asked = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), item.alias("text"))
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // (4 * block_words)))
-    sc, out = spark.sparkContext, docs
+    out = docs
     schema = f"{{}}, `{names['n_words']}` long, `{names['runs']}` array<struct<at:long,n:long>>, `{names['items']}` array<string>"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for k in range(n_blocks):
         rows = asked.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).collect()
         windows = Windows(sorted(((r["item"], bytes(r["text"])) for r in rows), key=lambda x: (str(x[0]), x[1])), window)
         rarity = np.zeros(len(windows.codes), np.int64)
-        block = sc.broadcast(windows)
+        block = share(spark, windows)
         counted = docs.select(text_col).mapInArrow(_count_shingles(block, text_col), "shingle long, n long")
         for r in counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect():
             rarity[r["shingle"]] = r["n"]
         windows.index(rarity)
-        block = sc.broadcast(windows)
+        block = share(spark, windows)
         out = out.mapInArrow(_join(block, text_col, names), schema.format(fields))
         if k + 1 < n_blocks:
             out = stored(out, "contamination")

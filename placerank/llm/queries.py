@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontaminate, token_files, url_filter
+from . import decontaminate, quality, simhash, token_files, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -10,6 +10,14 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -23,7 +31,8 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op8_benchmark_decontamination, op9_token_files, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (
+    op2_simhash, op3_quality_rules, op8_benchmark_decontamination, op9_token_files, op10_url_filter)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
