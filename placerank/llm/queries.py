@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontaminate, ngram_filter, quality, simhash, token_files, url_filter
+from . import decontaminate, ngram_filter, quality, run_dedup, simhash, token_files, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_run_index_dedup(spark, sf_dir):
+    return run_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_filter(spark, sf_dir):
     return ngram_filter.score_texts(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash, op3_quality_rules, op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter)}
+    op2_simhash, op3_quality_rules, op5_run_index_dedup, op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
