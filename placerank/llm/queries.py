@@ -2,9 +2,10 @@
 
 import public_tokenizers
 
-from . import decontaminate, ngram_filter, quality, run_dedup, simhash, token_files, url_filter
+from . import decontaminate, ngram_filter, pii, quality, run_dedup, simhash, token_files, url_filter
 from .common import table
 
+PII_KEY = b"a key for these tables only; give your own"
 TOKENIZER = "byte_bpe_50k.json"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -22,6 +23,10 @@ def op5_run_index_dedup(spark, sf_dir):
     return run_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_pseudonyms(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_ngram_filter(spark, sf_dir):
     return ngram_filter.score_texts(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash, op3_quality_rules, op5_run_index_dedup, op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter)}
+    op2_simhash, op3_quality_rules, op5_run_index_dedup, op6_pii_pseudonyms, op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
