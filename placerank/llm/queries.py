@@ -2,10 +2,11 @@
 
 import public_tokenizers
 
-from . import decontaminate, ngram_filter, pii, quality, run_dedup, simhash, token_files, url_filter
+from . import decontaminate, max_plus, ngram_filter, pii, quality, run_dedup, simhash, token_files, url_filter
 from .common import table
 
 PII_KEY = b"a key for these tables only; give your own"
+PIECES = "piece_bpe_32k.model"
 TOKENIZER = "byte_bpe_50k.json"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -19,6 +20,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_max_plus_pieces(spark, sf_dir):
+    return max_plus.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op5_run_index_dedup(spark, sf_dir):
     return run_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash, op3_quality_rules, op5_run_index_dedup, op6_pii_pseudonyms, op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter)}
+    op2_simhash, op3_quality_rules, op4_max_plus_pieces, op5_run_index_dedup, op6_pii_pseudonyms, op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
