@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontaminate, max_plus, ngram_filter, pii, quality, run_dedup, simhash, token_files, url_filter
+from . import decontaminate, max_plus, ngram_filter, pii, quality, run_dedup, simhash, token_files, tool_calls, url_filter
 from .common import table
 
 PII_KEY = b"a key for these tables only; give your own"
@@ -12,6 +12,10 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_tool_calls(spark, sf_dir):
+    return tool_calls.digest(table(spark, sf_dir, "conversations"))
+
+
 def op2_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -50,11 +54,43 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash, op3_quality_rules, op4_max_plus_pieces, op5_run_index_dedup, op6_pii_pseudonyms, op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter)}
+    op1_tool_calls, op2_simhash, op3_quality_rules, op4_max_plus_pieces, op5_run_index_dedup, op6_pii_pseudonyms, op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_PROMPT = "case when prompt is null then '{' else '{\"prompt\":' || to_json(prompt) || ',' end || '\"turn\":' || turn || '}'"
+
 ORACLE = {
+    "op1_tool_calls": f"""
+        with recursive calls as (
+            select conv_id, turn, conv_id || '-' || turn as call_id, min(text) as prompt, count(*) as n_calls,
+                   case when turn < 2 then 'answer' when turn % 4 < 3 then 'continue' else 'follow' end as name
+            from conversations where role = 'user' group by conv_id, turn),
+        results as (
+            select conv_id, turn, conv_id || '-' || (turn - 1) as call_id, min(text) as content, count(*) as n_results
+            from conversations where role = 'assistant' group by conv_id, turn),
+        chain as (
+            select c.conv_id, c.turn, 0 as level from calls c
+            where not exists (select 1 from calls b where b.conv_id = c.conv_id and b.turn = c.turn - 2)
+            union all
+            select c.conv_id, c.turn, chain.level + 1 from chain join calls c on c.conv_id = chain.conv_id and c.turn = chain.turn + 2),
+        linked as (
+            select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, level,
+                   coalesce(c.turn, r.turn) as turn, name, coalesce(n_calls, 0) as n_calls, coalesce(n_results, 0) as n_results,
+                   prompt, content, c.call_id is null as orphan,
+                   case when c.call_id is null or name = 'follow' then null
+                        when prompt is null then '$.prompt: missing'
+                        when length(prompt) < 1 or name = 'answer' and length(prompt) > 400 then '$.prompt: wrong length'
+                        when name = 'continue' and c.turn > 5 then '$.turn: out of range' end as error
+            from (select * from calls join chain using (conv_id, turn)) c full join results r using (conv_id, call_id))
+        select conv_id, call_id, level, turn, name, n_calls, n_results,
+               case when orphan then 'orphan_result' when name = 'follow' then 'unknown_tool'
+                    when error is not null then 'invalid_arguments' when n_results = 0 then 'missing_result' else 'ok' end as status,
+               error,
+               '{{"arguments":' || case when orphan then '{{}}' else {_PROMPT} end || ',"conversation":' || conv_id
+               || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name), 'null')
+               || ',"result":' || coalesce(to_json(content), 'null') || '}}' as record
+        from linked""",
     "op10_url_filter": f"""
         with rest as (
             select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as r
