@@ -12,7 +12,8 @@ dealt out by the hash of that anchor and equal ones meet:
 5. The answers go back to the chunks, where every string that also starts earlier is marked and removed.
 
 What a range receives from a chunk is distinct, so a passage that fills a third of the corpus is one piece for each
-chunk. Chunks that ask and ranges that answer are both bounded in bytes, and the number of ranges follows the corpus."""
+chunk. Chunks are bounded in bytes, the number of ranges follows that of partitions, and a range builds one index after
+another, each of a bounded size."""
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import power_of_two, stored, texts
+from .common import power_of_two, spread, stored, texts
 from .packing import pack, pack_sorted, unpack, unpack_sorted
 from .run_index import RunIndex
 
-WINDOW, GRAM, CHUNK, RANGE = 100, 40, 4 << 20, 4 << 20
-_BASE, _BLOCK, _LAST = 0x9E3779B97F4A7C15, 1 << 21, (1 << 63) - 1
-_CHUNKS = "chunk long, doc_ids array<long>, sizes array<long>, data binary, n long"
+WINDOW, GRAM, CHUNK, INDEX = 100, 40, 4 << 20, 1 << 20
+_BASE, _BLOCK, _LAST = 0x9E3779B97F4A7C15, 1 << 19, (1 << 63) - 1
+_CHUNKS = "chunk long, doc_ids array<long>, sizes array<long>, data binary"
 _ASKED = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary())])
 _KNOWN = pa.schema([("chunk", pa.int64()), ("region", pa.int64()), ("flags", pa.binary())])
 _PIECES = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary()), ("sizes", pa.binary()),
-                     ("docs", pa.binary()), ("places", pa.binary()), ("starts", pa.binary())])
+                     ("docs", pa.binary()), ("places", pa.binary()), ("starts", pa.binary()), ("keys", pa.binary())])
 _MARKS = pa.schema([("chunk", pa.int64()), ("region", pa.int64()), ("marks", pa.binary()), ("sizes", pa.binary()),
                     ("places", pa.binary()), ("starts", pa.binary())])
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -57,8 +58,8 @@ def _pack_chunks(size: int):
         data = b"".join(t for _, t in docs)
         return pa.RecordBatch.from_arrays([
             pa.array([(part << 32) + nth]), pa.array([[i for i, _ in docs]], pa.list_(pa.int64())),
-            pa.array([[len(t) for _, t in docs]], pa.list_(pa.int64())), pa.array([_squeeze(data)], pa.binary()),
-            pa.array([len(data)])], names=["chunk", "doc_ids", "sizes", "data", "n"])
+            pa.array([[len(t) for _, t in docs]], pa.list_(pa.int64())), pa.array([_squeeze(data)], pa.binary())],
+            names=["chunk", "doc_ids", "sizes", "data"])
 
     def run(batches):
         part, nth, docs, n = TaskContext.get().partitionId(), 0, [], 0
@@ -186,47 +187,58 @@ def _cut(regions: int, window: int, k: int):
                 some = [pieces[i] for i in order[lo:hi]]
                 rows.append({"region": int(region[lo]), "chunk": r["chunk"], "data": _squeeze(b"".join(some)),
                              "sizes": pack(np.fromiter(map(len, some), np.int64, len(some))), "docs": pack(doc[place[lo:hi]]),
-                             "places": pack(place[lo:hi]), "starts": pack(start[lo:hi])})
+                             "places": pack(place[lo:hi]), "starts": pack(start[lo:hi]),
+                             "keys": pack((hashes[head][order][lo:hi] >> np.uint64(8)).astype(np.uint16))})
         return pa.Table.from_pylist(rows, _PIECES)
 
     return run
 
 
-def _mark(window: int):
+def _marks(pieces: list[bytes], order: np.ndarray, window: int) -> np.ndarray:
+    """For each piece a bit for each of its strings that also starts earlier. `order` lists the pieces by place."""
+    index: dict[bytes, int] = {}
+    number = np.empty(len(pieces), np.int64)
+    for i in order.tolist():
+        number[i] = index.setdefault(pieces[i], len(index))
+    distinct = list(index)
+    size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    runs = RunIndex(distinct, window)
+    marks = np.zeros(len(distinct), np.uint64)
+    for done, live, earliest in runs.matching_statistics(distinct):
+        at = size[live] - done
+        again = earliest != runs.starts[live] + at
+        marks[live[again]] |= np.uint64(1) << at[again].astype(np.uint64)
+    # Where a piece is not the first of its kind, all of its strings have been before.
+    out = np.full(len(pieces), (1 << 64) - 1, np.uint64)
+    first = order[np.concatenate(([True], np.maximum.accumulate(number[order])[:-1] < number[order][1:]))]
+    out[first] = marks[number[first]]
+    return out
+
+
+def _mark(window: int, index_bytes: int):
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         if rows[0]["region"] < 0:
             return pa.Table.from_pylist([r | {"marks": None} for r in rows], _MARKS)
-        pieces, origin, keys = [], [], []
-        for i, r in enumerate(rows):
+        pieces, places, keys = [], [], []
+        for r in rows:
             data, sizes = _expand(r["data"]), unpack(r["sizes"], np.int64)
-            ends = np.cumsum(sizes)
-            pieces += [data[b - n:b] for n, b in zip(sizes.tolist(), ends.tolist())]
-            origin.append(np.full(len(sizes), i))
-            keys.append(np.stack([unpack(r["docs"], np.int64), np.full(len(sizes), r["chunk"]),
-                                  unpack(r["places"], np.int64), unpack(r["starts"], np.int64)]))
-        doc, chunk, place, start = np.concatenate(keys, axis=1)
-        order = np.lexsort((start, place, chunk, doc))
-        index: dict[bytes, int] = {}
-        number = np.empty(len(pieces), np.int64)
-        for i in order.tolist():
-            number[i] = index.setdefault(pieces[i], len(index))
-        distinct = list(index)
-        size = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        runs = RunIndex(distinct, window)
-        marks = np.zeros(len(distinct), np.uint64)
-        for done, live, earliest in runs.matching_statistics(distinct):
-            at = size[live] - done
-            again = earliest != runs.starts[live] + at
-            marks[live[again]] |= np.uint64(1) << at[again].astype(np.uint64)
-        # Where a piece is not the first of its kind, all of its strings have been before.
-        out = np.full(len(pieces), (1 << 64) - 1, np.uint64)
-        first = np.ones(len(pieces), bool)
-        first[order] = np.concatenate(([True], np.maximum.accumulate(number[order])[:-1] < number[order][1:]))
-        out[first] = marks[number[first]]
-        edge = np.concatenate(([0], np.cumsum([len(o) for o in origin])))
+            pieces += [data[b - n:b] for n, b in zip(sizes.tolist(), np.cumsum(sizes).tolist())]
+            places.append(np.stack([unpack(r["docs"], np.int64), np.full(len(sizes), r["chunk"]),
+                                    unpack(r["places"], np.int64), unpack(r["starts"], np.int64)]))
+            keys.append(unpack(r["keys"], np.uint16))
+        edge = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        doc, chunk, place, start = np.concatenate(places, axis=1)
+        # One index for about `index_bytes` of pieces: those of an anchor stay together.
+        n = -(-sum(map(len, pieces)) // index_bytes)
+        own = np.concatenate(keys).astype(np.int64) * n >> 16
+        marks = np.empty(len(pieces), np.uint64)
+        for k in np.unique(own):
+            on = np.flatnonzero(own == k)
+            order = np.lexsort((start[on], place[on], chunk[on], doc[on]))
+            marks[on] = _marks([pieces[i] for i in on], order, window)
         return pa.Table.from_pylist([
-            {"chunk": r["chunk"], "region": r["region"], "marks": pack(out[edge[i]:edge[i + 1]])}
+            {"chunk": r["chunk"], "region": r["region"], "marks": pack(marks[edge[i]:edge[i + 1]])}
             for i, r in enumerate(rows)], _MARKS)
 
     return run
@@ -265,7 +277,7 @@ def _remove(window: int):
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK,
-                   range_bytes: int = RANGE) -> DataFrame:
+                   index_bytes: int = INDEX) -> DataFrame:
     """For every row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, spans (start, length of removed runs) and kept.
 
     Every byte inside a string of `window` bytes that also starts earlier is removed: in a document with a smaller id, or in the
@@ -276,13 +288,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chun
         raise ValueError("window must lie between gram and gram + 63")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = stored(rows.mapInArrow(_pack_chunks(chunk), _CHUNKS), "chunks")
-    regions = power_of_two(max(8, (chunks.agg(F.sum("n")).first()[0] or 0) / range_bytes))
+    regions = power_of_two(max(8, spread(docs)))
     asked = chunks.select("chunk", "sizes", "data").mapInArrow(_ask(regions, window, gram), _ddl(_ASKED))
     known = asked.groupBy("region").applyInArrow(lambda t: _tell(t), _ddl(_KNOWN))
-    pieces = chunks.drop("n").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
+    pieces = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
         _cut(regions, window, gram), _ddl(_PIECES))
-    marks = pieces.groupBy("region").applyInArrow(_mark(window), _ddl(_MARKS))
-    return chunks.drop("n").groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(
+    marks = pieces.groupBy("region").applyInArrow(_mark(window, index_bytes), _ddl(_MARKS))
+    return chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(
         _remove(window), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept binary")
 
 

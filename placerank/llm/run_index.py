@@ -5,8 +5,9 @@ import numpy as np
 _END = 0
 
 
-def suffix_order(text: np.ndarray, longest: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Suffix array of ended texts written one after the other, and ranks of suffixes by their first 2^k symbols.
+def suffix_order(text: np.ndarray, longest: int, window: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Suffix array of ended texts written one after the other; the greatest power of two up to `window`, and the ranks
+    of suffixes by so many symbols.
 
     `text` holds symbols from 1 and ends each text with 0; no text is longer than `longest` with its end. Ranks are
     doubled; suffixes that are equal up to their end keep the order of the texts. Ranks and positions share one
@@ -17,7 +18,7 @@ def suffix_order(text: np.ndarray, longest: int) -> tuple[np.ndarray, dict[int,
     # A suffix that reaches its end is only compared up to there: beyond it ranks count as 0.
     left = np.flatnonzero(text == _END)
     rest = left[np.searchsorted(left, np.arange(n))] - np.arange(n)
-    rank, depth, kept, order = text.astype(np.uint64), 1, {1: text}, None
+    rank, depth, kept, order = text.astype(np.uint64), 1, (1, text), None
     while True:
         more = np.zeros(n, np.uint64)
         reach = np.flatnonzero(rest >= depth)
@@ -35,9 +36,10 @@ def suffix_order(text: np.ndarray, longest: int) -> tuple[np.ndarray, dict[int,
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(new)
         depth *= 2
-        kept[depth] = rank.astype(np.int64)
+        if depth <= window:
+            kept = depth, rank.astype(np.int64)
         if depth >= longest:
-            return order, kept
+            return order, *kept
 
 
 class RunIndex:
@@ -50,7 +52,7 @@ class RunIndex:
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         flat = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
         flat[self.starts[1:] - 1] = _END
-        order, ranks = suffix_order(flat, int(sizes.max()))
+        order, top, ranks = suffix_order(flat, int(sizes.max()), window)
         last = flat[order - 1]
         first = np.concatenate(([True], last[1:] != last[:-1]))
         self.run_row = np.flatnonzero(first)
@@ -63,16 +65,13 @@ class RunIndex:
         self.by_symbol = np.searchsorted(self.run_symbol[by], np.arange(258))
         self.rows_of, self.before, self.length = self.run_row[by], before, length[by]
         # Rows whose suffixes agree on the whole window are neighbours.
-        top = max(d for d in ranks if d <= window)
         reach = np.repeat(self.starts[1:] - 1, sizes) - np.arange(len(flat)) >= window
         full = np.flatnonzero(reach[order])
-        a, b = ranks[top], ranks[top]
         at, shift = order[full], window - top
-        same = (np.diff(full) == 1) & (a[at[1:]] == a[at[:-1]]) & (b[at[1:] + shift] == b[at[:-1] + shift])
+        same = (np.diff(full) == 1) & (ranks[at[1:]] == ranks[at[:-1]]) & (ranks[at[1:] + shift] == ranks[at[:-1] + shift])
         head = np.concatenate(([True], ~same)) if len(full) else np.empty(0, bool)
         self.class_row = full[head]
         self.class_first = np.minimum.reduceat(at, np.flatnonzero(head)) if len(full) else at
-        self.class_end = np.append(full[np.flatnonzero(head)[1:] - 1], full[-1:]) + 1 if len(full) else full
 
     def step(self, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Rows before which `symbol` puts the suffixes that begin before `row`: one step of a backward search."""
