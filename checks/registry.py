@@ -1,5 +1,6 @@
 """The registered queries: each is a call into the library next to its SQL twin."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from placerank import config, schemas, sources
@@ -16,6 +17,7 @@ from placerank.plans import (
     recommend_json,
 )
 from placerank.plans import batch, single
+from placerank.plans.clean import with_category_vectors
 from . import fixtures as fx
 from . import oracle as o
 from .oracle import with_ctes
@@ -46,6 +48,13 @@ def _via_json(df, schema, name):
     return sources.read_json(df.sparkSession, path, schema)
 
 
+_COORDINATES = r',?"(latitude|longitude)":-?[0-9.E-]+'
+
+
+def _json_coordinates(c):
+    return [F.round(F.get_json_object(c, f"$.{n}").cast("double"), 5).alias(n) for n in ("latitude", "longitude")]
+
+
 _BUSINESS_TEXT = ["business_id", "name", "address", "city", "state"]
 
 # ---- scans, sources, sinks ----------------------------------------------------------------------
@@ -97,13 +106,14 @@ def sink_parquet_ignore(spark, sf):
 _VOCABULARY_SQL = "SELECT word, 100 AS dimensions FROM vocabulary"
 
 
-@query(_VOCABULARY_SQL)
+@query("SELECT word, 100 AS dimensions, true AS same FROM vocabulary")
 def w2v_save_load(spark, sf):
     path = sources.shared_path(spark, "w2v")
     words = fx.business(spark, sf).select("categories")
-    word2vec.fit_or_load(words, path)
-    model = word2vec.fit_or_load(words.limit(0), path)
-    return word2vec.word_vectors(model).select("word", F.size("vector").alias("dimensions"))
+    fitted = word2vec.word_vectors(word2vec.fit_or_load(words, path)).withColumnRenamed("vector", "before")
+    loaded = word2vec.word_vectors(word2vec.fit_or_load(words.limit(0), path))
+    return fitted.join(loaded, "word", "full").select(
+        "word", F.size("vector").alias("dimensions"), (F.col("vector") == F.col("before")).alias("same"))
 
 
 @query("SELECT name, address, city, CAST(stars AS DOUBLE) AS stars, review_count, array_to_string(categories, ', ') AS categories FROM business")
@@ -133,12 +143,14 @@ def sink_json(spark, sf):
 
 @query("""SELECT business_id, '{"business_id":"' || business_id || '","name":"' || name || '","address":"' || address ||
     '","city":"' || city || '","review_count":' || review_count || ',"stars":' || CAST(CAST(stars AS DOUBLE) AS VARCHAR) ||
-    ',"categories":"' || array_to_string(categories, ', ') || '"}' AS result FROM business""")
+    ',"categories":"' || array_to_string(categories, ', ') || '"}' AS result,
+    round(CAST(latitude AS DOUBLE), 5) AS latitude, round(CAST(longitude AS DOUBLE), 5) AS longitude FROM business""")
 def result_json(spark, sf):
-    df = fx.business(spark, sf).withColumns({"latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")})
+    df = fx.business(spark, sf)
     full = single.result_json(detail=True)
-    # Coordinates are dropped from the text: engines print them differently.
-    return df.select("business_id", F.regexp_replace(full, r'"(latitude|longitude)":null,', "").alias("result"))
+    # Engines print coordinates differently: they are compared as numbers, the rest as text.
+    return df.select("business_id", full.alias("r")).select(
+        "business_id", F.regexp_replace("r", _COORDINATES, "").alias("result"), *_json_coordinates("r"))
 
 
 def _schema_sql():
@@ -334,7 +346,8 @@ def project_results(spark, sf):
     CASE WHEN c_custkey % 4 IN (0, 3) THEN 5e0 END AS radius_km,
     CASE WHEN c_custkey % 4 = 3 THEN 'Bars|Nightlife' WHEN c_custkey % 2 = 0 THEN c_mktsegment || '|Food' ELSE 'Bars|Food' END AS categories,
     CASE WHEN c_custkey % 5 = 0 THEN 5 ELSE c_nationkey END AS scope, 'Friday' AS day, 1260 AS time_minutes,
-    CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 5 END AS n, c_custkey % 2 <> 0 AS currently_open, false AS recommend_reviewed FROM customer""")
+    CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 5 END AS n, c_custkey % 2 <> 0 AS currently_open, false AS recommend_reviewed,
+    'u' || c_custkey AS user_id, false AS trip_duration, false AS detail FROM customer""")
 def normalize_requests(spark, sf):
     def member(condition, body):
         return F.when(F.expr(condition), body)
@@ -352,8 +365,7 @@ def normalize_requests(spark, sf):
     bodies = fx.table(spark, sf, "customer").select(
         F.expr("concat('r', c_custkey)").alias("query_id"), F.expr("concat('u', c_custkey)").alias("user_id"),
         F.concat(F.lit("{"), fields, F.lit("}")).alias("body"))
-    return requests.normalize_requests(bodies).withColumn("categories", F.array_join("categories", "|")).drop(
-        "user_id", "trip_duration", "detail")
+    return requests.normalize_requests(bodies).withColumn("categories", F.array_join("categories", "|"))
 
 
 # ---- joins --------------------------------------------------------------------------------------
@@ -477,18 +489,19 @@ def _exploded(df, *keys):
 
 @query(_long_vector("flat", "user_id, categories"), flat="SELECT *, array_to_string(terms, ',') AS categories FROM own")
 def user_vector_weighted(spark, sf):
-    found = batch.user_preferences(batch.bases(_resolved(spark, sf)), _rated(spark, sf))
-    return _exploded(found.withColumn("categories", F.replace("pool_key", F.lit("\x1f"), F.lit(","))), "user_id", "categories", )
+    resolved, pairs = _resolved(spark, sf), ["user_id", "pool_key"]
+    history = batch.rated_in_pools(resolved, _rated(spark, sf))
+    found = preference.preference_vectors(preference.business_vectors(history, pairs), pairs)
+    names = resolved.select("pool_key", F.array_join("terms", ",").alias("categories")).distinct()
+    return _exploded(found.join(names, "pool_key"), "user_id", "categories")
 
 
 @query(_long_vector("neutral", "query_id"))
 def user_vector_fallback(spark, sf):
-    base = batch.bases(_resolved(spark, sf))
-    packed = batch.pack_business(fx.business(spark, sf))
-    ready = base.join(preference.pool_means(packed, base), "pool_key")
-    names = base.select("base_key", F.explode("variants.variant_id").alias("query_id"))
-    means = preference.mean_vectors(batch.candidates(ready, packed), ["base_key"])
-    return _exploded(means.join(names, "base_key"), "query_id")
+    resolved, packed = _resolved(spark, sf), batch.pack_business(fx.business(spark, sf))
+    found = batch.candidates(batch.pools(resolved, packed), packed)
+    means = preference.mean_vectors(preference.unit_vectors(found), ["pool_id"])
+    return _exploded(means.join(resolved.select("pool_id", "query_id"), "pool_id"), "query_id")
 
 
 @query("SELECT count(*) AS rows FROM business_raw")
@@ -736,14 +749,19 @@ def w2v_vectors(spark, sf):
     return word2vec.word_vectors(model).select("word", F.size("vector").alias("dimensions"), finite.alias("finite"))
 
 
-@query("""SELECT business_id, d AS dim, round(sum(v[d + 1]) / any_value(n), 9) AS value FROM (
-    SELECT business_id, len(categories) AS n, unnest(categories) AS word FROM business) JOIN category_vectors USING (word),
-    (SELECT unnest(generate_series(0, 63)) AS d) WHERE word <> 'red' GROUP BY business_id, d""")
+_DOCUMENT_VECTORS = """SELECT business_id, d AS dim, round(coalesce(sum(v[d + 1]), 0e0) / any_value(n), 9) AS value FROM (
+    SELECT business_id, len(categories) AS n, unnest(categories) AS word FROM business)
+    LEFT JOIN (SELECT * FROM category_vectors WHERE word NOT IN ({out})) USING (word),
+    (SELECT unnest(generate_series(0, 63)) AS d) GROUP BY business_id, d"""
+
+
+@query(_DOCUMENT_VECTORS.format(out="'red'"))
 def w2v_transform(spark, sf):
     df = fx.business(spark, sf).select("business_id", "categories")
     # One word is left without a vector: it still counts in the denominator.
     known = fx.category_vectors(spark, sf).filter("word <> 'red'")
-    return expansion.document_vectors(df, "business_id", "categories", known).withColumn("value", F.round("value", 9))
+    found = expansion.document_vectors(df, "business_id", "categories", known)
+    return found.select("business_id", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 9))
 
 
 @query("SELECT query_id, " + _list(f"round(m{i}, 6) AS m{i}" for i in range(o.N)) + " FROM resolved JOIN pool_means USING (terms)")
@@ -769,9 +787,14 @@ def business_vectors(spark, sf):
 # ---- shared work --------------------------------------------------------------------------------
 
 
-_KEY_SQL = """sha256(user_id || '|' || array_to_string(list_sort(categories), ',') || '|0|' || mode || '|' || coalesce(state, '') || '|' ||
-    coalesce(city, '') || '|' || coalesce(CAST(latitude AS VARCHAR), '') || '|' || coalesce(CAST(longitude AS VARCHAR), '') || '|' ||
-    coalesce(CAST(radius_km AS VARCHAR), ''))"""
+def _json_sql(**fields):
+    inner = " || ',' || ".join(f"'\"{k}\":' || coalesce(CAST(to_json({v}) AS VARCHAR), 'null')" for k, v in fields.items())
+    return f"'{{' || {inner} || '}}'"
+
+
+_KEY_SQL = "sha256(" + _json_sql(
+    user_id="user_id", categories="list_sort(categories)", scope="0", mode="mode", state="state", city="city",
+    latitude="latitude", longitude="longitude", radius_km="radius_km") + ")"
 
 
 @query(f"SELECT query_id, {_KEY_SQL} AS base_key FROM queries")
@@ -934,9 +957,8 @@ def candidate_pool(spark, sf):
 def preference_vector(spark, sf):
     resolved = _resolved(spark, sf)
     packed = batch.pack_business(fx.business(spark, sf))
-    ready = batch.prepare(resolved, packed, _rated(spark, sf))
-    names = ready.select("preference", F.explode("variants.variant_id").alias("query_id"))
-    return _exploded(names, "query_id")
+    asked, who, _, _ = batch.prepare(resolved, packed, _rated(spark, sf))
+    return _exploded(asked.select("query_id", "reader").join(who, "reader").select("query_id", "preference"), "query_id")
 
 
 _SHOWN = "b.name, b.address, b.city, CAST(b.stars AS DOUBLE) AS stars, b.review_count"
@@ -953,11 +975,12 @@ def recommend_(spark, sf):
 
 
 @query("""SELECT '{"business_id":"' || b.business_id || '","name":"' || name || '","address":"' || address ||
-    '","city":"' || city || '","review_count":' || review_count || ',"stars":' || CAST(CAST(stars AS DOUBLE) AS VARCHAR) || '}' AS result
+    '","city":"' || city || '","review_count":' || review_count || ',"stars":' || CAST(CAST(stars AS DOUBLE) AS VARCHAR) || '}' AS result,
+    round(CAST(latitude AS DOUBLE), 5) AS latitude, round(CAST(longitude AS DOUBLE), 5) AS longitude
     FROM business b JOIN top t ON t.business_id = b.business_id WHERE t.rank <= 5""", **_SINGLE)
 def recommend_json_(spark, sf):
     found = recommend_json(_stored(fx.business(spark, sf), "business"), fx.review(spark, sf), _single_query())
-    return found.select(F.regexp_replace("result", r',"latitude":[-0-9.]+,"longitude":[-0-9.]+', "").alias("result"))
+    return found.select(F.regexp_replace("result", _COORDINATES, "").alias("result"), *_json_coordinates("result"))
 
 
 for _name in ("recommend", "recommend_json"):
@@ -966,6 +989,7 @@ for _name in ("recommend", "recommend_json"):
 
 
 _BATCH_SQL = """SELECT t.query_id, t.rank, t.business_id, b.name, b.address, b.city, CAST(b.stars AS DOUBLE) AS stars, b.review_count,
+    round(CAST(b.latitude AS DOUBLE), 5) AS latitude, round(CAST(b.longitude AS DOUBLE), 5) AS longitude,
     round(t.similarity, 9) AS similarity, t.similarity_bin, CASE WHEN q.detail THEN array_to_string(b.categories, ', ') END AS categories,
     CASE WHEN q.trip AND q.mode = 'radial' THEN 'N/A' END AS trip_duration
     FROM top t JOIN business b ON b.business_id = t.business_id JOIN queries q ON q.query_id = t.query_id WHERE t.rank <= 5"""
@@ -976,7 +1000,8 @@ def _batch(spark, sf, asked, word_vectors=None):
         asked, _stored(fx.business(spark, sf), "business"), fx.review(spark, sf), word_vectors)
     return results.withColumns({
         "stars": F.col("stars").cast("double"), "similarity": F.round("similarity", 9), "rank": F.col("rank").cast("bigint"),
-    }).drop("latitude", "longitude")
+        **{c: F.round(F.col(c).cast("double"), 5) for c in ("latitude", "longitude")},
+    })
 
 
 @query(_BATCH_SQL)
@@ -991,3 +1016,154 @@ def recommend_batch_scoped(spark, sf):
 
 QUERIES["recommend_batch"] = QUERIES.pop("recommend_batch_")
 ORACLE["recommend_batch"] = ORACLE.pop("recommend_batch_")
+
+
+# ---- sharing, limits and results in other forms --------------------------------------------------
+
+
+@query("SELECT c_custkey, 6 AS keys FROM customer")
+def base_key_collisions(spark, sf):
+    """Queries that differ in how a list is cut, in NULL and empty or in a place's kind never share a key."""
+    lists = F.array(*[F.array(*map(F.lit, names)) for names in (["a,b"], ["a", "b"], ["a|b"])])
+    asked = fx.table(spark, sf, "customer").select("c_custkey", F.explode(lists).alias("categories")).withColumn(
+        "user_id", F.explode(F.array(F.lit(None).cast("string"), F.lit(""))))
+    keyed = asked.withColumns({
+        "scope": F.lit(0), "locality_mode": F.lit("state"), "state": F.lit("S1"), "city": F.lit(None).cast("string"),
+        **{c: F.lit(None).cast("double") for c in ("latitude", "longitude", "radius_km")}})
+    return keyed.groupBy("c_custkey").agg(F.count_distinct(requests.base_key()).cast("int").alias("keys"))
+
+
+@query(_BATCH_SQL)
+def recommend_batch_scope0_vectors(spark, sf):
+    return _batch(spark, sf, fx.queries(spark, sf), fx.category_vectors(spark, sf))
+
+
+_COPIES = f"""SELECT * REPLACE ('q' || k || '-' || copy AS query_id, CAST((minutes + 300 * (copy // 2)) % 1440 AS INTEGER) AS minutes) FROM ({o.CTES['queries']}),
+    (SELECT unnest([0, 1, 2]) AS copy)"""
+
+
+@query("""SELECT t.query_id, t.rank, t.business_id, t.similarity_bin, CASE WHEN q.trip AND q.mode = 'radial' THEN
+    CASE WHEN b.k % 10 = 0 OR s = 0 THEN 'N/A' ELSE (s // 60) || 'm ' || (s % 60) || 's' END END AS trip_duration
+    FROM top t JOIN queries q ON q.query_id = t.query_id JOIN business b ON b.business_id = t.business_id
+    LEFT JOIN (SELECT q.query_id, b.business_id, CAST(round(""" + o.dist("b.latitude", "b.longitude", "q.latitude", "q.longitude")
+       + """ * 90) AS BIGINT) AS s FROM queries q JOIN business b ON q.trip AND q.mode = 'radial') d
+    ON d.query_id = t.query_id AND d.business_id = t.business_id WHERE t.rank <= 3 + q.copy""", queries=_COPIES)
+def recommend_batch_shared(spark, sf):
+    """Every query three times: another size, then another time as well; with travel times."""
+    copy = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    asked = fx.queries(spark, sf).withColumn("copy", copy).withColumns({
+        "query_id": F.concat_ws("-", "query_id", "copy"), "n": F.lit(3) + F.col("copy"),
+        "time_minutes": (F.col("time_minutes") + F.when(F.col("copy") == 2, 300).otherwise(0)) % 1440}).drop("copy")
+    business = _stored(fx.business(spark, sf), "business")
+    trips_ = asked.filter("trip_duration and locality_mode = 'radial'").dropDuplicates(["latitude", "longitude"])
+    near = locality.radial_join(trips_, business).join(trips_, "query_id")
+    times = near.select(
+        F.col("latitude").alias("origin_latitude"), F.col("longitude").alias("origin_longitude"), "business_id",
+        F.when(F.expr("cast(substr(business_id, 2) as bigint) % 10 <> 0"), F.round(F.col("distance_km") * 90)).alias("seconds"))
+    found = recommend_batch(asked, business, fx.review(spark, sf), travel_times=times.unionByName(times))[0]
+    return found.select("query_id", F.col("rank").cast("bigint"), "business_id", "similarity_bin", "trip_duration")
+
+
+@query("""SELECT query_id, CASE WHEN k % 8 = 1 THEN 'unknown locality mode'
+    WHEN mode = 'state' AND k % 8 = 2 THEN 'invalid locality'
+    WHEN mode = 'radial' AND k % 8 = 3 THEN 'invalid point' WHEN mode = 'radial' AND k % 8 = 6 THEN 'missing radius'
+    WHEN k % 8 = 5 THEN 'no categories' WHEN k % 8 = 7 AND open_now THEN 'invalid day or time'
+    WHEN EXISTS (SELECT 1 FROM top t WHERE t.query_id = queries.query_id) THEN 'answered' ELSE 'no match' END AS status FROM queries""")
+def batch_status(spark, sf):
+    """A word on every query: answered, without a match, or rejected with a reason."""
+    asked = fx.broken_queries(spark, sf)
+    results, rejects = recommend_batch(asked, _stored(fx.business(spark, sf), "business"), fx.review(spark, sf))
+    return batch.unanswered(results, asked, rejects)
+
+
+@query("""SELECT query_id, CASE k % 9 WHEN 0 THEN 'number of results out of range' WHEN 1 THEN 'scope out of range' WHEN 2 THEN 'time out of range'
+    WHEN 3 THEN 'number of results out of range' WHEN 4 THEN 'scope out of range' WHEN 5 THEN 'invalid radius' WHEN 6 THEN 'invalid point'
+    WHEN 7 THEN 'invalid radius' END AS reason FROM queries WHERE k % 9 <> 8""")
+def reject_out_of_range(spark, sf):
+    k = F.expr("cast(substr(query_id, 2) as int) % 9")
+    radial = k.isin(5, 6, 7)
+    asked = fx.queries(spark, sf).withColumns({
+        "n": F.when(k == 0, 0).when(k == 3, 10**6).otherwise(F.col("n")),
+        "scope": F.when(k == 1, -1).when(k == 4, 10**6).otherwise(F.col("scope")),
+        "time_minutes": F.when(k == 2, 99999).otherwise(F.col("time_minutes")),
+        "locality_mode": F.when(radial, "radial").otherwise(F.col("locality_mode")),
+        "latitude": F.when(k == 6, 91.0).when(radial, 27.0).otherwise(F.col("latitude")),
+        "longitude": F.when(radial, -82.0).otherwise(F.col("longitude")),
+        "radius_km": F.when(k == 5, -1.0).when(k == 7, float("nan")).when(radial, 5.0).otherwise(F.col("radius_km"))})
+    return requests.split_queries(asked)[1].select("query_id", "reason")
+
+
+@query("""SELECT 'r' || k AS query_id, CASE WHEN k % 3 <> 0 THEN latitude ELSE 27.9483e0 END AS latitude,
+    CASE WHEN k % 3 <> 0 THEN longitude ELSE -82.4648e0 END AS longitude FROM profiles""")
+def request_home(spark, sf):
+    """A request without a point starts at its user's home."""
+    bodies = fx.table(spark, sf, "customer").select(
+        F.expr("concat('r', c_custkey)").alias("query_id"), F.expr("concat('u', c_custkey)").alias("user_id"), F.lit("{}").alias("body"))
+    return requests.normalize_requests(bodies, edits.home_locations(fx.profiles(spark, sf))).select("query_id", "latitude", "longitude")
+
+
+@query("SELECT count(*) * 3 AS added, count(*) * 3 AS ids, count(*) * 3 AS of_user FROM customer")
+def append_generated_ids(spark, sf):
+    """Equal new reviews get ids of their own, and the profile's user."""
+    new = fx.table(spark, sf, "customer").select(
+        F.expr("concat('b', c_custkey)").alias("business_id"), F.lit("4.5").alias("stars"), F.lit("added").alias("text"))
+    new = new.unionByName(new).unionByName(new)
+    all_ = edits.append_reviews(fx.review_raw(spark, sf), new, "2024-05-06 07:08:09", user_id="u1")
+    return all_.filter("text = 'added'").agg(
+        F.count("*").alias("added"), F.count_distinct("review_id").alias("ids"), F.count_if(F.col("user_id") == "u1").alias("of_user"))
+
+
+@query(f"""SELECT review_id, CASE WHEN {_PATCHED} THEN 3.5e0 ELSE stars END AS stars,
+    CASE WHEN {_PATCHED} THEN 'last' ELSE text END AS text FROM review_raw""")
+def patch_repeated(spark, sf):
+    """Of several patches for a review the last one counts, and the review stays one row."""
+    patches = _patches(spark, sf).withColumn("patched_at", F.lit(1))
+    later = patches.withColumns({"stars": F.lit("3.5"), "text": F.lit("last"), "patched_at": F.lit(2)})
+    return edits.patch_reviews(fx.review_raw(spark, sf), later.unionByName(patches)).select("review_id", "stars", "text")
+
+
+@query(_DOCUMENT_VECTORS.format(out="SELECT word FROM vocabulary WHERE word < 'm'"))
+def clean_business_vectors(spark, sf):
+    """The clean table with the vectors of its categories, half of which are unknown."""
+    known = fx.category_vectors(spark, sf).filter("word >= 'm'")
+    found = with_category_vectors(fx.business(spark, sf), known)
+    return found.select("business_id", F.posexplode("categories_vec").alias("dim", "value")).withColumn("value", F.round("value", 9))
+
+
+@query("SELECT business_id, true AS same FROM business")
+def w2v_model_transform(spark, sf):
+    """Document vectors from the word table are those of the fitted model's own transform."""
+    df = fx.business(spark, sf).select("business_id", "categories")
+    model = word2vec.fit(df, vectorSize=16)
+    own = expansion.document_vectors(df, "business_id", "categories", word2vec.word_vectors(model))
+    given = model.transform(df).select("business_id", vector_to_array("categories_vec").alias("theirs"))
+    near = F.forall(F.zip_with("vector", "theirs", lambda a, b: F.abs(a - b)), lambda d: d < 1e-5)
+    return own.join(given, "business_id").select("business_id", near.alias("same"))
+
+
+_CORRELATED = ["review_count", "stars", "latitude", "longitude"]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS correlation FROM business WHERE NoiseLevel IS NOT NULL"
+    for a in _CORRELATED for b in _CORRELATED))
+def vector_correlation(spark, sf):
+    df = fx.business(spark, sf)
+    first = F.when(F.col("NoiseLevel").isNotNull(), F.col("review_count").cast("double"))
+    wide = df.select(first.alias("review_count"), *[F.col(c).cast("double").alias(c) for c in _CORRELATED[1:]])
+    return profile.vector_correlation(wide, _CORRELATED).withColumn("correlation", F.round("correlation", 6))
+
+
+def _padded(c):
+    return f"CASE WHEN length({c}) < 24 THEN rpad({c}, 24, ' ') ELSE {c} END"
+
+
+@query("SELECT rtrim(" + " || ' ' || ".join(_padded(c) for c in [
+    "b.name", "b.address", "b.city", "CAST(CAST(b.stars AS DOUBLE) AS VARCHAR)", "CAST(b.review_count AS VARCHAR)",
+    "array_to_string(b.categories, ', ')"]) + ") AS line FROM business b JOIN top t ON t.business_id = b.business_id WHERE t.rank <= 10", **_SINGLE)
+def recommend_text(spark, sf):
+    """A recommendation saved as text lines."""
+    found = recommend(_stored(fx.business(spark, sf), "business"), fx.review(spark, sf), _single_query(), n=10, detail=True)
+    path = sources.shared_path(spark, "recommendation")
+    single.save_recommendation(found.withColumn("stars", F.col("stars").cast("double")), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")

@@ -32,6 +32,7 @@ DEFAULTS = [float(default) for _, default, _ in ATTRIBUTES]
 IMPORTANCE = [float(weight) for _, _, weight in ATTRIBUTES]
 
 AMBIENCES = [n.removeprefix("Ambience_") for n in ATTRIBUTE_NAMES if n.startswith("Ambience_")]
+# Codes of the ordinal attributes.
 ORDINALS = {
     "NoiseLevel": {"quiet": 0, "average": 1, "loud": 2, "very_loud": 3},
     "RestaurantsAttire": {"casual": 0, "dressy": 1, "formal": 2},
@@ -44,6 +45,7 @@ TRISTATES = [
 # Fields promoted out of the raw `attributes` struct.
 RAW_ATTRIBUTES = [n for n in ATTRIBUTE_NAMES if not n.startswith("Ambience_")] + ["Ambience"]
 
+# Names of days in order, kinds of compliments, the Earth's mean radius.
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 COMPLIMENTS = [
@@ -52,6 +54,9 @@ COMPLIMENTS = [
 
 EARTH_KM = 6371.0
 
+# Bounds of what a query may ask for: larger ones are rejected with a reason, as one answer has to stay small.
+MAX_SCOPE, MAX_RESULTS = 1000, 10_000
+
 # What a request means when a field is missing.
 HOME_LATITUDE, HOME_LONGITUDE, HOME_NAME = 27.9483, -82.4648, "User"
 REQUEST_DEFAULTS = {
@@ -60,5 +65,5 @@ REQUEST_DEFAULTS = {
     "currently_open": True, "recommend_reviewed": False, "trip_duration": False, "detail": False,
 }
 
-# Word2Vec training settings for category lists.
+# Word2Vec training settings for category lists.
 W2V = dict(minCount=10, vectorSize=100, maxIter=5, windowSize=3, seed=2)

@@ -9,7 +9,7 @@ from ..config import EARTH_KM
 
 # Cell edges in degrees. A query uses the smallest edge that is at least its half-width, so its
 # box meets at most 3 x 3 cells, whatever its radius.
-CELL_EDGES = [0.05 * 4**level for level in range(7)]
+CELL_EDGES = [0.0125 * 2**level for level in range(15)]
 _KM_PER_DEGREE = EARTH_KM * math.pi / 180
 _SLACK = 1.001
 
@@ -56,6 +56,16 @@ def in_box(lat: Column, lon: Column, center_lat: float, center_lon: float, radiu
     return inside & spans
 
 
+def in_band(lat: Column, center_lat: Column, radius_km: Column) -> Column:
+    """Whether a latitude is near enough for a circle; one subtraction."""
+    return F.abs(lat - center_lat) <= radius_km * (_SLACK / _KM_PER_DEGREE) + 1e-6
+
+
+def in_widths(north: Column, east: Column, dlat: Column, dlon: Column) -> Column:
+    """Whether differences in latitude and longitude lie in a circle's box, also across the date line."""
+    return (F.abs(north) <= dlat) & (F.least(F.abs(east), F.lit(360.0) - F.abs(east)) <= dlon)
+
+
 def cell_name(level: Column, row: Column, column: Column) -> Column:
     return F.concat_ws(":", F.concat(F.lit("cell"), level.cast("string")), row.cast("string"), column.cast("string"))
 
@@ -74,7 +84,7 @@ def point_cells(lat: Column, lon: Column) -> Column:
 def circle_level(lat: Column, radius_km: Column) -> Column:
     """The grid level of a circle. The cells of any level would do; this one keeps them few."""
     dlat, dlon = box_half_widths(lat, radius_km)
-    level = F.ceil(F.log2(F.greatest(dlat, dlon) / CELL_EDGES[0]) / 2)
+    level = F.ceil(F.log2(F.greatest(dlat, dlon) / CELL_EDGES[0]))
     return F.least(F.greatest(level, F.lit(0)), F.lit(len(CELL_EDGES) - 1)).cast("int")
 
 

@@ -31,14 +31,21 @@ def suggest_categories(vocabulary: DataFrame, query: str, selected: Sequence[str
 
 
 def document_vectors(documents: DataFrame, key: str, words: str, vectors: DataFrame) -> DataFrame:
-    """(key, vector): the sum of the known words' vectors over the number of all words. Words repeat
-    and are counted first; the sum runs per dimension."""
-    tokens = documents.select(key, F.size(words).alias("_size"), F.explode(words).alias("word"))
+    """(key, vector) for each key: the sum of the known words' vectors over the number of all words, and
+    zeros for a document without a known word, an empty or a NULL one. Words repeat and are counted first;
+    the sum runs per dimension."""
+    size = F.greatest(F.size(F.coalesce(words, F.array().cast("array<string>"))), F.lit(0))
+    tokens = documents.select(key, size.alias("_size"), F.explode(words).alias("word"))
     counts = tokens.groupBy(key, "_size", "word").agg(F.count("*").alias("_n"))
-    parts = counts.join(vectors, "word").select(
-        key, "_size", "_n", F.posexplode("vector").alias("dim", "x"))
-    return parts.groupBy(key, "dim").agg(
-        (F.sum(F.col("_n") * F.col("x").cast("double")) / F.first("_size")).alias("value"))
+    parts = counts.join(vectors, "word").select(key, "_size", "_n", F.posexplode("vector").alias("_dim", "_x"))
+    dims = parts.groupBy(key, "_size", "_dim").agg(F.sum(F.col("_n") * F.col("_x").cast("double")).alias("_sum"))
+    listed = dims.groupBy(key).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_dim", (F.col("_sum") / F.col("_size")).alias("x")))),
+        lambda d: d["x"]).alias("vector"))
+    width = vectors.agg(F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("n")).scalar()
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return documents.select(key).distinct().join(listed, key, "left").select(
+        key, F.coalesce("vector", zeros).alias("vector"))
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -50,13 +57,19 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 def _block_neighbours(terms: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     """The best k words of one block of words, for each term of one block of terms."""
     if terms.empty or words.empty:
-        return pd.DataFrame({"term": [], "word": [], "cosine": [], "k": []})
+        return pd.DataFrame({
+            "term": pd.Series(dtype=object), "word": pd.Series(dtype=object),
+            "cosine": pd.Series(dtype=float), "k": pd.Series(dtype="int32")})
     cosines = np.round(_matrix(terms["term_vector"]) @ _matrix(words["vector"]).T, 9)
     names = words["word"].to_numpy()
     order_by_name = np.argsort(np.argsort(names))
     kept = []
     for term, k, row in zip(terms["term"], terms["k"], cosines):
         others = np.flatnonzero(names != term)
+        if k < len(others):
+            # Only words as near as the k-th nearest are sorted.
+            least = np.partition(row[others], len(others) - k)[len(others) - k]
+            others = others[row[others] >= least]
         best = others[np.lexsort((order_by_name[others], -row[others]))][:k]
         kept.append(pd.DataFrame({"term": term, "word": names[best], "cosine": row[best], "k": k}))
     return pd.concat(kept)
@@ -71,8 +84,11 @@ def nearest_words(terms: DataFrame, vectors: DataFrame) -> DataFrame:
     vectors = vectors.select("word", "vector")
     terms = terms.filter(F.col("k") > 0)
     # Two counts over a vocabulary-sized table set the number of blocks.
+    n_terms = terms.count()
+    if not n_terms:
+        return terms.sparkSession.createDataFrame([], "term string, word string, cosine double, rank int")
     word_blocks = max(1, -(-vectors.count() // ROWS_PER_BLOCK))
-    term_blocks = max(1, -(-terms.count() // ROWS_PER_BLOCK))
+    term_blocks = max(1, -(-n_terms // ROWS_PER_BLOCK))
 
     def own(column: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(blocks))
@@ -94,10 +110,6 @@ def nearest_words(terms: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-def known_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    return terms.join(vocabulary.select(F.col("word").alias("term")), "term", "left_semi")
-
-
 def unknown_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Rows of `terms` whose term is not in the vocabulary."""
     return terms.join(vocabulary.select(F.col("word").alias("term")), "term", "left_anti")

@@ -25,22 +25,23 @@ def in_radius(business: DataFrame, lat: float, lon: float, radius_km: float) ->
     return business.filter(box & (distance_to(lat, lon) <= float(radius_km)))
 
 
+#: For each mode what a locality has to hold and the filter it stands for.
+_MODES = {
+    "state": ((str,), in_state),
+    "city": ((str,), in_city),
+    "radial": ((tuple, (int, float)), lambda df, point, km: in_radius(df, *point, km)),
+}
+
+
 def in_locality(business: DataFrame, locality: tuple) -> DataFrame:
     """Filter by `('state', s)`, `('city', c)` or `('radial', (lat, lon), km)`; mode in any case."""
-    if len(locality) < 2:
-        raise ValueError("Invalid locality filter")
-    mode = str(locality[0]).lower()
-    if mode == "state":
-        return in_state(business, locality[1])
-    if mode == "city":
-        return in_city(business, locality[1])
-    if mode == "radial":
-        if not isinstance(locality[1], tuple):
-            raise ValueError("Invalid latitude/longitude format")
-        if len(locality) == 2:
-            raise ValueError("Missing maximum radial distance")
-        return in_radius(business, *locality[1], locality[2])
-    raise ValueError(f"Unknown locality mode: {locality[0]}")
+    mode, values = str(locality[0]).lower() if locality else "", tuple(locality[1:])
+    if mode not in _MODES:
+        raise ValueError(f"a locality is one of {', '.join(_MODES)}, not {mode!r}")
+    kinds, apply = _MODES[mode]
+    if len(values) != len(kinds) or not all(map(isinstance, values, kinds)):
+        raise ValueError(f"a {mode} locality does not look like {values!r}")
+    return apply(business, *values)
 
 
 def place_keys(queries: DataFrame) -> DataFrame:
@@ -60,9 +61,10 @@ def place_keys(queries: DataFrame) -> DataFrame:
 
 
 def business_places(business: DataFrame, queried: DataFrame) -> DataFrame:
-    """One row per business and place key, only of the kinds that some query uses. There are nine
-    kinds (state, city, seven cell sizes), which bounds the broadcast."""
-    kinds = F.broadcast(queried.select("kind").distinct())
+    """One row per business and place key, only of the kinds that some query uses. There are no more
+    kinds than state, city and the cell sizes, which bounds the broadcast."""
+    known = ["state", "city", *[f"cell{level}" for level in range(len(geo.CELL_EDGES))]]
+    kinds = F.broadcast(queried.select("kind").where(F.col("kind").isin(known)).distinct())
     keys = F.concat(
         F.array(
             F.struct(F.lit("state").alias("kind"), F.concat(F.lit("state:"), F.col("state")).alias("place")),
@@ -75,15 +77,17 @@ def business_places(business: DataFrame, queried: DataFrame) -> DataFrame:
 
 def within_query_circle(latitude: str = "latitude", longitude: str = "longitude",
                         query_latitude: str = "query_latitude", query_longitude: str = "query_longitude") -> Column:
-    """The exact test behind the cells; always true outside radial mode."""
+    """The exact test behind the cells, after a cheap one by latitude; always true outside radial mode."""
     distance = geo.haversine(F.col(latitude), F.col(longitude), F.col(query_latitude), F.col(query_longitude))
-    return (F.lower("locality_mode") != "radial") | (distance <= F.col("radius_km"))
+    near = geo.in_band(F.col(latitude), F.col(query_latitude), F.col("radius_km"))
+    return (F.lower("locality_mode") != "radial") | (near & (distance <= F.col("radius_km")))
 
 
 def radial_join(queries: DataFrame, business: DataFrame, per_task: int | None = None) -> DataFrame:
     """(query_id, business_id, distance_km) for every business inside a query's circle."""
     circles = place_keys(queries.filter(F.lower("locality_mode") == "radial")).select(
         "query_id", "kind", F.explode("places").alias("place"), "radius_km",
+        *[w.alias(n) for w, n in zip(geo.box_half_widths(F.col("latitude"), F.col("radius_km")), ("dlat", "dlon"))],
         F.col("latitude").alias("query_latitude"), F.col("longitude").alias("query_longitude"))
     points = business_places(business.select("business_id", "state", "city", "latitude", "longitude"), circles)
     distance = geo.haversine(
@@ -91,6 +95,8 @@ def radial_join(queries: DataFrame, business: DataFrame, per_task: int | None =
     return (
         spread_join(points.select("place", "business_id", "latitude", "longitude"), circles.drop("kind"),
                     ["place"], ["business_id"], ["query_id"], per_task=per_task)
+        .filter(geo.in_widths(F.col("latitude") - F.col("query_latitude"), F.col("longitude") - F.col("query_longitude"),
+                              F.col("dlat"), F.col("dlon")))
         .withColumn("distance_km", distance)
         .filter(F.col("distance_km") <= F.col("radius_km"))
         .select("query_id", "business_id", "distance_km")

@@ -63,9 +63,13 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def vector_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The same matrix as a Spark ML matrix in one row."""
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="vector", handleInvalid="skip").transform(df)
-    return Correlation.corr(vectors, "vector").toDF("matrix")
+    """(left, right, correlation) by Spark ML, over the rows without a NULL in any of the columns. The matrix has
+    a cell for each pair of columns, so it may pass through the driver."""
+    columns = list(columns)
+    vectors = VectorAssembler(inputCols=columns, outputCol="vector").transform(df.dropna(subset=columns))
+    matrix = Correlation.corr(vectors, "vector").first()[0].toArray().tolist()
+    cells = [(a, b, matrix[i][j]) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(cells, "left string, right string, correlation double")
 
 
 def describe(df: DataFrame, value: Column) -> DataFrame:
@@ -77,10 +81,6 @@ def describe(df: DataFrame, value: Column) -> DataFrame:
     )
 
 
-def exists(df: DataFrame) -> bool:
-    return not df.isEmpty()
-
-
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"))
 

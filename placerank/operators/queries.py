@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import HOME_LATITUDE, HOME_LONGITUDE, REQUEST_DEFAULTS
+from ..config import EARTH_KM, HOME_LATITUDE, HOME_LONGITUDE, MAX_RESULTS, MAX_SCOPE, REQUEST_DEFAULTS
 from ..functions.text import day_index
 
 _FIELDS = [
@@ -21,10 +21,17 @@ def _tokens(raw: Column) -> Column:
     return F.filter(F.transform(names, lambda c: F.trim(c)), lambda c: c != "")
 
 
-def normalize_requests(requests: DataFrame) -> DataFrame:
+def normalize_requests(requests: DataFrame, homes: DataFrame | None = None) -> DataFrame:
     """Request bodies (query_id, user_id, body as JSON text) to rows of the query table. A missing
-    field gets its default; a field that cannot be read as its type stays NULL for `reject_reason`."""
+    field gets its default; a field that cannot be read as its type stays NULL for `reject_reason`. A missing point
+    is the user's own home, if `homes` (user_id, latitude, longitude; see `home_locations`) has one, else the default home.
+    Flags are false for false, 0, 0.0 and an empty text in any case, as JSON or as text, and true for anything else."""
     parsed = requests.withColumn("r", F.from_json("body", _BODY))
+    home = [F.lit(HOME_LATITUDE), F.lit(HOME_LONGITUDE)]
+    if homes is not None:
+        once = homes.groupBy("user_id").agg(F.max(F.struct("latitude", "longitude")).alias("home"))
+        parsed = parsed.join(once, "user_id", "left")
+        home = [F.coalesce(F.col("home.latitude"), home[0]), F.coalesce(F.col("home.longitude"), home[1])]
 
     def given(field: str) -> Column:
         return F.col(f"r.{field}")
@@ -32,9 +39,10 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
     def text(field: str) -> Column:
         return F.coalesce(given(field), F.lit(REQUEST_DEFAULTS[field]))
 
-    def number(field: str, default: float, kind: str = "double") -> Column:
-        value = F.when(given(field).isNull(), F.lit(float(default))).otherwise(given(field).try_cast("double"))
-        return value.try_cast(kind)
+    def number(field: str, default: float | Column, kind: str = "double") -> Column:
+        value = F.when(given(field).isNull(), default if isinstance(default, Column) else F.lit(float(default))).otherwise(given(field).try_cast("double"))
+        # A whole number is asked for: 2.7 is none and stays NULL.
+        return value if kind == "double" else F.when(value == F.floor(value), value.try_cast(kind))
 
     def flag(field: str) -> Column:
         value = F.lower(given(field))
@@ -47,8 +55,8 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
         "query_id", "user_id", mode.alias("locality_mode"),
         F.when(mode == "state", text("state")).alias("state"),
         F.when(mode == "city", text("city")).alias("city"),
-        F.when(radial, number("latitude", HOME_LATITUDE)).alias("latitude"),
-        F.when(radial, number("longitude", HOME_LONGITUDE)).alias("longitude"),
+        F.when(radial, number("latitude", home[0])).alias("latitude"),
+        F.when(radial, number("longitude", home[1])).alias("longitude"),
         F.when(radial, number("radius", REQUEST_DEFAULTS["radius"])).alias("radius_km"),
         _tokens(text("categories")).alias("categories"),
         number("scope", REQUEST_DEFAULTS["scope"], "int").alias("scope"),
@@ -70,9 +78,14 @@ def reject_reason() -> Column:
         .when((mode == "state") & F.col("state").isNull(), "invalid locality")
         .when((mode == "city") & F.col("city").isNull(), "invalid locality")
         .when((mode == "radial") & (F.col("latitude").isNull() | F.col("longitude").isNull()), "invalid point")
+        .when((mode == "radial") & ~(F.abs("latitude") <= 90) | (mode == "radial") & ~(F.abs("longitude") <= 180), "invalid point")
         .when((mode == "radial") & F.col("radius_km").isNull(), "missing radius")
+        .when((mode == "radial") & ~F.col("radius_km").between(0.0, EARTH_KM * 3.2), "invalid radius")
         .when(F.coalesce(F.size("categories"), F.lit(0)) == 0, "no categories")
-        .when(F.col("scope").isNull() | (F.col("scope") < 0) | F.col("n").isNull(), "invalid number")
+        .when(F.col("scope").isNull() | F.col("n").isNull(), "invalid number")
+        .when(~F.col("scope").between(0, MAX_SCOPE), "scope out of range")
+        .when(~F.col("n").between(1, MAX_RESULTS), "number of results out of range")
+        .when(~F.coalesce("time_minutes", F.lit(0)).between(0, 24 * 60 - 1), "time out of range")
         .when(F.col("currently_open") & (day_index(F.col("day")).isNull() | F.col("time_minutes").isNull()),
               "invalid day or time")
     )
@@ -87,9 +100,22 @@ def split_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def base_key() -> Column:
     """Queries with this key in common differ only in day, time, size and flags: user, categories in
     any order, scope and locality are the same."""
-    def text(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return _digest(F.col("user_id"), F.array_sort("categories").alias("categories"), F.col("scope"), *_locality())
 
-    locality = [F.lower("locality_mode")] + [text(c) for c in ("state", "city", "latitude", "longitude", "radius_km")]
-    return F.sha2(F.concat_ws(
-        "|", text("user_id"), F.array_join(F.array_sort("categories"), ","), text("scope"), *locality), 256)
+
+def _locality() -> list[Column]:
+    return [F.lower("locality_mode").alias("mode"), *map(F.col, ("state", "city", "latitude", "longitude", "radius_km"))]
+
+
+def _digest(*fields: Column) -> Column:
+    """A hash of the fields as JSON, which keeps NULL, empty and joined texts apart."""
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+
+
+def terms_key() -> Column:
+    return _digest(F.col("terms"))
+
+
+def pool_id() -> Column:
+    """Queries with this key in common look at the same businesses: matched terms and locality are the same."""
+    return _digest(F.col("terms"), *_locality())

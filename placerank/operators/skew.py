@@ -1,59 +1,37 @@
-"""Joins whose hot keys are split over many tasks."""
+"""Joins of many rows with many rows in which no key has to fit one task."""
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.shared import materialize
 
 PAIRS_PER_TASK = 20_000_000
 ROWS_PER_TASK = 2_000_000
-MAX_HOT_KEYS = 1000
-# A big side that the optimizer puts below this size is not worth a counting pass for a lookup join.
-SMALL_BYTES = 32 << 20
 
 _BIG, _SMALL = "_big_part", "_small_part"
 
 
-def _hot_keys(big: DataFrame, small: DataFrame | None, keys: list[str], per_task: int) -> DataFrame | None:
-    """At most MAX_HOT_KEYS keys with the number of parts to cut either side into; None when no key
-    needs cutting, so that ordinary data gets an ordinary join. Counts are exact and partially
-    aggregated before their shuffle; the bounded result is fixed before the join is planned, so both
-    sides agree on it also when tasks are run again. A key beyond the limit holds under
-    1/MAX_HOT_KEYS of the work and goes through the shuffle join whole."""
+def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., n): rows of each key, combined before the shuffle; keys with a NULL join nothing."""
     not_null = reduce(and_, [F.col(k).isNotNull() for k in keys])
-    counts = big.filter(not_null).groupBy(*keys).agg(F.count("*").alias("_b"))
-    if small is None:
-        counts = counts.withColumn("_s", F.lit(1).cast("bigint"))
-    else:
-        counts = counts.join(small.filter(not_null).groupBy(*keys).agg(F.count("*").alias("_s")), keys)
-    work = F.col("_b").cast("double") * F.col("_s")
-    hot = (
-        counts.withColumn("_work", work).filter(F.col("_work") > per_task)
-        .orderBy(F.desc("_work"), *keys).limit(MAX_HOT_KEYS).collect()
-    )
-    if not hot:
-        return None
-    rows = [tuple(r[k] for k in keys) + _parts(r["_b"], r["_s"], per_task) for r in hot]
-    schema = T.StructType(
-        [T.StructField(k, big.schema[k].dataType) for k in keys]
-        + [T.StructField(_BIG, T.LongType()), T.StructField(_SMALL, T.LongType())])
-    return big.sparkSession.createDataFrame(rows, schema)
-
-
-def _parts(big_rows: int, small_rows: int, per_task: int) -> tuple[int, int]:
-    """How many parts to cut either side into: enough tiles for the work, shaped so that little is
-    repeated, and never more parts than rows."""
-    tiles = math.ceil(big_rows * small_rows / per_task)
-    small_parts = min(small_rows, max(1, math.ceil(math.sqrt(tiles * small_rows / big_rows))))
-    return min(big_rows, max(1, math.ceil(tiles / small_parts))), small_parts
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.filter(not_null).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def hot_keys(big_counts: DataFrame, small_counts: DataFrame, keys: Sequence[str], per_task: int) -> DataFrame:
+    """Every key whose block of pairs is over `per_task`, with the number of parts to cut either side into:
+    enough tiles for the work, shaped so that little is repeated, and never more parts than rows. A stored table,
+    so that both sides agree on it also when tasks run again."""
+    counts = big_counts.withColumnRenamed("n", "_b").join(small_counts.withColumnRenamed("n", "_s"), list(keys))
+    b, s = F.col("_b").cast("double"), F.col("_s").cast("double")
+    tiles = F.ceil(b * s / per_task)
+    small_parts = F.least(F.col("_s"), F.greatest(F.lit(1), F.ceil(F.sqrt(tiles * s / b))))
+    hot = counts.filter(b * s > per_task).withColumn(_SMALL, small_parts.cast("bigint"))
+    big_parts = F.least(F.col("_b"), F.greatest(F.lit(1), F.ceil(tiles / F.col(_SMALL))))
+    return materialize(hot.withColumn(_BIG, big_parts.cast("bigint")).drop("_b", "_s"), "hot")
 
 
 def _own_part(spread_by: Sequence[str], parts: str) -> Column:
@@ -65,32 +43,25 @@ def _every_part(parts: str) -> Column:
 
 
 def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
-                spread_small_by: Sequence[str] | None = None, how: str = "inner",
-                per_task: int | None = None) -> DataFrame:
-    """Equi-join in which no single key has to fit one task.
-
-    Without `spread_small_by`, `small` has one row per key (a lookup): the big side's rows of a hot key
-    are dealt out by the hash of `spread_by` and the one lookup row is repeated for each part; `how`
-    may be inner or left. With it, both sides may be many rows per key (inner only) and the key's block
-    of pairs is tiled, each side repeated along the other's tiles.
-
-    The only broadcast is the table of hot keys, at most MAX_HOT_KEYS rows."""
+                spread_small_by: Sequence[str] | None = None, how: str = "inner", per_task: int | None = None,
+                big_counts: DataFrame | None = None, small_counts: DataFrame | None = None) -> DataFrame:
+    """Equi-join whose hot keys are spread out.
+
+    Without `spread_small_by`, `small` has one row per key (a lookup): the work follows the bytes of `big`, and Spark's
+    adaptive execution cuts a large key's partition; `how` may be inner or left. With it, both sides may be many rows
+    per key (inner only) and bytes say little about the pairs: keys are counted (`big_counts` and `small_counts`
+    spare that where sums are known), and the block of a hot key is tiled, each side repeated along the other's
+    tiles. Hot keys, however many, are joined in like any table; Spark broadcasts it if its size allows."""
     keys = list(keys)
-    both = spread_small_by is not None
-    if both and how != "inner":
-        raise ValueError("only inner joins can repeat the big side")
-    if not both and per_task is None and _estimated_bytes(big) <= SMALL_BYTES:
+    if spread_small_by is None:
         return big.join(small, keys, how)
-    per_task = per_task or (PAIRS_PER_TASK if both else ROWS_PER_TASK)
-    hot = _hot_keys(big, small if both else None, keys, per_task)
-    if hot is None:
-        return big.join(small, keys, how)
-    hot = F.broadcast(hot)
-    left = big.join(hot, keys, "left").withColumn("_i", _own_part(spread_by, _BIG))
-    right = small.join(hot, keys, "left").withColumn("_i", _every_part(_BIG))
-    joined_on = keys + ["_i"]
-    if both:
-        left = left.withColumn("_j", _every_part(_SMALL))
-        right = right.withColumn("_j", _own_part(spread_small_by, _SMALL))
-        joined_on = joined_on + ["_j"]
-    return left.drop(_BIG, _SMALL).join(right.drop(_BIG, _SMALL), joined_on, how).drop("_i", "_j")
+    if how != "inner":
+        raise ValueError("only inner joins can repeat the big side")
+    hot = hot_keys(
+        big_counts if big_counts is not None else key_counts(big, keys),
+        small_counts if small_counts is not None else key_counts(small, keys), keys, per_task or PAIRS_PER_TASK)
+    if hot.isEmpty():
+        return big.join(small, keys)
+    left = big.join(hot, keys, "left").withColumn("_i", _own_part(spread_by, _BIG)).withColumn("_j", _every_part(_SMALL))
+    right = small.join(hot, keys, "left").withColumn("_i", _every_part(_BIG)).withColumn("_j", _own_part(spread_small_by, _SMALL))
+    return left.drop(_BIG, _SMALL).join(right.drop(_BIG, _SMALL), keys + ["_i", "_j"]).drop("_i", "_j")

@@ -8,9 +8,11 @@ from ..config import W2V
 
 
 def fit(business: DataFrame, categories: str = "categories", **settings) -> Word2VecModel:
-    """Train on the category lists. With `numPartitions` > 1 training itself is spread out."""
-    w2v = Word2Vec(inputCol=categories, outputCol=f"{categories}_vec", **{**W2V, **settings})
-    return w2v.fit(business.filter(business[categories].isNotNull()))
+    """Train on the category lists, in as many tasks as the lists have partitions, unless
+    `numPartitions` is given."""
+    lists = business.select(categories).filter(business[categories].isNotNull())
+    chosen = {"numPartitions": max(1, lists.rdd.getNumPartitions()), **W2V, **settings}
+    return Word2Vec(inputCol=categories, outputCol=f"{categories}_vec", **chosen).fit(lists)
 
 
 def _saved(business: DataFrame, path: str) -> bool:

@@ -1,22 +1,24 @@
 """Recommendations for a whole table of queries in one job.
 
-Query-side tables are as large as the query table at most and are prepared first: matched terms, pool
-means, preference vectors. They then meet the businesses in a single join on (place, term), whose
-output is the pairs to score and no more. Queries that share a base (user, categories, scope, locality)
-share its pool; they differ in when and how the pool is read ("variants")."""
+Three levels of sharing. Queries with the same matched terms and locality look at the same pool of businesses, which is
+joined once and stored; the neutral taste is its mean. A pool is scored once for each reader: a user with a
+history in its categories, or all others together. Queries of one reader that differ in when and how they
+read the scores are variants, ranked once each."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import W2V
 from ..functions import hours, text, vectors
 from ..operators import expansion, locality, preference, queries as requests, ranking
 from ..operators.columns import is_first_match
-from ..operators.skew import spread_join
+from ..operators.skew import key_counts, spread_join
 from ..operators.trips import add_trip_duration
 from ..sources.shared import materialize
 
 _LOCALITY = ["locality_mode", "state", "city", "latitude", "longitude", "radius_km"]
 _VARIANT = ["base_key", "day_index", "time_minutes", "currently_open", "recommend_reviewed"]
+_READING = ["reader", *_VARIANT[1:]]
 
 
 def pack_business(business: DataFrame) -> DataFrame:
@@ -32,7 +34,9 @@ def resolve_queries(queries: DataFrame, vocabulary: DataFrame, word_vectors: Dat
     rejects the whole query; without word vectors only scope 0 can be answered."""
     good, bad = requests.split_queries(queries)
     terms = good.select("query_id", "scope", F.explode(F.array_distinct("categories")).alias("term"))
-    strange = expansion.unknown_terms(terms, vocabulary).select("query_id").distinct()
+    # A term that millions of queries ask for is looked up once.
+    unknown = expansion.unknown_terms(terms.select("term").distinct(), vocabulary)
+    strange = terms.join(unknown, "term", "left_semi").select("query_id").distinct()
     if word_vectors is None:
         too_wide = terms.filter("scope > 0").select("query_id").distinct()
         bad = bad.unionByName(good.join(too_wide, "query_id", "left_semi").withColumn(
@@ -43,140 +47,150 @@ def resolve_queries(queries: DataFrame, vocabulary: DataFrame, word_vectors: Dat
     good = good.join(strange, "query_id", "left_anti")
     usable = terms.join(good.select("query_id"), "query_id", "left_semi")
     matched = expansion.matched_terms(expansion.expand_terms(usable, word_vectors))
-    resolved = good.join(matched, "query_id").withColumn("base_key", requests.base_key()).withColumn(
-        "day_index", text.day_index(F.col("day")))
-    return resolved.withColumn("pool_key", F.array_join("terms", "\x1f")), bad
+    return good.join(matched, "query_id").withColumns({
+        "base_key": requests.base_key(), "pool_key": requests.terms_key(), "pool_id": requests.pool_id(),
+        "day_index": text.day_index(F.col("day"))}), bad
 
 
-def variants(resolved: DataFrame) -> DataFrame:
-    """One row per distinct (base, day, time, flags), named after its first query, sized for its
-    largest n. A base has at most 7 * 1440 * 4 of them, however many queries repeat it."""
-    keys = [
-        F.coalesce("day_index", F.lit(-1)).alias("day_index"),
-        F.coalesce("time_minutes", F.lit(-1)).alias("time_minutes"),
-        "currently_open", "recommend_reviewed",
-    ]
-    return resolved.select("query_id", "n", "base_key", *keys).groupBy(*_VARIANT).agg(
-        F.min("query_id").alias("variant_id"), F.max("n").alias("n"))
+def _moment() -> list[Column]:
+    return [F.coalesce(c, F.lit(-1)).alias(c) for c in ("day_index", "time_minutes")]
 
 
-def bases(resolved: DataFrame) -> DataFrame:
-    """One row per base: what its pool depends on, and the list of its variants."""
-    columns = ["user_id", "terms", "pool_key", *_LOCALITY]
-    base = resolved.groupBy("base_key").agg(*[F.min_by(c, "query_id").alias(c) for c in columns])
-    fields = ["variant_id", "n", *_VARIANT[1:]]
-    listed = variants(resolved).groupBy("base_key").agg(F.collect_list(F.struct(*fields)).alias("variants"))
-    return locality.place_keys(base.join(listed, "base_key"))
+def variants(resolved: DataFrame, keys: list[str] = _VARIANT) -> DataFrame:
+    """One row per distinct (base, day, time, flags), named after its first query, sized for its
+    largest n. With checked times a base has at most 7 * 1440 * 4 of them, however many queries repeat it."""
+    return resolved.select("query_id", "n", keys[0], *_moment(), *keys[3:]).groupBy(*keys).agg(
+        F.min("query_id").alias("variant_id"), F.max("n").alias("n"))
 
 
-def rated_in_pools(base: DataFrame, rated: DataFrame, per_task: int | None = None) -> DataFrame:
+def rated_in_pools(asked: DataFrame, rated: DataFrame, per_task: int | None = None) -> DataFrame:
     """(user_id, pool_key, business_id, user_stars, attrs): each user's rated businesses that share a
     term with one of the user's pools, wherever they are and whether or not they are open."""
-    wanted = base.select("user_id", "pool_key", "terms").distinct().withColumn("term", F.explode("terms"))
+    wanted = asked.select("user_id", "pool_key", "terms").distinct().withColumn("term", F.explode("terms"))
     history = rated.withColumn("term", F.explode(F.array_distinct("categories")))
     return spread_join(history, wanted, ["user_id", "term"], ["business_id"], ["pool_key"], per_task=per_task).filter(
         is_first_match(F.col("categories"), F.col("terms"), F.col("term"))
     ).select("user_id", "pool_key", "business_id", "user_stars", "attrs")
 
 
-def user_preferences(base: DataFrame, rated: DataFrame, per_task: int | None = None) -> DataFrame:
-    """(user_id, pool_key, preference), imputed among the user's own businesses of the pool."""
-    pairs = ["user_id", "pool_key"]
-    history = materialize(rated_in_pools(base, rated, per_task), "history")
-    return preference.preference_vectors(
-        preference.business_vectors(history, pairs, per_task=per_task), pairs)
+def pools(resolved: DataFrame, packed: DataFrame, per_task: int | None = None) -> DataFrame:
+    """One row per pool: terms, means of its categories everywhere, and its places."""
+    columns = ["terms", "pool_key", *_LOCALITY]
+    pool = resolved.groupBy("pool_id").agg(*[F.min_by(c, "query_id").alias(c) for c in columns])
+    means = preference.pool_means(packed, pool, per_task)
+    filled = pool.join(means, "pool_key", "left").withColumn("means", F.coalesce("means", preference.default_means()))
+    return locality.place_keys(filled)
 
 
-def candidates(base: DataFrame, packed: DataFrame, per_task: int | None = None) -> DataFrame:
-    """Open businesses in each base's locality and categories, with filled vector and length. `base`
-    has base_key, terms, means and places; its other columns come along."""
-    renamed = base.withColumnsRenamed({"latitude": "query_latitude", "longitude": "query_longitude"})
+def candidates(pool: DataFrame, packed: DataFrame, per_task: int | None = None) -> DataFrame:
+    """(pool_id, business_id, quality, hours, attrs, means): open businesses in each pool's locality and
+    categories. Small rows: vectors are filled where they are used."""
+    renamed = pool.withColumnsRenamed({"latitude": "query_latitude", "longitude": "query_longitude"})
     placed = renamed.withColumn("place", F.explode("places")).withColumn("term", F.explode("terms")).drop(
-        "state", "city", "places")
+        "state", "city", "places", "pool_key")
     points = locality.business_places(packed.filter("is_open").drop("is_open"), placed).select(
         "place", "business_id", "latitude", "longitude", "categories", "quality", "attrs", "hours",
         F.explode(F.array_distinct("categories")).alias("term"))
-    # Few query rows fan out into many pairs: their number of tasks must not follow their size.
-    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.drop("kind").repartition(tasks, "place", "term")
-    joined = spread_join(points, placed, ["place", "term"], ["business_id"], ["base_key"], per_task=per_task)
+    joined = spread_join(points, placed.drop("kind"), ["place", "term"], ["business_id"], ["pool_id"], per_task=per_task)
     hit = joined.filter(
         is_first_match(F.col("categories"), F.col("terms"), F.col("term")) & locality.within_query_circle())
-    return preference.unit_vectors(hit.drop("categories", "terms", "term", "place", "latitude", "longitude"))
-
-
-def prepare(resolved: DataFrame, packed: DataFrame, rated: DataFrame, per_task: int | None = None) -> DataFrame:
-    """Bases with pool means and preference vector: the user's own, or the mean of the candidates for
-    a user without (usable) history in the categories."""
-    base = materialize(bases(resolved), "bases")
-    means = preference.pool_means(packed, base, per_task)
-    known = spread_join(base, means, ["pool_key"], ["base_key"], how="left", per_task=per_task)
-    known = known.withColumn("means", F.coalesce("means", preference.default_means()))
-    known = materialize(
-        spread_join(known, user_preferences(base, rated, per_task), ["user_id", "pool_key"], ["base_key"],
-                    how="left", per_task=per_task), "known")
-    strangers = known.filter("preference is null").drop("preference", "variants")
-    neutral = preference.mean_vectors(candidates(strangers, packed, per_task), ["base_key"])
-    neutral = neutral.withColumnRenamed("preference", "neutral")
-    return known.join(neutral, "base_key", "left").withColumn(
+    return hit.select("pool_id", "business_id", "quality", "hours", "attrs", "means")
+
+
+def readers(resolved: DataFrame, found: DataFrame, history: DataFrame, per_task: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(queries with their reader, readers with pool_id, user_id, pool_key and preference).
+
+    A user with rated businesses in the pool's categories reads it alone, with the own preference vector, or the
+    pool's mean if all ratings weigh 0; all other users of a pool are one reader with the mean."""
+    pairs = ["user_id", "pool_key"]
+    own = preference.preference_vectors(preference.business_vectors(history, pairs, per_task=per_task), pairs)
+    asked = resolved.join(own.withColumn("known", F.lit(True)), pairs, "left").withColumns({
+        "reader": F.when(F.col("known"), F.sha2(F.concat_ws("/", "pool_id", "user_id"), 256)).otherwise(F.col("pool_id")),
+        # Nobody has reviewed what a pool holds for users without history in its categories.
+        "recommend_reviewed": F.col("recommend_reviewed") & F.coalesce("known", F.lit(False)),
+    })
+    asked = materialize(asked, "asked")
+    neutral = preference.mean_vectors(preference.unit_vectors(found), ["pool_id"]).withColumnRenamed("preference", "neutral")
+    columns = ["pool_id", "pool_key", "preference"]
+    alone = asked.groupBy("reader").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in columns], F.first(F.when(F.col("known"), F.col("user_id")), True).alias("user_id"))
+    return asked.drop("preference", "known"), alone.join(neutral, "pool_id", "left").withColumn(
         "preference", F.coalesce("preference", "neutral")).drop("neutral")
 
 
+def prepare(resolved: DataFrame, packed: DataFrame, rated: DataFrame,
+            per_task: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(queries with readers, readers, candidates, history); the latter three are stored."""
+    history = materialize(rated_in_pools(resolved, rated, per_task), "history")
+    found = materialize(candidates(materialize(pools(resolved, packed, per_task), "pools"), packed, per_task), "candidates")
+    asked, who = readers(resolved, found, history, per_task)
+    return asked, materialize(who, "readers"), found, history
+
+
 def similarity() -> Column:
     return vectors.weighted_dot(F.col("filled"), F.col("length"), F.col("preference"))
 
 
-def score(base: DataFrame, packed: DataFrame, rated: DataFrame, per_task: int | None = None) -> DataFrame:
+def score(asked: DataFrame, who: DataFrame, found: DataFrame, history: DataFrame, per_task: int | None = None) -> DataFrame:
     """(query_id, n, business_id, quality, similarity) per variant, after open-now and reviewed."""
-    pool = candidates(base, packed, per_task).select(
-        "user_id", "business_id", "quality", "hours", similarity().alias("similarity"),
-        F.explode("variants").alias("v"))
-    read = pool.filter(
-        ~F.col("v.currently_open")
-        | hours.packed_open_at(F.col("hours"), F.col("v.day_index"), F.col("v.time_minutes"))
-    ).select(
-        F.col("v.variant_id").alias("query_id"), F.col("v.n").alias("n"),
-        F.col("v.recommend_reviewed").alias("keep_reviewed"),
-        "user_id", "business_id", "quality", "similarity")
-    seen = rated.select(F.col("user_id").alias("_user"), F.col("business_id").alias("_business"))
-    return read.join(
-        seen, (F.col("user_id") == F.col("_user")) & (F.col("business_id") == F.col("_business"))
-        & ~F.col("keep_reviewed"), "left_anti").drop("keep_reviewed", "user_id")
+    sizes = key_counts(found, ["pool_id"])
+    pairs = spread_join(found, who, ["pool_id"], ["business_id"], ["reader"], per_task=per_task, big_counts=sizes)
+    scored = preference.unit_vectors(pairs).withColumn("similarity", similarity()).select(
+        "reader", "user_id", "pool_key", "business_id", "quality", "hours", "similarity")
+    seen = history.select("user_id", "pool_key", "business_id", F.lit(True).alias("reviewed"))
+    marked = scored.join(seen, ["user_id", "pool_key", "business_id"], "left").drop("user_id", "pool_key")
+    reading = variants(asked, _READING)
+    by_reader = sizes.join(who.select("pool_id", "reader"), "pool_id").select("reader", "n")
+    read = spread_join(marked, reading, ["reader"], ["business_id"], ["variant_id"], per_task=per_task, big_counts=by_reader)
+    return read.filter(
+        (~F.col("currently_open") | hours.packed_open_at(F.col("hours"), F.col("day_index"), F.col("time_minutes")))
+        & (F.col("recommend_reviewed") | F.col("reviewed").isNull())
+    ).select(F.col("variant_id").alias("query_id"), "n", "business_id", "quality", "similarity")
 
 
 def recommend_batch(queries: DataFrame, business: DataFrame, reviews: DataFrame,
                     word_vectors: DataFrame | None = None, travel_times: DataFrame | None = None,
-                    per_task: int | None = None) -> tuple[DataFrame, DataFrame]:
+                    per_task: int | None = None, min_count: int = W2V["minCount"]) -> tuple[DataFrame, DataFrame]:
     """(results, rejects) for a table of queries over clean businesses and reviews.
 
+    Jobs run when it is called: intermediate tables are stored in the shared folder (`temporary_tables` removes them)
+    and the results read the last ones. Without word vectors a category must occur `min_count` times to be known.
+
     Results have query_id, rank, similarity_bin, similarity and the display columns; `categories` is
     filled for queries with detail, `trip_duration` for radial queries that ask for it."""
-    vocabulary = word_vectors if word_vectors is not None else expansion.category_vocabulary(business)
+    vocabulary = word_vectors if word_vectors is not None else expansion.category_vocabulary(business, min_count)
     resolved, rejects = resolve_queries(queries, vocabulary, word_vectors)
     resolved = materialize(resolved, "queries")
     packed = pack_business(business)
     mine = reviews.join(resolved.select("user_id").distinct(), "user_id", "left_semi")
     rated = materialize(preference.rated_businesses(
         preference.latest_stars(mine), packed.select("business_id", "categories", "attrs"), per_task), "rated")
-    ready = materialize(prepare(resolved, packed, rated, per_task), "ready")
-    scored = materialize(score(ready, packed, rated, per_task), "scored")
+    asked, who, found, history = prepare(resolved, packed, rated, per_task)
+    scored = materialize(score(asked, who, found, history, per_task), "scored")
     best = materialize(
         ranking.top_n(ranking.similarity_bins(scored, per_task=per_task)).drop("n", "quality"), "best")
-    return present(best, resolved, business, travel_times, per_task), rejects
+    return present(best, asked, business, travel_times, per_task), rejects
+
+
+def unanswered(results: DataFrame, queries: DataFrame, rejects: DataFrame) -> DataFrame:
+    """(query_id, status) for every query: answered, no match, or why it was rejected."""
+    found = results.select("query_id").distinct().withColumn("answered", F.lit("answered"))
+    bad = rejects.groupBy("query_id").agg(F.min("reason").alias("reason"))
+    return queries.select("query_id").join(bad, "query_id", "left").join(found, "query_id", "left").select(
+        "query_id", F.coalesce("reason", "answered", F.lit("no match")).alias("status"))
 
 
 def present(best: DataFrame, resolved: DataFrame, business: DataFrame, travel_times: DataFrame | None,
             per_task: int | None = None) -> DataFrame:
     """Variant results back to every query that asked, with the columns people read."""
-    asked = resolved.withColumns({
-        "day_index": F.coalesce("day_index", F.lit(-1)), "time_minutes": F.coalesce("time_minutes", F.lit(-1)),
-    }).select(
-        "query_id", "n", *_VARIANT, "locality_mode", "detail", F.col("trip_duration").alias("trip_requested"),
+    asked = resolved.select(
+        "query_id", "n", "reader", *_moment(), *_READING[3:], "locality_mode", "detail", F.col("trip_duration").alias("trip_requested"),
         F.col("latitude").alias("query_latitude"), F.col("longitude").alias("query_longitude"))
-    named = spread_join(asked, variants(resolved).drop("n"), _VARIANT, ["query_id"], per_task=per_task).drop(*_VARIANT)
+    named = asked.join(variants(resolved, _READING).drop("n"), _READING).drop(*_READING)
     ranks = best.withColumnRenamed("query_id", "variant_id")
-    results = spread_join(named, ranks, ["variant_id"], ["query_id"], ["business_id"], per_task=per_task).filter(
-        F.col("rank") <= F.col("n"))
+    results = spread_join(named, ranks, ["variant_id"], ["query_id"], ["business_id"], per_task=per_task,
+                          big_counts=key_counts(named, ["variant_id"]), small_counts=key_counts(ranks, ["variant_id"])
+                          ).filter(F.col("rank") <= F.col("n"))
     shown = business.select(
         "business_id", "name", "address", "city", "stars", "review_count",
         "latitude", "longitude", "categories")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..config import DAYS, ORDINALS, PRICE, RAW_ATTRIBUTES, TRISTATES
 from ..functions import attributes, hours, text
+from ..operators.expansion import document_vectors
 from ..operators.columns import cast_columns, columns_matching, narrow_bigints, narrow_floats, promote_fields, row_sum
 
 
@@ -29,6 +30,12 @@ def clean_review(review: DataFrame) -> DataFrame:
     return narrow_bigints(cast_columns(review, date="timestamp", stars="float"))
 
 
+def with_category_vectors(business: DataFrame, word_vectors: DataFrame) -> DataFrame:
+    """Clean businesses with `categories_vec`, the mean of their categories' vectors (zeros where none is known)."""
+    found = document_vectors(business, "business_id", "categories", word_vectors)
+    return business.join(found.withColumnRenamed("vector", "categories_vec"), "business_id", "left")
+
+
 def clean_business(business: DataFrame) -> DataFrame:
     """Typed scalars, numeric attributes, category list, quality and minutes of opening hours.
     Businesses without categories are left out."""

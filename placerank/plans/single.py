@@ -1,4 +1,4 @@
-"""One query: constants instead of joins, so category, place and hours reach the scan as filters."""
+"""One query: constants instead of joins, so state, city, box and is_open reach the scan as filters."""
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -12,6 +12,7 @@ from ..operators import expansion, locality, preference, ranking
 from ..operators.columns import any_category
 from ..operators.trips import add_trip_duration
 from ..sources.shared import materialize
+from ..sources.sinks import write_results, write_text
 from .batch import similarity
 
 
@@ -37,7 +38,7 @@ def similar_categories(spark_df: DataFrame, terms: Sequence[str], scope: int, wo
     asked = spark.createDataFrame([(t, scope) for t in dict.fromkeys(terms)], "term string, scope int")
     strange = expansion.unknown_terms(asked, spark_df).first()
     if strange is not None:
-        raise ValueError(f"Category '{strange.term}' does not exist in the category vocabulary!")
+        raise ValueError(f"no business is filed under {strange.term!r}")
     if scope == 0:
         return sorted(set(terms))
     if word_vectors is None:
@@ -140,6 +141,11 @@ def recommend(business: DataFrame, reviews: DataFrame, query: Query, n: int = 5,
     return project_results(ordered, detail, trips)
 
 
+def save_recommendation(found: DataFrame, path: str, fmt: str = "text") -> None:
+    """Write a recommendation: as padded text lines, or as csv, json or parquet."""
+    (write_text if fmt == "text" else write_results)(found, path, *([] if fmt == "text" else [fmt]))
+
+
 def recommend_json(business: DataFrame, reviews: DataFrame, query: Query, n: int = 5, open_now: bool = True,
                    recommend_reviewed: bool = False, trip_duration: bool = False, detail: bool = False,
                    word_vectors: DataFrame | None = None, travel_times: DataFrame | None = None,

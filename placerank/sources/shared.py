@@ -2,38 +2,48 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
-_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 _local_root: dict[str, str] = {}
+_open_scopes: list[list[str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder. Only a session without one gets a folder of its own."""
+    """A fresh path under the shared folder. Only a session on this machine alone (tests) may be without one; it
+    gets a folder of its own."""
     root = spark.conf.get(_KEY, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {_KEY} to a folder that all executors can reach")
         app = spark.sparkContext.applicationId
         if app not in _local_root:
             _local_root[app] = tempfile.mkdtemp(prefix="placerank-")
         root = _local_root[app]
-    return f"{root.rstrip('/')}/placerank/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/placerank/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for scope in _open_scopes:
+        scope.append(path)
+    return path
 
 
 @contextmanager
-def compilable_methods(spark: SparkSession):
-    """While jobs run inside, stages whose generated method would exceed the 8000 bytes that the JVM
-    compiles are split into smaller methods instead. Unrolled vector arithmetic needs that."""
-    before = spark.conf.get(_METHOD_LIMIT)
-    spark.conf.set(_METHOD_LIMIT, 8000)
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end all intermediate tables that were stored inside it. Results that read them
+    have to be written or collected before."""
+    paths: list[str] = []
+    _open_scopes.append(paths)
     try:
         yield
     finally:
-        spark.conf.set(_METHOD_LIMIT, before)
+        _open_scopes.remove(paths)
+        hadoop = spark._jsc.hadoopConfiguration()
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(hadoop).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +51,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor, columnar re-reads and real size statistics for the joins that follow."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with compilable_methods(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 import pathlib
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -12,7 +13,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="placerank-tests-")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

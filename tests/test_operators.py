@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from placerank.operators import expansion, locality, preference, queries, ranking, reviews
+from placerank.operators import expansion, locality, preference, queries, ranking, reviews, skew, word2vec
 from placerank.operators.skew import spread_join
 
 
@@ -29,6 +30,18 @@ def test_spread_join_splits_hot_keys_without_changing_the_result(spark):
     assert sorted(left.collect(), key=lambda r: r.i) == sorted((i, names.get(k)) for i, k in big)
 
 
+def test_spread_join_splits_any_number_of_hot_keys(spark):
+    """Three thousand keys are all over the limit, and every one is cut into parts."""
+    b = spark.range(3000 * 12).selectExpr("id as i", "id % 3000 as key")
+    m = spark.range(3000 * 3).selectExpr("id as j", "id % 3000 as key")
+    hot = skew.hot_keys(skew.key_counts(b, ["key"]), skew.key_counts(m, ["key"]), ["key"], 9)
+    assert hot.filter("_big_part * _small_part >= 4").count() == 3000
+    pairs = spread_join(b, m, ["key"], ["i"], ["j"], per_task=9)
+    plain = b.join(m, "key")
+    total = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("i", "j").cast("decimal(38,0)"))).first())
+    assert total(pairs) == total(plain) and total(plain)[0] == 3000 * 36
+
+
 def brute_bins(values):
     bins = pd.qcut(pd.Series(values), max(int(math.sqrt(len(values))), 1), duplicates="drop", labels=False)
     return bins.fillna(0).astype(int).tolist()
@@ -135,3 +148,33 @@ def test_review_edits(spark):
     assert (added.stars, added.useful, added.date) == (3.0, 0, "2024-01-01 00:00:00") and added.review_id.startswith("r-")
     stars = spark.createDataFrame([(0.0,), (4.5,), (4.3,), (5.5,), (None,)], "stars double")
     assert reviews.split_by_stars(stars)[0].count() == 2
+
+
+def test_document_vectors_keep_zeros(spark):
+    docs = spark.createDataFrame([("a", ["x", "x", "y"]), ("b", ["none"]), ("c", []), ("d", None)], "key string, words array<string>")
+    known = spark.createDataFrame([("x", [1.0, 2.0]), ("y", [4.0, -1.0])], "word string, vector array<double>")
+    found = {r.key: r.vector for r in expansion.document_vectors(docs, "key", "words", known).collect()}
+    assert found == {"a": [2.0, 1.0], "b": [0.0, 0.0], "c": [0.0, 0.0], "d": [0.0, 0.0]}
+
+
+def test_scope_zero_starts_no_search(spark):
+    words = spark.createDataFrame([("x", [1.0])], "word string, vector array<double>")
+    terms = spark.createDataFrame([(1, "x", 0), (2, "y", 0)], "query_id int, term string, scope int")
+    found = expansion.expand_terms(terms, words)
+    assert sorted(r.matched for r in found.collect()) == ["x", "y"]
+    assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word2vec_trains_in_several_tasks(spark):
+    lists = spark.createDataFrame([(["a", "b", "c"],)] * 60, "categories array<string>").repartition(3)
+    assert word2vec.fit(lists, minCount=1, vectorSize=4).getNumPartitions() == 3
+
+
+def test_temporary_tables_are_removed(spark):
+    from placerank import sources
+
+    with sources.temporary_tables(spark):
+        kept = sources.materialize(spark.range(3).toDF("a"), "kept")
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and kept.count() == 3
+    assert not os.path.exists(path)
