@@ -30,8 +30,7 @@ def personal_data(spark, docs, sf_dir):
 def pieces(spark, docs, sf_dir):
     """The columns of documents with each text's ids, their number and score, and the text decoded from the ids."""
     path = public_tokenizers.path(PIECES)
-    encoded, names = max_plus.encode(docs, path)
-    return max_plus.decode(encoded, path, names["ids"], "decoded")
+    return max_plus.encode(docs, path, check=True)[0]
 
 
 STAGES = [

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, stored
 
-CHUNK, FAN, SCALE = 1 << 15, 64, 10
+CHUNK, FAN, SCALE, ROWS, WORDS = 1 << 15, 64, 10, 256, 300_000
 NEVER = -(1 << 60)
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 _SPACE = "▁"
@@ -134,7 +134,7 @@ class Pieces:
         try:
             found = [known[w] for w in parts]
         except KeyError:
-            if len(known) > 600_000:
+            if len(known) > WORDS:
                 known.clear()
             found = []
             for w in parts:
@@ -217,11 +217,15 @@ def _written(text: str) -> str:
 def _encode_short(model_file: str, text_col: str, names: dict[str, str]):
     def run(batches):
         pieces = _pieces(model_file)
-        for batch in batches:
-            found = [pieces.solve(_written(t or "")) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64())],
-                names=[*batch.schema.names, names["ids"], names["score"]])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                found = [pieces.solve(_written(t or "")) for t in batch.column(text_col).to_pylist()]
+                added = {"ids": pa.array([f[0] for f in found], pa.binary()), "score": pa.array([f[1] for f in found], pa.int64())}
+                if "decoded" in names:
+                    added["decoded"] = pa.array([pieces.decode(f[0]) for f in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()],
+                                                 names=[*batch.schema.names, *[names[n] for n in added]])
 
     return run
 
@@ -337,7 +341,7 @@ def _whole(group: pa.Table) -> pa.Table:
 def _decoded(model_file: str, ids_col: str, out_col: str):
     def run(batches):
         pieces = _pieces(model_file)
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             texts = [None if i is None else pieces.decode(i) for i in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, out_col])
@@ -349,15 +353,16 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", chunk: int = CHUNK) -> tuple[DataFrame, dict[str, str]]:
-    """`docs` with `ids` (little-endian signed 32-bit numbers) and `score` (sum of scores, times SCALE); their names come
-    with it. Null and empty texts have no ids. Equal giant texts are encoded once, and found again by their hash and
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", chunk: int = CHUNK,
+           check: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with `ids` (little-endian signed 32-bit numbers) and `score` (sum of scores, times SCALE), and with `check` the
+    text `decoded` from the ids; their names come with it. Null and empty texts have no ids. Equal giant texts are encoded once, and found again by their hash and
     length. Of several segmentations with the greatest score any one is taken, the same for the same text. A U+2581 of the text
     is written as bytes, so that decoding gives every text back. Rows, repeated ones too, and other columns stay."""
-    names = {n: fresh(docs, n) for n in ("ids", "score")}
+    names = {n: fresh(docs, n) for n in ["ids", "score"] + ["decoded"] * check}
     key = fresh(docs, "text_key")
     giant = F.coalesce(F.length(text_col), F.lit(0)) > chunk
-    added = f"`{names['ids']}` binary, `{names['score']}` long"
+    added = f"`{names['ids']}` binary, `{names['score']}` long" + (f", `{names['decoded']}` string" if check else "")
     short = docs.where(~giant).mapInArrow(_encode_short(model_file, text_col, names), f"{_ddl(docs)}, {added}")
     giants = docs.where(giant).withColumn(key, F.concat_ws("-", F.sha2(text_col, 256), F.length(text_col)))
     once = giants.select(F.col(key).alias("key"), F.col(text_col).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
@@ -367,6 +372,8 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", chunk: int
     traced = chunks.join(states, ["key", "nth"]).select("key", "nth", "size", "text", "enter", "leave").mapInArrow(
         _trace(model_file), "key string, nth long, ids binary, score long")
     whole = traced.groupBy("key").applyInArrow(lambda t: _whole(t), "key string, ids binary, score long")
+    if check:
+        whole = decode(whole, model_file, "ids", "decoded")
     whole = whole.select(F.col("key").alias(key), *[F.col(n).alias(own) for n, own in names.items()])
     return short.unionByName(giants.join(whole, key).drop(key)), names
 
@@ -378,8 +385,7 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str, out_col: str) -> D
 
 def digest(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens, score, ids_sha256 and round_trip (decoding gives the text back) of every document."""
-    encoded, names = encode(docs.select("doc_id", "text"), model_file)
-    back = decode(encoded, model_file, names["ids"], "decoded")
+    back, names = encode(docs.select("doc_id", "text"), model_file, check=True)
     return back.select(
         "doc_id", (F.length(names["ids"]) / 4).cast("long").alias("n_tokens"), F.col(names["score"]).alias("score"),
         F.sha2(names["ids"], 256).alias("ids_sha256"),
