@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from .common import power_of_two, spread, stored, texts
 from .packing import pack, pack_sorted, unpack, unpack_sorted
 
-FILTER_BITS, PROBES, LOG_BASE, PRIOR, CHUNK = 1 << 29, 3, 1.5, 20.0, 8 << 20
+FILTER_BITS, PROBES, LOG_BASE, PRIOR, CHUNK = 1 << 29, 3, 1.5, 20.0, 4 << 20
 HELD_OUT, FOLDS = 2, 7
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 _32, _29 = np.uint64(32), np.uint64(29)
