@@ -94,7 +94,7 @@ def _finish(batches):
                 status, error = "invalid_arguments", "not JSON"
             if r["name"] is None and r["call_turn"] is None:
                 status, error = "orphan_result", None
-            elif r["call_id"] is None:
+            elif r["call_id"] is None or r["conv_id"] is None:
                 status, error = "no_id", None
             elif r["level"] is None:
                 status, error = "cycle", None
