@@ -13,7 +13,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.codegen.wholeStage", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="placerank-tests-")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
