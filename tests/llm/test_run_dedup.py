@@ -27,7 +27,8 @@ def test_index_finds_the_first_place_of_each_window(seed):
 
 
 def test_runs_shrink_with_repetition():
-    text = bytes(random.Random(1).randrange(256) for _ in range(500))
+    rng = random.Random(1)
+    text = bytes(rng.randrange(256) for _ in range(500))
     index = RunIndex([text[:400 + i] for i in range(50)], 100)
     assert len(index.run_row) < 1500 < 50 * 400
 
@@ -62,7 +63,8 @@ def test_equals_brute_force(spark, chunk):
 
 
 def test_null_and_equal_ids_and_empty_tables(spark):
-    text = "".join(random.Random(8).choice("abcdef") for _ in range(150))
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdef") for _ in range(150))
     docs = spark.createDataFrame([(None, text), (3, text), (3, text), (1, "no")], "doc_id long, text string").coalesce(1)
     got = sorted((str(r.doc_id), r.n_removed) for r in d.remove_repeats(docs).collect())
     assert got == [("1", 0), ("3", 0), ("3", 150), ("None", 150)]
