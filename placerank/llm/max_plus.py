@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, stored
 
-CHUNK, FAN, SCALE, ROWS, WORDS = 1 << 15, 64, 10, 256, 300_000
+CHUNK, FAN, SCALE, ROWS, WORDS = 1 << 15, 64, 10, 256, 500_000
 NEVER = -(1 << 60)
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 _SPACE = "▁"
@@ -82,10 +82,17 @@ class Pieces:
         self.values = self.score.tolist()
         self.unknown = worst - 10 * SCALE
         self.reach = max(map(len, self.ids))
+        #: The pieces as a tree of characters; key 0 of a node has the id and score of the piece that ends there.
+        self.tree: dict = {}
+        for name, i in self.ids.items():
+            node = self.tree
+            for c in name:
+                node = node.setdefault(c, {})
+            node[0] = (i, self.values[i])
         #: Beginnings of pieces that are longer.
         self.open = {p[:k] for p in self.ids for k in range(1, len(p))}
         self.cuts = all(" " not in p[1:] or not p.strip(" ") for p in self.ids)
-        self.words: dict[str, tuple[bytes, int]] = {}
+        self.words: dict[str | tuple[str], tuple[bytes, int]] = {}
         self.table = np.array(self.text, object)
 
     def paths(self, text: str, begin: dict[int, int], end: int) -> tuple[list[int], list[tuple[int, int]]]:
@@ -122,27 +129,57 @@ class Pieces:
         return np.array(out[::-1], "<i4").tobytes()
 
     def word(self, word: str) -> tuple[bytes, int]:
-        """Ids and score of a text that is solved alone."""
-        best, back = self.paths(word, {0: 0}, len(word))
-        return self.trace(word, back, 0, len(word)), best[len(word)]
+        """Ids and score of a text that is solved alone: what `paths` and `trace` give, for the many short ones."""
+        n, unknown, tree = len(word), self.unknown, self.tree
+        best, begin, piece = [0] + [NEVER] * n, [0] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            here, node, single = best[i], tree, False
+            for j in range(i, n):
+                node = node.get(word[j])
+                if node is None:
+                    break
+                found = node.get(0)
+                if found is not None:
+                    single |= j == i
+                    s = here + found[1]
+                    if s > best[j + 1]:
+                        best[j + 1], begin[j + 1], piece[j + 1] = s, i, found[0]
+            if not single and here + unknown > best[i + 1]:
+                best[i + 1], begin[i + 1], piece[i + 1] = here + unknown, i, -1
+        out, end = [], n
+        while end:
+            i, k = begin[end], piece[end]
+            if k >= 0:
+                out.append(k)
+            else:
+                out += [self.byte_ids[b] for b in reversed(word[i:end].encode())]
+            end = i
+        out.reverse()
+        return struct.pack(f"<{len(out)}i", *out), best[n]
 
     def solve(self, text: str) -> tuple[bytes, int]:
         """Ids and score of a text that begins and ends at cuts."""
         if not self.cuts:
             return self.word(text)
-        known, parts = self.words, _WORD.findall(text)
+        # A word is kept without the space before it; a text without runs of spaces falls apart at single ones.
+        if text[:1] == " " and "  " not in text:
+            words = text[1:].split(" ")
+        else:
+            words = [w[1:] if w[0] == " " else (w,) for w in _WORD.findall(text)]
+        known = self.words
         try:
-            found = [known[w] for w in parts]
+            found = [known[w] for w in words]
         except KeyError:
             if len(known) > WORDS:
                 known.clear()
             found = []
-            for w in parts:
+            for w in words:
                 if w not in known:
+                    solved = self.word(w[0] if isinstance(w, tuple) else f" {w}")
                     if len(w) > 64:
-                        found.append(self.word(w))
+                        found.append(solved)
                         continue
-                    known[w] = self.word(w)
+                    known[w] = solved
                 found.append(known[w])
         return b"".join([f[0] for f in found]), sum([f[1] for f in found])
 
