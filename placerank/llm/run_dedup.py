@@ -116,7 +116,9 @@ def anchors(flat: np.ndarray, sizes: np.ndarray, window: int, k: int) -> tuple[n
         if len(start):
             head = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1))))
             last = np.append(head[1:] - 1, len(start) - 1)
-            found.append((h[at[head]], start[head], start[last]))
+            # Smallest hashes are small numbers: they are spread out again, one to one, before they are dealt by range.
+            spread_out = h[at[head]] * np.uint64(_BASE)
+            found.append((spread_out ^ (spread_out >> np.uint64(32)), start[head], start[last]))
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found))
