@@ -8,6 +8,7 @@ changes, which for chains and trees is at once."""
 
 import json
 import math
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -136,15 +137,21 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
         below = level.select("conv_id", F.col("call_id").alias("needed_id"), "level")
         deepest = edges.join(below, ["conv_id", "needed_id"]).groupBy(*KEY).agg(
             F.max(F.struct(F.coalesce("level", F.lit((1 << 62))).alias("level"), "needed_id"))["needed_id"].alias("jump"))
-        chain = stored(nodes.join(deepest, KEY, "left").withColumn(
-            "d", F.col("jump").isNotNull().cast("long")), "chains")
-        # After that many doublings only those behind a circle still have somewhere to go.
+        chain = stored(nodes.join(deepest, KEY, "left").select(
+            *KEY, "jump", F.col("jump").isNotNull().cast("long").alias("d")), "chains")
+        # Calls that have come to the end of their chain are put aside. After that many doublings only those behind a
+        # circle still have somewhere to go.
+        ended, moving = [chain.where(F.col("jump").isNull())], chain.where(F.col("jump").isNotNull())
         for _ in range(rounds):
-            if chain.where(F.col("jump").isNotNull()).isEmpty():
+            if moving.isEmpty():
                 break
-            on = chain.select("conv_id", F.col("call_id").alias("jump"), F.col("jump").alias("next"), F.col("d").alias("more"))
-            chain = stored(chain.join(on, ["conv_id", "jump"], "left").select(
+            on = reduce(DataFrame.unionByName, ended, moving).select(
+                "conv_id", F.col("call_id").alias("jump"), F.col("jump").alias("next"), F.col("d").alias("more"))
+            moved = stored(moving.join(on, ["conv_id", "jump"], "left").select(
                 *KEY, F.col("next").alias("jump"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")), "chains")
+            ended.append(moved.where(F.col("jump").isNull()))
+            moving = moved.where(F.col("jump").isNotNull())
+        chain = reduce(DataFrame.unionByName, ended, moving).select(*KEY, "jump", "d")
         stuck = F.col("jump").isNotNull()
         new = stored(chain.select(*KEY, F.when(~stuck, F.col("d")).alias("level")), "levels")
         changed = new.join(level.withColumnRenamed("level", "old"), KEY).where(~F.col("level").eqNullSafe(F.col("old")))
