@@ -1,13 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs of the training texts are quantised on a logarithmic scale; an n-gram of level j is put
-into a Bloom filter together with each of 1..j, and its level is read back by probing 1, 2, ... until one is missing.
-The filter has a fixed number of bits, whatever the corpus, and is broadcast to the workers; more n-grams only raise its
-rate of false positives (about 0.05 at 80 million n-grams and the default size). It is split into regions by the leading bits
-of the n-gram's hash, so each region is built by one group of the counting shuffle and no bits have to be merged.
+Counts of word pairs of the training texts are quantised on a logarithmic scale; a pair of level j is put into a Bloom
+filter together with each of 1..j, and its level is read back by probing 1, 2, ... until one is missing. The filter is split
+into regions by the leading bits of the pair's hash, so each region is built by one group of the counting shuffle and no
+bits have to be merged. A region has at least ROOM bits for each level of each pair counted there, so a probe for a missing
+one passes with at most about 0.03, whatever the corpus.
 
-Tokens are known by their 64-bit XXH3. A token's exact training count, needed for the base score, comes by a shuffle:
-chunks of documents ask for the counts of their distinct tokens, region by region, and get them back."""
+The filter is a stored table and is never gathered. Tokens are known by their 64-bit XXH3. Chunks of documents ask region by
+region for their distinct tokens and pairs, and get back the tokens' exact training counts and the pairs' levels."""
 
 import zlib
 
@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from .common import power_of_two, spread, stored, texts
 from .packing import pack, pack_sorted, unpack, unpack_sorted
 
-FILTER_BITS, PROBES, LOG_BASE, PRIOR, CHUNK = 1 << 29, 3, 1.5, 20.0, 4 << 20
+FILTER_BITS, ROOM, PROBES, LOG_BASE, PRIOR, CHUNK = 1 << 29, 8, 3, 1.5, 20.0, 4 << 20
 HELD_OUT, FOLDS = 2, 7
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 _32, _29 = np.uint64(32), np.uint64(29)
+#: Pairs that are probed at once.
+_BLOCK = 1 << 20
 #: A level's n-grams are taken to have the mean of the counts that it stands for.
 LEVELS = 70
 _edges = np.ceil(LOG_BASE ** np.arange(LEVELS + 1))
@@ -42,8 +44,14 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 def _positions(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
     h = mix(keys ^ np.uint64(level * int(_A) % (1 << 64)))
-    width = np.uint64(bits.bit_length() - 1)
-    return [(h >> (width * np.uint64(i))) & np.uint64(bits - 1) for i in range(PROBES)]
+    # Double hashing with both halves: room for regions of up to 2^32 bits.
+    step = (h >> _32) | np.uint64(1)
+    return [(h + step * np.uint64(i)) & np.uint64(bits - 1) for i in range(PROBES)]
+
+
+def bits_for(counts: np.ndarray, least: int) -> int:
+    """How many bits a region needs for n-grams with these counts."""
+    return power_of_two(max(ROOM * int(levels(counts).sum()), least, 64))
 
 
 def region_bits(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
@@ -160,12 +168,12 @@ def _merge(group: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
 
-def _build(size: int):
+def _build(least: int):
     def run(group: pa.Table) -> pa.Table:
         (words, word_n), (pairs, pair_n) = _merge(group, "word"), _merge(group, "pair")
-        bits = region_bits(np.concatenate((words, pairs)), np.concatenate((word_n, pair_n)), size)
+        bits = region_bits(pairs, pair_n, bits_for(pair_n, least))
         return pa.Table.from_pylist([{
-            "region": group.column("region")[0].as_py(), "bits": bits, "word": pack_sorted(words),
+            "region": group.column("region")[0].as_py(), "bits": pack(np.frombuffer(bits, np.uint8)), "word": pack_sorted(words),
             "word_n": pack(word_n), "n": int(word_n.sum()), "v": len(words)}], _BUILT)
 
     return run
@@ -179,62 +187,87 @@ def count_ngrams(docs: DataFrame, regions: int, filter_bits: int = FILTER_BITS,
     return stored(built, "ngrams")
 
 
-def _score(broadcast, regions: int, total: int, distinct: int, chunk: int):
-    """A row with the scores of each chunk (region null), and its questions for each region."""
+def _ask(regions: int, chunk: int):
+    """For each chunk a row with its tokens (in a region of its own, below 0), and its questions for each region."""
 
     def run(batches):
-        known, part = CountFilter(np.frombuffer(broadcast.value, np.uint8), regions), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         for nth, (ids, some) in enumerate(_chunks(batches, chunk)):
             code, starts = tokens(some)
-            keys, inverse = np.unique(code, return_inverse=True)
-            own = known.count(keys)
-            one = ((own + 1) / (total + distinct + 1))[inverse]
-            context = own[inverse]
-            context = np.concatenate((context[-1:], context[:-1]))
-            both = np.minimum(known.count(_pairs(code)), context)
-            score = np.add.reduceat(np.log10((both + PRIOR * np.minimum(one, 1.0)) / (context + PRIOR)), starts[:-1])
-            name, cut = (part << 32) + nth, _by_region(keys, regions)
-            rows = [{"chunk": name, "doc_ids": ids, "held_out": [held_out(i) for i in ids], "sizes": np.diff(starts).tolist(),
-                     "score": score.tolist(), "tokens": pack(inverse.astype(np.uint32))}]
-            rows += [{"chunk": name, "region": r, "keys": pack_sorted(keys[cut[r]:cut[r + 1]])}
-                     for r in range(regions) if cut[r] < cut[r + 1]]
-            yield pa.RecordBatch.from_pylist(rows, _SCORED)
+            words, inverse = np.unique(code, return_inverse=True)
+            pairs, name = np.unique(_pairs(code)), (part << 32) + nth
+            rows = [{"region": -1 - name, "chunk": name, "words": pack_sorted(words), "doc_ids": ids,
+                     "held_out": [held_out(i) for i in ids], "sizes": np.diff(starts).tolist(),
+                     "tokens": pack(inverse.astype(np.uint32))}]
+            cuts = _by_region(words, regions), _by_region(pairs, regions)
+            for r in range(regions):
+                (a, b), (c, d) = (cut[r:r + 2] for cut in cuts)
+                if a < b or c < d:
+                    rows.append({"region": r, "chunk": name, "words": pack_sorted(words[a:b]), "pairs": pack_sorted(pairs[c:d])})
+            yield pa.RecordBatch.from_pylist(rows, _ASKED)
 
     return run
 
 
-_SCORED = pa.schema([
-    ("chunk", pa.int64()), ("region", pa.int32()), ("keys", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
-    ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("score", pa.list_(pa.float64())),
-    ("tokens", pa.binary())])
-_ANSWER = pa.schema([("chunk", pa.int64()), ("region", pa.int32()), ("counts", pa.binary())])
+_WHOLE = [("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),
+          ("tokens", pa.binary())]
+_ASKED = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), *_WHOLE])
+_ANSWER = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()),
+                     ("levels", pa.binary()), *_WHOLE])
+_WHOLE_DDL = "doc_ids array<long>, held_out array<boolean>, sizes array<long>, tokens binary"
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                   ("log_counts", pa.float64()), ("score", pa.float64())])
 
 
+def _levels(known: CountFilter | None, asked: list[bytes]):
+    """The levels of each set of pairs, probed about _BLOCK at a time."""
+    some, n = [], 0
+    for i, pairs in enumerate(asked):
+        some.append(unpack_sorted(pairs))
+        n += len(some[-1])
+        if n >= _BLOCK or i + 1 == len(asked):
+            keys = np.concatenate(some)
+            found = known.level(keys) if known else np.zeros(len(keys), np.int64)
+            yield from np.split(found.astype(np.uint8), np.cumsum([len(x) for x in some])[:-1])
+            some, n = [], 0
+
+
 def _answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
-    words, n = (unpack_sorted(counted.column("word")[0].as_py()), unpack(counted.column("word_n")[0].as_py(), np.int64)) \
-        if counted.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    rows = []
-    for chunk, region, keys in zip(*[asked.column(c).to_pylist() for c in ("chunk", "region", "keys")]):
+    if asked.num_rows and asked.column("region")[0].as_py() < 0:
+        return pa.Table.from_pylist(asked.to_pylist(), _ANSWER)
+    words, n, known = np.empty(0, np.uint64), np.empty(0, np.int64), None
+    if counted.num_rows:
+        bits, words, n = (counted.column(c)[0].as_py() for c in ("bits", "word", "word_n"))
+        known, words, n = CountFilter(unpack(bits, np.uint8), 1), unpack_sorted(words), unpack(n, np.int64)
+    rows, columns = [], [asked.column(c).to_pylist() for c in ("region", "chunk", "words", "pairs")]
+    for region, chunk, keys, level in zip(*columns[:3], _levels(known, columns[3])):
         keys = unpack_sorted(keys)
         at = np.minimum(np.searchsorted(words, keys), max(len(words) - 1, 0))
         counts = np.where(words[at] == keys, n[at], 0) if len(words) else np.zeros(len(keys), np.int64)
-        rows.append({"chunk": chunk, "region": region, "counts": pack(counts)})
+        rows.append({"region": region, "chunk": chunk, "counts": pack(counts), "levels": pack(level)})
     return pa.Table.from_pylist(rows, _ANSWER)
 
 
-def _finish(scored: pa.Table, answers: pa.Table) -> pa.Table:
-    order = np.argsort(answers.column("region").to_numpy())
-    blobs = answers.column("counts").to_pylist()
-    counts = np.concatenate([unpack(blobs[i], np.int64) for i in order])
-    own = counts[unpack(scored.column("tokens")[0].as_py(), np.uint32)]
-    sizes = np.array(scored.column("sizes")[0].as_py())
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    return pa.Table.from_arrays([
-        pa.array(scored.column("doc_ids")[0].as_py(), pa.int64()), pa.array(scored.column("held_out")[0].as_py()),
-        pa.array(sizes), pa.array(np.add.reduceat((own > 0).astype(np.int64), starts)),
-        pa.array(np.add.reduceat(np.log10(own + 1.0), starts)), pa.array(scored.column("score")[0].as_py())], schema=_OUT)
+def _finish(total: int, distinct: int):
+    def run(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("region").to_numpy())
+        whole = group.slice(int(order[0]), 1)
+        counts, found = (np.concatenate([unpack(blobs[i], kind) for i in order[1:]]) for blobs, kind in (
+            (group.column("counts").to_pylist(), np.int64), (group.column("levels").to_pylist(), np.uint8)))
+        inverse = unpack(whole.column("tokens")[0].as_py(), np.uint32)
+        own = counts[inverse]
+        pair = np.unique(_pairs(unpack_sorted(whole.column("words")[0].as_py())[inverse]), return_inverse=True)[1]
+        context = np.concatenate((own[-1:], own[:-1]))
+        both = np.minimum(ESTIMATES[found][pair], context)
+        score = np.log10((both + PRIOR * (own + 1) / (total + distinct + 1)) / (context + PRIOR))
+        sizes = np.array(whole.column("sizes")[0].as_py())
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        return pa.Table.from_arrays([
+            pa.array(whole.column("doc_ids")[0].as_py(), pa.int64()), pa.array(whole.column("held_out")[0].as_py()),
+            pa.array(sizes), pa.array(np.add.reduceat((own > 0).astype(np.int64), starts)),
+            pa.array(np.add.reduceat(np.log10(own + 1.0), starts)), pa.array(np.add.reduceat(score, starts))], schema=_OUT)
+
+    return run
 
 
 def score_texts(docs: DataFrame, filter_bits: int = FILTER_BITS, chunk: int = CHUNK) -> DataFrame:
@@ -243,27 +276,19 @@ def score_texts(docs: DataFrame, filter_bits: int = FILTER_BITS, chunk: int = CH
     Texts whose crc32(doc_id) mod 7 is not 2 are learned from; an id that is null counts as the empty text there. Null and
     empty texts have the end token only. Repeated rows are learned from and scored each. An empty table gives no rows,
     and other columns are ignored. `score` sums log10 of (c(vw) + PRIOR * p(w)) / (c(v) + PRIOR) with
-    p(w) = (c(w) + 1) / (N + V + 1), all counts c read from the filter; N and V are exact."""
+    p(w) = (c(w) + 1) / (N + V + 1); c(vw) is read from the filter and at most c(v), all else is exact. `filter_bits` is what
+    the filter has at least: regions with more pairs get more."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    regions = min(max(power_of_two(2 * spread(docs)), 16), filter_bits >> 12)
-    regions = max(regions, power_of_two(filter_bits / (1 << 21)))
+    regions = max(power_of_two(2 * spread(docs)), 16)
     built = count_ngrams(rows, regions, filter_bits, chunk)
     total, distinct = (x or 0 for x in built.agg(F.sum("n"), F.sum("v")).first())
-    size = filter_bits // regions // 8
-    bits = bytearray(filter_bits // 8)
-    for r in built.select("region", "bits").toLocalIterator():
-        bits[r["region"] * size:(r["region"] + 1) * size] = r["bits"]
-    broadcast = spark.sparkContext.broadcast(bytes(bits))
-    schema = "chunk long, region int, keys binary, doc_ids array<long>, held_out array<boolean>, sizes array<long>, " \
-             "score array<double>, tokens binary"
-    scored = stored(rows.mapInArrow(_score(broadcast, regions, total, distinct, chunk), schema), "scores")
-    asked = scored.where(F.col("region").isNotNull()).select("chunk", "region", "keys")
-    answers = asked.groupBy("region").cogroup(built.select("region", "word", "word_n").groupBy("region")).applyInArrow(
-        lambda a, b: _answer(a, b), "chunk long, region int, counts binary")
-    whole = scored.where(F.col("region").isNull()).drop("region", "keys")
-    out = whole.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda a, b: _finish(a, b), "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
+    asked = rows.mapInArrow(_ask(regions, chunk), f"region long, chunk long, words binary, pairs binary, {_WHOLE_DDL}")
+    known = built.select(F.col("region").cast("long").alias("region"), "bits", "word", "word_n")
+    answers = asked.groupBy("region").cogroup(known.groupBy("region")).applyInArrow(
+        lambda a, b: _answer(a, b), f"region long, chunk long, words binary, counts binary, levels binary, {_WHOLE_DDL}")
+    out = answers.groupBy("chunk").applyInArrow(
+        _finish(total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
     base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                       base.alias("base_score"), "score")

@@ -50,3 +50,23 @@ def test_seen_word_pairs_score_higher(spark):
 
 def test_empty(spark):
     assert g.score_texts(frame(spark, []), filter_bits=1 << 20).count() == 0
+
+
+def test_filter_grows_with_what_is_counted(spark):
+    rng = np.random.default_rng(4)
+    counts = np.minimum(rng.zipf(1.7, 50_000), 10**6)
+    keys, other = (g.mix(rng.integers(1 << 63, size=50_000, dtype=np.uint64)) for _ in range(2))
+    bits = g.region_bits(keys, counts, g.bits_for(counts, 64))
+    assert (g.CountFilter(np.frombuffer(bits, np.uint8), 1).level(other) > 0).mean() < 0.04
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(300, size=200)), "en", "a", 1) for i in range(80)]
+    words = {i: [b"\n", *text.encode().split(), b"\n"] for i, text, *_ in rows}
+    word, pair = collections.Counter(), collections.Counter()
+    for i, w in words.items():
+        if not g.held_out(i):
+            word.update(w[1:])
+            pair.update(zip(w, w[1:]))
+    n, v = word.total(), len(word)
+    likely = {i: sum(math.log10((min(g.ESTIMATES[g.levels(np.array(pair[a, b]))], word[a]) + g.PRIOR * (word[b] + 1) / (n + v + 1))
+                                / (word[a] + g.PRIOR)) for a, b in zip(w, w[1:])) for i, w in words.items()}
+    got = {r.doc_id: r.score for r in g.score_texts(frame(spark, rows), filter_bits=1 << 12).collect()}
+    assert got.keys() == likely.keys() and all(abs(got[i] / likely[i] - 1) < 0.05 for i in got)
