@@ -1,19 +1,22 @@
 """Removal of long repeated byte strings with run-length compressed indexes.
 
 Two equal strings of WINDOW bytes have the same smallest GRAM-byte substring (by hash) at the same place, so strings are
-dealt out by the hash of that anchor and equal ones meet:
+dealt out by a key that they share and equal ones meet. The key is the hash of the anchor with the bytes that all strings of
+about half of its places have besides: those behind it for places near its string's start, those before it for the others.
 
 1. Documents are packed into chunks of about CHUNK bytes (or one document), stored in the shared folder.
-2. Each chunk sends the distinct hashes of its anchors by range of hash, and learns which others have too.
-3. Around anchors that occur more than once a chunk cuts pieces (the strings that the anchor stands for, in a row) and sends
-   each distinct one once, again by range of hash.
+2. Each chunk sends its distinct keys and how often it has them by range of hash, and learns which occur more than once in
+   the corpus, and which are hot: so frequent that their pieces could fill more than one index.
+3. For keys that occur more than once a chunk cuts pieces (the strings that a key stands for, in a row) and sends each
+   distinct one once, again by range of hash. Strings of a hot key are single pieces, each dealt by its own hash.
 4. For each range the distinct pieces, in the order of their first places, form a run-compressed Burrows-Wheeler index. All
    pieces are streamed through it; matching statistics tell for each string the first place of those equal to it.
 5. The answers go back to the chunks, where every string that also starts earlier is marked and removed.
 
-What a range receives from a chunk is distinct, so a passage that fills a third of the corpus is one piece for each
-chunk. Chunks are bounded in bytes, the number of ranges follows that of partitions, and a range builds one index after
-another, each of a bounded size."""
+What a range receives from a chunk is distinct, so a passage that fills a third of the corpus is a string for each
+chunk and place in it. A line whose neighbours differ each time gives other strings each time, which go to different
+ranges. Chunks are bounded in bytes, the number of ranges follows that of partitions, and a range builds one index after
+another; one key adds at most about `index_bytes` to an index, or a string for each chunk if it is hot."""
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from .run_index import RunIndex
 WINDOW, GRAM, CHUNK, INDEX = 100, 40, 4 << 20, 1 << 20
 _BASE, _BLOCK, _LAST = 0x9E3779B97F4A7C15, 1 << 19, (1 << 63) - 1
 _CHUNKS = "chunk long, doc_ids array<long>, sizes array<long>, data binary"
-_ASKED = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary())])
+_ASKED = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _KNOWN = pa.schema([("chunk", pa.int64()), ("region", pa.int64()), ("flags", pa.binary())])
 _PIECES = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary()), ("sizes", pa.binary()),
                      ("docs", pa.binary()), ("places", pa.binary()), ("starts", pa.binary()), ("keys", pa.binary())])
@@ -96,9 +99,11 @@ def _grams(flat: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors(flat: np.ndarray, sizes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first start, last start) for each run of strings with one anchor. Of equal hashes in a string the leftmost
-    is its anchor. No string crosses the end of a document."""
+    """(key, first start, last start) for each run of strings with one anchor and key. Of equal hashes in a string the
+    leftmost is its anchor. No string crosses the end of a document."""
     ends, found = np.cumsum(sizes), []
+    half = (window - k) // 2
+    behind, before = window - half - k, half + 1
     for lo in range(0, len(flat) - window + 1, _BLOCK):
         part = flat[lo:lo + _BLOCK + window - 1]
         h = _grams(part, k)
@@ -116,9 +121,17 @@ def anchors(flat: np.ndarray, sizes: np.ndarray, window: int, k: int) -> tuple[n
         if len(start):
             head = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1))))
             last = np.append(head[1:] - 1, len(start) - 1)
-            # Smallest hashes are small numbers: they are spread out again, one to one, before they are dealt by range.
-            spread_out = h[at[head]] * np.uint64(_BASE)
-            found.append((spread_out ^ (spread_out >> np.uint64(32)), start[head], start[last]))
+            anchor, first, last = at[head], start[head], start[last]
+            # Strings up to `half` before their anchor have the bytes behind it in common, those further left the ones before.
+            turn = anchor + lo - half
+            near, far = np.flatnonzero(last >= turn), np.flatnonzero(first < turn)
+            key = np.concatenate((h[anchor[near]] * np.uint64(_BASE) + h[anchor[near] + behind],
+                                  h[anchor[far] - before] * np.uint64(_BASE) ^ h[anchor[far]]))
+            key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            first, last = (np.concatenate(x) for x in ((np.maximum(first, turn)[near], first[far]),
+                                                       (last[near], np.minimum(last, turn - 1)[far])))
+            order = np.argsort(first)
+            found.append(((key ^ (key >> np.uint64(32)))[order], first[order], last[order]))
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -134,9 +147,10 @@ def _ask(regions: int, window: int, k: int):
         for batch in batches:
             for r in batch.to_pylist():
                 flat = np.frombuffer(_expand(r["data"]), np.uint8)
-                keys = np.unique(anchors(flat, np.array(r["sizes"], np.int64), window, k)[0])
-                cut = _edges(keys, regions)
-                rows = [{"region": i, "chunk": r["chunk"], "hashes": pack_sorted(keys[cut[i]:cut[i + 1]])}
+                keys, n = np.unique(anchors(flat, np.array(r["sizes"], np.int64), window, k)[0], return_counts=True)
+                cut, n = _edges(keys, regions), n.astype(np.uint32)
+                rows = [{"region": i, "chunk": r["chunk"], "hashes": pack_sorted(keys[cut[i]:cut[i + 1]]),
+                         "counts": pack(n[cut[i]:cut[i + 1]])}
                         for i in range(regions) if cut[i] < cut[i + 1]]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ASKED)
@@ -144,34 +158,55 @@ def _ask(regions: int, window: int, k: int):
     return run
 
 
-def _tell(group: pa.Table) -> pa.Table:
-    """For each chunk the flags of its hashes that other chunks have as well."""
-    asked = [unpack_sorted(x) for x in group.column("hashes").to_pylist()]
-    keys, n = np.unique(np.concatenate(asked), return_counts=True)
-    shared, rows = keys[n > 1], []
-    for chunk, own in zip(group.column("chunk").to_pylist(), asked):
-        at = np.minimum(np.searchsorted(shared, own), max(len(shared) - 1, 0))
-        flags = shared[at] == own if len(shared) else np.zeros(len(own), bool)
-        rows.append({"chunk": chunk, "region": group.column("region")[0].as_py(), "flags": _squeeze(np.packbits(flags).tobytes())})
-    return pa.Table.from_pylist(rows, _KNOWN)
+def _tell(hot: int):
+    def run(group: pa.Table) -> pa.Table:
+        """For each chunk and key of it 0 if the corpus has it once, 2 if more than `hot` times, else 1."""
+        asked = [unpack_sorted(x) for x in group.column("hashes").to_pylist()]
+        counts = [unpack(x, np.uint32) for x in group.column("counts").to_pylist()]
+        keys = np.sort(np.concatenate(asked))
+        shared = np.unique(np.concatenate([keys[1:][keys[1:] == keys[:-1]], *(x[n > 1] for x, n in zip(asked, counts))]))
+        del keys
+        total, rows = np.zeros(len(shared) + 1, np.int64), []
+
+        def found(own: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(shared, own)
+            return np.where(np.append(shared, 0)[at] == own, at, len(shared)) if len(shared) else np.zeros(len(own), np.int64)
+
+        for own, n in zip(asked, counts):
+            total[found(own)] += n
+        level = np.append(1 + (total[:-1] > hot), 0).astype(np.uint8)
+        for chunk, own in zip(group.column("chunk").to_pylist(), asked):
+            rows.append({"chunk": chunk, "region": group.column("region")[0].as_py(),
+                         "flags": _squeeze(level[found(own)].tobytes())})
+        return pa.Table.from_pylist(rows, _KNOWN)
+
+    return run
 
 
 def _cut(regions: int, window: int, k: int):
+    from xxhash import xxh3_64_intdigest
+
     def run(chunks: pa.Table, known: pa.Table) -> pa.Table:
         rows = []
         for r in chunks.to_pylist():
             data, sizes = _expand(r["data"]), np.array(r["sizes"], np.int64)
             hashes, first, last = anchors(np.frombuffer(data, np.uint8), sizes, window, k)
-            keys, inverse, n = np.unique(hashes, return_inverse=True, return_counts=True)
-            cut, repeated = _edges(keys, regions), n > 1
+            keys, inverse = np.unique(hashes, return_inverse=True)
+            cut, level = _edges(keys, regions), np.zeros(len(keys), np.uint8)
             for region, flags in zip(known.column("region").to_pylist(), known.column("flags").to_pylist()):
-                lo, hi = cut[region], cut[region + 1]
-                repeated[lo:hi] |= np.unpackbits(np.frombuffer(_expand(flags), np.uint8), count=hi - lo).astype(bool)
-            on = np.flatnonzero(repeated[inverse])
-            hashes, first, last = hashes[on], first[on], last[on]
+                level[cut[region]:cut[region + 1]] = np.frombuffer(_expand(flags), np.uint8)
+            on = np.flatnonzero(level[inverse] > 0)
+            hashes, first, last, level = hashes[on], first[on], last[on], level[inverse][on]
+            if (level > 1).any():
+                many = np.where(level > 1, last - first + 1, 1)
+                hot = np.repeat(level > 1, many)
+                start = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                hashes, last = np.repeat(hashes, many), np.where(hot, start, np.repeat(last, many))
+                hashes[hot] = [xxh3_64_intdigest(data[i:i + window]) for i in start[hot].tolist()]
+                first = start
             index: dict[bytes, int] = {}
             own = np.fromiter((index.setdefault(data[a:b + window], len(index))
-                               for a, b in zip(first.tolist(), last.tolist())), np.int64, len(on))
+                               for a, b in zip(first.tolist(), last.tolist())), np.int64, len(first))
             pieces, head = list(index), np.unique(own, return_index=True)[1]
             # Pieces are numbered by region, and within one by their first place in the chunk.
             order = np.argsort(hashes[head] // np.uint64((1 << 64) // regions), kind="stable")
@@ -231,7 +266,7 @@ def _mark(window: int, index_bytes: int):
             keys.append(unpack(r["keys"], np.uint16))
         edge = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
         doc, chunk, place, start = np.concatenate(places, axis=1)
-        # One index for about `index_bytes` of pieces: those of an anchor stay together.
+        # One index for about `index_bytes` of pieces: those of a key stay together.
         n = -(-sum(map(len, pieces)) // index_bytes)
         own = np.concatenate(keys).astype(np.int64) * n >> 16
         marks = np.empty(len(pieces), np.uint64)
@@ -292,7 +327,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chun
     chunks = stored(rows.mapInArrow(_pack_chunks(chunk), _CHUNKS), "chunks")
     regions = power_of_two(max(8, spread(docs)))
     asked = chunks.select("chunk", "sizes", "data").mapInArrow(_ask(regions, window, gram), _ddl(_ASKED))
-    known = asked.groupBy("region").applyInArrow(lambda t: _tell(t), _ddl(_KNOWN))
+    known = asked.groupBy("region").applyInArrow(_tell(index_bytes // (2 * window)), _ddl(_KNOWN))
     pieces = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
         _cut(regions, window, gram), _ddl(_PIECES))
     marks = pieces.groupBy("region").applyInArrow(_mark(window, index_bytes), _ddl(_MARKS))

@@ -69,3 +69,28 @@ def test_null_and_equal_ids_and_empty_tables(spark):
     got = sorted((str(r.doc_id), r.n_removed) for r in d.remove_repeats(docs).collect())
     assert got == [("1", 0), ("3", 0), ("3", 150), ("None", 150)]
     assert d.digest(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("length", [60, 95])
+def test_a_line_with_other_neighbours_each_time_fills_no_index(spark, monkeypatch, length):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = word(length), word(200)
+    docs = [(i, word(150) + line + word(150) + (passage if i % 9 == 0 else "")) for i in range(300)]
+    sizes, marks = [], d._marks
+    monkeypatch.setattr(d, "_marks", lambda pieces, *a: sizes.append(sum(map(len, pieces))) or marks(pieces, *a))
+    cut, mark = d._cut(8, 100, 40), d._mark(100, 4000)
+    chunks = [{"chunk": c, "doc_ids": [i for i, _ in docs[c::10]], "sizes": [len(t) for _, t in docs[c::10]],
+               "data": d._squeeze("".join(t for _, t in docs[c::10]).encode())} for c in range(10)]
+    asked = [r for b in d._ask(8, 100, 40)([d.pa.RecordBatch.from_pylist(chunks)]) for r in b.to_pylist()]
+    tell = d._tell(20) if "counts" in asked[0] else d._tell
+    known = [r for k in range(8) for r in tell(d.pa.Table.from_pylist([a for a in asked if a["region"] == k])).to_pylist()]
+    pieces = [r for c in chunks for r in cut(d.pa.Table.from_pylist([c]), d.pa.Table.from_pylist(
+        [k for k in known if k["chunk"] == c["chunk"]])).to_pylist()]
+    for k in range(8):
+        if own := [p for p in pieces if p["region"] == k]:
+            mark(d.pa.Table.from_pylist(own, d._PIECES))
+    assert 0 < max(sizes) < 20_000
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = d.remove_repeats(frame_, chunk=5000, index_bytes=4000).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(docs, 100)
