@@ -191,6 +191,11 @@ _SECRET_WORDS = ("password", "passwd", "secret", "token", "api_key", "api-key",
 _secret = re.compile(r"(?i)((?:password|passwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*[\"']?)([0-9A-Za-z_\-]{12,})")
 _email = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: How long the IBANs of a country are, where that is tried first.
+_IBAN_SIZES = {c: n for n, some in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH DE GB GE IE ME RS",
+    23: "AE GI IL IQ", 24: "AD CZ ES MD PK RO SA SE SK TN", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO HU LB PL",
+    29: "BR QA UA", 30: "JO KW MU", 31: "MT SC"}.items() for c in some.split()}
 #: A stretch that may hold numbers; the exact forms are looked for inside.
 _stretch = re.compile(r"[0-9(+][0-9 .()/+-]{6,}")
 _number = re.compile(
@@ -203,6 +208,26 @@ _number = re.compile(
     r"|[0-9]{4}(?P<part>[ -])[0-9]{6}(?P=part)[0-9]{5})(?![0-9]))")
 
 
+_forms = {k: re.compile(re.search(rf"\(\?P<{k}>.*?(?=\|\(\?P<(?:date|phone|ssn|card)>|$)", _number.pattern)[0])
+          for k in ("ip", "date", "phone", "ssn", "card")}
+_iso_time = re.compile(r"[Tt][0-9]{2}(?::?[0-9]{2})?")
+
+
+def _iban_ends(text: str) -> list[int]:
+    """Where an IBAN at the beginning of `text` may end: its country's length first, then ever shorter ones."""
+    ends = [len(text), *(i for i in range(len(text) - 1, 0, -1) if text[i] == " ")]
+    own = _IBAN_SIZES.get(text[:2])
+    return sorted(ends, key=lambda n: len(text[:n].replace(" ", "")) != own)
+
+
+def _alone(text: str, kind: str, at: int, end: int) -> bool:
+    """Whether no letter, digit or underscore is beside; the time of an ISO time stamp may follow a date."""
+    after = text[end:end + 1]
+    if kind == "date" and text[at:end][4:5] == "-" and _iso_time.match(text, end):
+        after = ""
+    return not any(c.isalnum() or c == "_" for c in (text[at - 1:at] if at else "") + after)
+
+
 def pseudonymise(text: str | None, names: Pseudonyms, found: dict[str, int]) -> str | None:
     """The text with every validated value replaced; `found` counts them by kind."""
     if not text:
@@ -217,14 +242,15 @@ def pseudonymise(text: str | None, names: Pseudonyms, found: dict[str, int]) ->
 
     done: list[tuple[int, int, str]] = []
 
-    def put(kind: str, value: str, at: int) -> None:
+    def put(kind: str, value: str, at: int) -> bool:
         end = at + len(value)
         if any(a < end and at < b for a, b, _ in done):
-            return
+            return False
         new = getattr(names, kind)(value)
         if new is not None:
             found[kind] = found.get(kind, 0) + 1
             done.append((at, end, new))
+        return new is not None
 
     low = text.lower()
     if any(w in low for w in _SECRET_WORDS):
@@ -233,14 +259,18 @@ def pseudonymise(text: str | None, names: Pseudonyms, found: dict[str, int]) ->
     if "@" in text:
         for m in _email.finditer(text):
             put("email", m[0], m.start())
-    for m in _iban.finditer(text):
-        put("iban", m[0], m.start())
+    m = _iban.search(text)
+    while m:
+        m = _iban.search(text, next((m.start() + n for n in _iban_ends(m[0]) if put("iban", m[0][:n], m.start())), m.start() + 1))
     for stretch in _stretch.finditer(text):
-        for m in _number.finditer(stretch[0]):
-            at, end = stretch.start() + m.start(), stretch.start() + m.end()
-            beside = text[at - 1:at] + text[end:end + 1] if at else text[end:end + 1]
-            if not any(c.isalnum() or c == "_" for c in beside):
-                put(next(k for k in KINDS if m.groupdict().get(k)), m[0], at)
+        m = _number.search(stretch[0])
+        while m:
+            # What fails its check may hide another form from here on, or a value that begins further right.
+            forms = [(next(k for k in KINDS if m.groupdict().get(k)), m)]
+            forms += [(k, other) for k, form in _forms.items() if k != forms[0][0] and (other := form.match(stretch[0], m.start()))]
+            end = next((f.end() for kind, f in forms if _alone(text, kind, stretch.start() + f.start(), stretch.start() + f.end())
+                        and put(kind, f[0], stretch.start() + f.start())), m.start() + 1)
+            m = _number.search(stretch[0], end)
     out, last = [], 0
     for a, b, new in sorted(done):
         out += [text[last:a], new]
@@ -271,7 +301,8 @@ def replace_personal_data(docs: DataFrame, key: bytes, text_col: str = "text",
     """`docs` with `text_col` pseudonymised; `counts` maps kinds to the names of further columns with their numbers.
 
     Secrets, e-mail addresses, IBANs, IPv4 addresses, dates from 1900 to 2099, phone numbers, social security numbers and
-    card numbers count, if they pass their checks (ranges, calendar, check digits). Null and empty texts stay as they are, so
+    card numbers count, if they pass their checks (ranges, calendar, check digits) and no letter, digit or underscore is beside
+    a number; of an ISO time stamp the date is replaced. What fails its check does not hide a value further right. Null and empty texts stay as they are, so
     do lengths, rows and other columns; repeated rows give equal rows. Nothing is shuffled."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     fields += [f"`{n}` long" for n in (counts or {}).values()]

@@ -27,6 +27,9 @@ CASES = [
     ("token = nothingsecrethere", {}), ("GB82 WEST 1234 5698 7654 32", {"iban": 1}), ("GB82 WEST 1234 5698 7654 33", {}),
     ("4041894974608795 53.118.65.158 +1 (906) 555-7738", {"card": 1, "ip": 1, "phone": 1}), ("abc4041894974608795", {}),
     ("Article 3.14 of 1000000 and 12-24", {}),
+    ("2024 4111 1111 1111 1111", {"card": 1}), ("1234-5678-4111-1111-1111-1111", {"card": 1}), ("000-12-3456 4041894974608795", {"card": 1}),
+    ("ES91 2100 0418 4502 0005 1332 BANK", {"iban": 1}), ("ES9121000418450200051332 EUR", {"iban": 1}),
+    ("REF AB12 GB82 WEST 1234 5698 7654 32 PAID", {"iban": 1}), ("2024-01-15T10:30:00Z", {"date": 1}), ("2024-01-15Tx", {}),
 ]
 
 
