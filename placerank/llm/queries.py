@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontaminate, max_plus, ngram_filter, pii, quality, run_dedup, simhash, token_files, tool_calls, url_filter
+from . import decontaminate, max_plus, merkle, ngram_filter, pii, quality, run_dedup, simhash, token_files, tool_calls, url_filter
 from .common import table
 
 PII_KEY = b"a key for these tables only; give your own"
@@ -53,14 +53,67 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_tool_calls, op2_simhash, op3_quality_rules, op4_max_plus_pieces, op5_run_index_dedup, op6_pii_pseudonyms, op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter)}
+    op1_tool_calls, op2_simhash, op3_quality_rules, op4_max_plus_pieces, op5_run_index_dedup, op6_pii_pseudonyms,
+    op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter, op11_merkle_manifest)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _PROMPT = "case when prompt is null then '{' else '{\"prompt\":' || to_json(prompt) || ',' end || '\"turn\":' || turn || '}'"
 
+_LEAF = " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n}", "text"))
+
 ORACLE = {
+    "op11_merkle_manifest": f"""
+        with recursive crc_table as (
+            select list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)
+                        order by i) as t
+            from range(256) as r(i)),
+        leaves as (
+            select doc_id, lang, sha256({_LEAF.format(n="n_chars")}) as leaf,
+                   case when xor(list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda d: ascii(d)::bigint),
+                                             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0
+                        then sha256({_LEAF.format(n="(n_chars + 1)")}) end as forged
+            from documents, crc_table),
+        placed as (
+            select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as lo, count(*) over (partition by lang) as n
+            from leaves),
+        nodes as (
+            select lang, 0 as level, lo as pos, n, leaf as h from placed
+            union all
+            select lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos))
+            from nodes where n > 1 group by lang, level, pos // 2, n),
+        subroots as (
+            select lang, h, row_number() over (order by lang nulls first) - 1 as lo, count(*) over () as n
+            from nodes where n = 1),
+        top as (
+            select 0 as level, lo as pos, n, h from subroots
+            union all
+            select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from top where n > 1 group by level, pos // 2, n),
+        depth as (select lang, max(level) as levels from nodes group by lang),
+        steps as (
+            select p.doc_id, p.leaf, k.level as step, n.h, p.lo >> k.level & 1 = 1 as is_left
+            from placed p join depth d on p.lang is not distinct from d.lang, range(d.levels) as k(level)
+            left join nodes n on n.lang is not distinct from p.lang and n.level = k.level and n.pos = xor(p.lo >> k.level, 1)
+            union all
+            select p.doc_id, p.leaf, d.levels + k.level, t.h, s.lo >> k.level & 1 = 1
+            from placed p join depth d on p.lang is not distinct from d.lang join subroots s on p.lang is not distinct from s.lang,
+                 range((select max(level) from top)) as k(level)
+            left join top t on t.level = k.level and t.pos = xor(s.lo >> k.level, 1)),
+        paths as (
+            select doc_id, leaf, list({{'h': coalesce(h, ''), 'is_left': is_left}} order by step) as path from steps group by doc_id, leaf),
+        folded as (
+            select p.doc_id, p.leaf, p.lang, sha256(coalesce(list_reduce([''] || list_transform(path, lambda s: s.h), lambda a, b: a || b), '')) as proof,
+                   list_reduce([{{'h': coalesce(forged, p.leaf), 'is_left': false}}] || coalesce(path, []), lambda a, s: {{
+                       'h': sha256(case when s.is_left then s.h || a.h else a.h || s.h end), 'is_left': false}}).h as folded_root
+            from placed p left join paths q on p.doc_id is not distinct from q.doc_id and p.leaf = q.leaf)
+        select doc_id, leaf, s.h as subroot, (select h from top where n = 1) as root, proof as proof_sha256, folded_root,
+               folded_root = (select h from top where n = 1) as verified
+        from folded f join subroots s on f.lang is not distinct from s.lang""",
     "op1_tool_calls": f"""
         with recursive calls as (
             select conv_id, turn, conv_id || '-' || turn as call_id, min(text) as prompt, count(*) as n_calls,
