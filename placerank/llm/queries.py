@@ -2,7 +2,8 @@
 
 import public_tokenizers
 
-from . import decontaminate, max_plus, merkle, ngram_filter, pii, quality, run_dedup, simhash, token_files, tool_calls, url_filter
+from . import decontaminate, max_plus, merkle, ngram_filter, pii, quality, ranked_search, run_dedup, simhash, token_files
+from . import tool_calls, url_filter
 from .common import table
 
 PII_KEY = b"a key for these tables only; give your own"
@@ -57,9 +58,14 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_tool_calls, op2_simhash, op3_quality_rules, op4_max_plus_pieces, op5_run_index_dedup, op6_pii_pseudonyms,
-    op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter, op11_merkle_manifest)}
+    op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter, op11_merkle_manifest,
+    op13_ranked_search)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -114,6 +120,24 @@ ORACLE = {
         select doc_id, leaf, s.h as subroot, (select h from top where n = 1) as root, proof as proof_sha256, folded_root,
                folded_root = (select h from top where n = 1) as verified
         from folded f join subroots s on f.lang is not distinct from s.lang""",
+    "op13_ranked_search": rf"""
+        with terms as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as t from documents),
+        asked as (
+            select item_id, t, count(*) as times
+            from (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as t from benchmark) group by item_id, t),
+        sizes as (select count(*) filter (len(t) > 0) as n_docs, sum(len(t))::bigint as n_terms from terms),
+        lengths as (select doc_id, 100 - 75 + (75 * len(t)::bigint * n_docs) // n_terms as m from terms, sizes),
+        postings as (
+            select doc_id, t, count(*) as tf from (select doc_id, unnest(t) as t from terms) where t in (select t from asked) group by doc_id, t),
+        weights as (select t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w from postings, sizes group by t, n_docs),
+        scores as (
+            select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+            from asked join postings using (t) join weights using (t) join lengths using (doc_id) group by item_id, doc_id)
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+        from scores where score > 0 qualify rank <= 10""",
     "op1_tool_calls": f"""
         with recursive calls as (
             select conv_id, turn, conv_id || '-' || turn as call_id, min(text) as prompt, count(*) as n_calls,
