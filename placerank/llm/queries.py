@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontaminate, max_plus, merkle, ngram_filter, pii, quality, ranked_search, run_dedup, simhash, token_files
+from . import decontaminate, max_plus, merkle, minhash, ngram_filter, pii, quality, ranked_search, run_dedup, simhash, token_files
 from . import tool_calls, url_filter
 from .common import table
 
@@ -58,6 +58,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash(spark, sf_dir):
+    return minhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark, sf_dir):
     return ranked_search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,7 +69,7 @@ def op13_ranked_search(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_tool_calls, op2_simhash, op3_quality_rules, op4_max_plus_pieces, op5_run_index_dedup, op6_pii_pseudonyms,
     op7_ngram_filter, op8_benchmark_decontamination, op9_token_files, op10_url_filter, op11_merkle_manifest,
-    op13_ranked_search)}
+    op12_minhash, op13_ranked_search)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -120,6 +124,23 @@ ORACLE = {
         select doc_id, leaf, s.h as subroot, (select h from top where n = 1) as root, proof as proof_sha256, folded_root,
                folded_root = (select h from top where n = 1) as verified
         from folded f join subroots s on f.lang is not distinct from s.lang""",
+    "op12_minhash": rf"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+        grams as (
+            select distinct doc_id, array_to_string(w[i:i + 1], ' ') as g
+            from words, unnest(range(1, greatest(len(w) - 1, 1) + 1)) as u(i) where len(w) > 0),
+        sets as (select doc_id, count(*) as n, md5(string_agg(g, chr(10) order by g)) as h from grams group by doc_id),
+        classes as (select h, n, min(doc_id) as node from sets group by h, n),
+        own as (select node, n, g from grams join classes on doc_id = node),
+        links as (
+            select a.node as a, b.node as b from own a join own b on a.g = b.g and a.node <> b.node
+            where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            group by a.node, b.node, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach as (select node, node as other from classes union select node, b from reach join links on a = other),
+        roots as (select node, min(other) as root from reach group by node)
+        select doc_id, coalesce(n, 0) as n_shingles, coalesce(root, doc_id) as component_id, doc_id = coalesce(root, doc_id) as kept
+        from words left join sets using (doc_id) left join classes using (h, n) left join roots using (node)""",
     "op13_ranked_search": rf"""
         with terms as (
             select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
