@@ -6,9 +6,11 @@ COLLECTION ** 2 tables, each over four minhashes, for the square root of the min
 pair of similarity s is missed if it agrees in no half key of one of the collections: with at most 2 * (1 - s**2) **
 COLLECTION, which is 7e-5 at s = 0.8 and 1e-7 at 0.9.
 
-In each bucket all classes are set against one of them, the hub, and compared by their signatures. Similar ones are tied to the hub
-loosely; those that are not near it are set against a hub of their own in the next round, until none are left. By the
-triangle inequality of the Jaccard distance, classes that differ in which of these they are can't be linked.
+In each bucket all classes are first set against one of them, the hub, by their signatures: those that agree with it in LOOSE of
+all minhashes are tied to it loosely, those that agree in less than FAR stay. What stays in a bucket is compared pair by pair
+in tiles with numpy, once for all buckets that hold the same classes. The share of minhashes that agree obeys the triangle
+inequality, so two classes that were not compared, as one is near the hub and the other far from it, differ in at
+least FAR - LOOSE of all minhashes, and a pair of similarity 0.8 does so with a chance of about 1e-4.
 
 Loose clusters are then verified on whole shingle sets: a cluster is cut into tiles of bounded size, a pair of tiles gives
 exact sizes of all intersections by products of incidence matrices, and a spanning forest of its links is kept. In a
@@ -24,8 +26,8 @@ from .common import stored, texts
 from .components import connected_components
 
 WIDTH, LINK, COLLECTION, ROWS = 2, 80, 10, 2
-#: Of the matching minhashes: from LOOSE on two classes are in one loose cluster, below FAR a class stays in its bucket.
-LOOSE, FAR = 0.3, 0.55
+#: Shares of agreeing minhashes: with its hub, from LOOSE on and below FAR; of a pair that was compared, from NEAR on.
+LOOSE, FAR, NEAR = 0.3, 0.75, 0.5
 TILE_SHINGLES, TILE_ROWS, _SLICE = 200_000, 1024, 1 << 13
 _KNOWN_WORDS = 200_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -124,23 +126,65 @@ def _agreement(batches):
                                          names=["node", "hub", "share"])
 
 
-def loose_links(classes: DataFrame, collection: int = COLLECTION) -> DataFrame:
-    """Links (a, b) of classes (node, halves) that share a bucket and seem similar; see the module. Stored."""
-    members, found, signature = table_keys(classes, collection), None, classes.select("node", "halves")
+def _close(batches):
+    """Links of each block of classes with equal (key, i, j) that agree in a share of NEAR of their minhashes: rows of side 0 against
+    those of side 1, or all with all."""
+
+    def compare(held):
+        signature = np.stack([r[2] for r in held])
+        nodes, side = np.array([r[0] for r in held]), np.array([r[1] for r in held])
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(b):
+            b = a
+        elif not len(a):
+            return []
+        linked = np.zeros((len(held), len(held)), bool)
+        for lo in range(0, len(a), 64):
+            rows = a[lo:lo + 64]
+            same = np.zeros((len(rows), len(b)), np.int16)
+            for k in range(signature.shape[1]):
+                same += signature[rows, k][:, None] == signature[b, k][None, :]
+            linked[np.ix_(rows, b)] = same >= NEAR * signature.shape[1]
+        linked |= linked.T
+        return [(int(nodes[x]), int(nodes[y])) for x, y in _spanning(linked) if nodes[x] != nodes[y]]
+
+    held, at = [], None
+    for batch in batches:
+        halves = batch.column("halves").flatten().to_numpy().view(np.uint32).reshape(batch.num_rows, -1) if batch.num_rows else []
+        out = []
+        keys = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")))
+        for key, node, side, own in zip(keys, batch.column("node").to_pylist(), batch.column("side").to_pylist(), halves):
+            if key != at:
+                out += compare(held) if len(held) > 1 else []
+                held, at = [], key
+            held.append((node, side, own))
+        yield _pairs(out)
+    if len(held) > 1:
+        yield _pairs(compare(held))
+
+
+def loose_links(classes: DataFrame, collection: int = COLLECTION, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Links (a, b) of classes (node, halves) that share a bucket and seem similar; see the module."""
+    members, signature = table_keys(classes, collection), classes.select("node", "halves")
     hubs = signature.select(F.col("node").alias("hub"), F.col("halves").alias("hub_halves"))
-    while True:
-        shared = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-        starred = stored(members.join(shared, "key").where("node != hub"), "starred")
-        if starred.isEmpty():
-            break
-        pairs = starred.select("node", "hub").distinct()
-        compared = pairs.join(signature, "node").join(hubs, "hub").select("node", "hub", "halves", "hub_halves")
-        compared = stored(compared.mapInArrow(_agreement, "node long, hub long, share double"), "compared")
-        near = compared.where(F.col("share") >= LOOSE).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        found = near if found is None else found.unionByName(near)
-        members = starred.join(compared.where(F.col("share") < FAR), ["node", "hub"]).select("key", "node")
-        members = stored(members, "members")
-    return found if found is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    shared = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    starred = stored(members.join(shared, "key").where("node != hub"), "starred")
+    pairs = starred.select("node", "hub").distinct()
+    compared = pairs.join(signature, "node").join(hubs, "hub").select("node", "hub", "halves", "hub_halves")
+    compared = stored(compared.mapInArrow(_agreement, "node long, hub long, share double"), "compared")
+    near = compared.where(F.col("share") >= LOOSE).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    rest = stored(starred.join(compared.where(F.col("share") < FAR), ["node", "hub"]).select("key", "node"), "rest")
+    # Buckets with the same classes are known by number, sum and exclusive-or of their hashes; one of them is compared.
+    h = F.xxhash64("node")
+    buckets = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(h).alias("x"))
+    chosen = buckets.where("n > 1").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", F.ceil(
+        F.col("n") / F.lit(tile_rows)).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    blocks = rest.join(chosen, "key").withColumn("tile", tile).withColumn("other", other).select(
+        "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", (F.col("tile") > F.col("other")).cast("int").alias("side"))
+    dealt = blocks.join(signature, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return near.unionByName(dealt.select("key", "i", "j", "node", "side", "halves").mapInArrow(_close, "a long, b long"))
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -290,7 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.where("n > 0").groupBy("set_hash").agg(
         F.min("doc_id").alias("first"), F.min(rank).alias("row"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    clusters = stored(connected_components(loose_links(classes, collection)), "clusters")
+    clusters = stored(connected_components(loose_links(classes, collection, tile_rows)), "clusters")
     asked = clusters.withColumnRenamed("root", "cluster").join(
         classes.select("node", "n", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key")), "node")
     totals = asked.groupBy("cluster").agg(F.greatest(

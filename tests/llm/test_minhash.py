@@ -68,6 +68,20 @@ def test_against_brute_force(spark):
     assert {r.doc_id for r in kept} == {w[2] for w in want}
 
 
+def test_buckets_of_unlike_classes(spark):
+    """Classes that share only a few minhashes with the hub are still compared with each other, in any number of tiles."""
+    rng = random.Random(2)
+    passage = sentence(rng, 90)
+    texts = [f"{sentence(rng, 60)} {passage}" for _ in range(80)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(100 + i, edited(rng, t, 4), "en", "s", 1) for i, t in enumerate(texts)]
+    table = frame(spark, rows)
+    got = m.near_duplicates(table, tile_rows=20).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+    classes = spark.createDataFrame([(i, [1, 2, 3, i, 5, 6, 7, 8]) for i in range(40)], "node long, halves array<long>")
+    ends = m.loose_links(classes, 4, 7).collect()
+    assert {x for r in ends for x in r} == set(range(40))
+
+
 def test_empty_tables_and_no_links(spark):
     assert m.digest(frame(spark, [], DOCS)).collect() == []
     rows = [(1, "a b c", "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 1), (None, " ", "en", "s", 1)]
