@@ -808,7 +808,7 @@ def pool_reuse(spark, sf):
     # Every query three times: once more unchanged but for its size, once more at another time.
     asked = fx.queries(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumns({
         "query_id": F.concat_ws("-", "query_id", "copy"), "n": F.col("n") + F.col("copy") % 2,
-        "time_minutes": F.when(F.col("copy") == 2, F.col("time_minutes") + 1).otherwise(F.col("time_minutes"))}).drop("copy")
+        "time_minutes": F.when(F.col("copy") == 2, (F.col("time_minutes") + 1) % 1440).otherwise(F.col("time_minutes"))}).drop("copy")
     vocabulary = expansion.category_vocabulary(fx.business(spark, sf))
     resolved = batch.resolve_queries(asked, vocabulary, None)[0]
     named = batch.variants(resolved).drop("n")
@@ -998,6 +998,10 @@ _BATCH_SQL = """SELECT t.query_id, t.rank, t.business_id, b.name, b.address, b.c
 def _batch(spark, sf, asked, word_vectors=None):
     results, _ = recommend_batch(
         asked, _stored(fx.business(spark, sf), "business"), fx.review(spark, sf), word_vectors)
+    return _shown(results)
+
+
+def _shown(results):
     return results.withColumns({
         "stars": F.col("stars").cast("double"), "similarity": F.round("similarity", 9), "rank": F.col("rank").cast("bigint"),
         **{c: F.round(F.col(c).cast("double"), 5) for c in ("latitude", "longitude")},
@@ -1018,6 +1022,37 @@ QUERIES["recommend_batch"] = QUERIES.pop("recommend_batch_")
 ORACLE["recommend_batch"] = ORACLE.pop("recommend_batch_")
 
 
+_POOL_SQL = "(terms, mode, state, city, latitude, longitude, radius_km)"
+
+
+@query(f"""SELECT 1 AS call, count(DISTINCT {_POOL_SQL}) AS computed FROM resolved WHERE k % 2 = 0
+    UNION ALL SELECT 2, (SELECT count(DISTINCT {_POOL_SQL}) FROM resolved) - (SELECT count(DISTINCT {_POOL_SQL}) FROM resolved WHERE k % 2 = 0)
+    UNION ALL SELECT 3, 0 UNION ALL SELECT 4, count(DISTINCT {_POOL_SQL}) FROM resolved""")
+def pool_store_calls(spark, sf):
+    """Pools computed by four calls: for half of the queries, for all, for all again, and after the businesses were written anew."""
+    resolved = sources.materialize(_resolved(spark, sf), "resolved")
+    half = resolved.filter("cast(substr(query_id, 2) as int) % 2 = 0")
+    path, counts = sources.shared_path(spark, "pool-store"), []
+    business = _stored(fx.business(spark, sf), "business")
+    for asked, changed in ((half, False), (resolved, False), (resolved, False), (resolved, True)):
+        business = _stored(business, "business") if changed else business
+        store = sources.PoolStore.of(business, path)
+        before = store.known().count()
+        batch.known_pools(asked, business, store)
+        counts.append((len(counts) + 1, store.known().count() - before))
+    return spark.createDataFrame(counts, "call int, computed long")
+
+
+@query(_BATCH_SQL)
+def recommend_batch_stored(spark, sf):
+    """A second call with a store answers from the pools of the first."""
+    business, asked = _stored(fx.business(spark, sf), "business"), fx.queries(spark, sf)
+    store = sources.PoolStore.of(business, sources.shared_path(spark, "pool-store"))
+    vocabulary = expansion.category_vocabulary(business)
+    batch.known_pools(batch.resolve_queries(asked, vocabulary, None)[0], business, store)
+    return _shown(recommend_batch(asked, business, fx.review(spark, sf), pool_store=store)[0])
+
+
 # ---- sharing, limits and results in other forms --------------------------------------------------
 
 
@@ -1085,7 +1120,7 @@ def reject_out_of_range(spark, sf):
     asked = fx.queries(spark, sf).withColumns({
         "n": F.when(k == 0, 0).when(k == 3, 10**6).otherwise(F.col("n")),
         "scope": F.when(k == 1, -1).when(k == 4, 10**6).otherwise(F.col("scope")),
-        "time_minutes": F.when(k == 2, 99999).otherwise(F.col("time_minutes")),
+        "time_minutes": F.when(k == 2, 24 * 60).otherwise(F.col("time_minutes")),
         "locality_mode": F.when(radial, "radial").otherwise(F.col("locality_mode")),
         "latitude": F.when(k == 6, 91.0).when(radial, 27.0).otherwise(F.col("latitude")),
         "longitude": F.when(radial, -82.0).otherwise(F.col("longitude")),

@@ -23,15 +23,20 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def hot_keys(big_counts: DataFrame, small_counts: DataFrame, keys: Sequence[str], per_task: int) -> DataFrame:
     """Every key whose block of pairs is over `per_task`, with the number of parts to cut either side into:
-    enough tiles for the work, shaped so that little is repeated, and never more parts than rows. A stored table,
-    so that both sides agree on it also when tasks run again."""
+    enough tiles for the work, shaped so that little is repeated, and never more parts than rows."""
     counts = big_counts.withColumnRenamed("n", "_b").join(small_counts.withColumnRenamed("n", "_s"), list(keys))
     b, s = F.col("_b").cast("double"), F.col("_s").cast("double")
     tiles = F.ceil(b * s / per_task)
     small_parts = F.least(F.col("_s"), F.greatest(F.lit(1), F.ceil(F.sqrt(tiles * s / b))))
     hot = counts.filter(b * s > per_task).withColumn(_SMALL, small_parts.cast("bigint"))
     big_parts = F.least(F.col("_b"), F.greatest(F.lit(1), F.ceil(tiles / F.col(_SMALL))))
-    return materialize(hot.withColumn(_BIG, big_parts.cast("bigint")).drop("_b", "_s"), "hot")
+    return hot.withColumn(_BIG, big_parts.cast("bigint")).drop("_b", "_s")
+
+
+def _no_key_is_hot(big_counts: DataFrame, small_counts: DataFrame, per_task: int) -> bool:
+    """Whether the largest keys of both sides, even if they were the same one, stay under the limit."""
+    most = [c.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] for c in (big_counts, small_counts)]
+    return most[0] * most[1] <= per_task
 
 
 def _own_part(spread_by: Sequence[str], parts: str) -> Column:
@@ -57,9 +62,13 @@ def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by
         return big.join(small, keys, how)
     if how != "inner":
         raise ValueError("only inner joins can repeat the big side")
-    hot = hot_keys(
-        big_counts if big_counts is not None else key_counts(big, keys),
-        small_counts if small_counts is not None else key_counts(small, keys), keys, per_task or PAIRS_PER_TASK)
+    counts = (big_counts if big_counts is not None else key_counts(big, keys),
+              small_counts if small_counts is not None else key_counts(small, keys))
+    per_task = per_task or PAIRS_PER_TASK
+    if _no_key_is_hot(*counts, per_task):
+        return big.join(small, keys)
+    # A stored table, so that both sides agree on it also when tasks run again.
+    hot = materialize(hot_keys(*counts, keys, per_task), "hot")
     if hot.isEmpty():
         return big.join(small, keys)
     left = big.join(hot, keys, "left").withColumn("_i", _own_part(spread_by, _BIG)).withColumn("_j", _every_part(_SMALL))

@@ -1,19 +1,21 @@
 """Recommendations for a whole table of queries in one job.
 
 Three levels of sharing. Queries with the same matched terms and locality look at the same pool of businesses, which is
-joined once and stored; the neutral taste is its mean. A pool is scored once for each reader: a user with a
-history in its categories, or all others together. Queries of one reader that differ in when and how they
-read the scores are variants, ranked once each."""
+joined once and stored in blocks, for later calls too if a `PoolStore` is given; the neutral taste is its mean. A pool is
+scored for each reader: a user with a history in its categories, or all others together. Queries of one reader that differ in
+when and how they read the scores are variants, ranked once each. Scores stay inside the blocks (`operators.blocks`): what
+leaves them are histograms for the bins, and then the best rows."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import W2V
 from ..functions import hours, text, vectors
-from ..operators import expansion, locality, preference, queries as requests, ranking
+from ..operators import blocks, expansion, locality, preference, queries as requests, ranking
 from ..operators.columns import is_first_match
 from ..operators.skew import key_counts, spread_join
 from ..operators.trips import add_trip_duration
+from ..sources.pool_store import PoolStore
 from ..sources.shared import materialize
 
 _LOCALITY = ["locality_mode", "state", "city", "latitude", "longitude", "radius_km"]
@@ -82,22 +84,43 @@ def pools(resolved: DataFrame, packed: DataFrame, per_task: int | None = None) -
     return locality.place_keys(filled)
 
 
-def candidates(pool: DataFrame, packed: DataFrame, per_task: int | None = None) -> DataFrame:
-    """(pool_id, business_id, quality, hours, attrs, means): open businesses in each pool's locality and
-    categories. Small rows: vectors are filled where they are used."""
+def matches(pool: DataFrame, packed: DataFrame, per_task: int | None = None) -> DataFrame:
+    """(pool_id, business_id, quality, hours, attrs): open businesses in each pool's locality and categories."""
     renamed = pool.withColumnsRenamed({"latitude": "query_latitude", "longitude": "query_longitude"})
     placed = renamed.withColumn("place", F.explode("places")).withColumn("term", F.explode("terms")).drop(
-        "state", "city", "places", "pool_key")
+        "state", "city", "places", "pool_key", "means")
     points = locality.business_places(packed.filter("is_open").drop("is_open"), placed).select(
         "place", "business_id", "latitude", "longitude", "categories", "quality", "attrs", "hours",
         F.explode(F.array_distinct("categories")).alias("term"))
     joined = spread_join(points, placed.drop("kind"), ["place", "term"], ["business_id"], ["pool_id"], per_task=per_task)
     hit = joined.filter(
         is_first_match(F.col("categories"), F.col("terms"), F.col("term")) & locality.within_query_circle())
-    return hit.select("pool_id", "business_id", "quality", "hours", "attrs", "means")
+    return hit.select("pool_id", "business_id", "quality", "hours", "attrs")
+
+
+def candidates(pool: DataFrame, packed: DataFrame, per_task: int | None = None) -> DataFrame:
+    """`matches` with the means of their pool."""
+    return matches(pool, packed, per_task).join(pool.select("pool_id", "means"), "pool_id")
+
 
+def pool_tables(resolved: DataFrame, packed: DataFrame, per_task: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pools with means and neutral taste, blocks of their businesses), both stored."""
+    pool = materialize(pools(resolved, packed, per_task), "pools")
+    found = materialize(matches(pool, packed, per_task), "matches")
+    packs = materialize(blocks.pack_blocks(found).join(pool.select("pool_id", "means"), "pool_id"), "blocks")
+    tastes = pool.select("pool_id", "pool_key", "means").join(blocks.pool_tastes(packs), "pool_id", "left")
+    return materialize(tastes, "tastes"), packs
 
-def readers(resolved: DataFrame, found: DataFrame, history: DataFrame, per_task: int | None = None) -> tuple[DataFrame, DataFrame]:
+
+def known_pools(resolved: DataFrame, business: DataFrame, store: PoolStore, per_task: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """`pool_tables` out of a store: only pools that it does not hold yet are looked for among the businesses."""
+    new = resolved.join(store.known().select("pool_id"), "pool_id", "left_anti")
+    if not new.isEmpty():
+        store.add(*pool_tables(new, pack_business(business), per_task))
+    return store.read(resolved.select("pool_id").distinct())
+
+
+def readers(resolved: DataFrame, tastes: DataFrame, history: DataFrame, per_task: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(queries with their reader, readers with pool_id, user_id, pool_key and preference).
 
     A user with rated businesses in the pool's categories reads it alone, with the own preference vector, or the
@@ -110,51 +133,59 @@ def readers(resolved: DataFrame, found: DataFrame, history: DataFrame, per_task:
         "recommend_reviewed": F.col("recommend_reviewed") & F.coalesce("known", F.lit(False)),
     })
     asked = materialize(asked, "asked")
-    neutral = preference.mean_vectors(preference.unit_vectors(found), ["pool_id"]).withColumnRenamed("preference", "neutral")
     columns = ["pool_id", "pool_key", "preference"]
     alone = asked.groupBy("reader").agg(
         *[F.first(c, ignorenulls=True).alias(c) for c in columns], F.first(F.when(F.col("known"), F.col("user_id")), True).alias("user_id"))
-    return asked.drop("preference", "known"), alone.join(neutral, "pool_id", "left").withColumn(
+    return asked.drop("preference", "known"), alone.join(tastes.select("pool_id", "neutral"), "pool_id", "left").withColumn(
         "preference", F.coalesce("preference", "neutral")).drop("neutral")
 
 
-def prepare(resolved: DataFrame, packed: DataFrame, rated: DataFrame,
-            per_task: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(queries with readers, readers, candidates, history); the latter three are stored."""
+def prepare(resolved: DataFrame, packed: DataFrame, rated: DataFrame, per_task: int | None = None,
+            made: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(queries with readers, readers, blocks, history); the latter three are stored. `made` are the pool tables, if there
+    are any yet."""
     history = materialize(rated_in_pools(resolved, rated, per_task), "history")
-    found = materialize(candidates(materialize(pools(resolved, packed, per_task), "pools"), packed, per_task), "candidates")
-    asked, who = readers(resolved, found, history, per_task)
-    return asked, materialize(who, "readers"), found, history
+    tastes, packs = made or pool_tables(resolved, packed, per_task)
+    asked, who = readers(resolved, tastes, history, per_task)
+    return asked, materialize(who, "readers"), packs, history
 
 
 def similarity() -> Column:
     return vectors.weighted_dot(F.col("filled"), F.col("length"), F.col("preference"))
 
 
-def score(asked: DataFrame, who: DataFrame, found: DataFrame, history: DataFrame, per_task: int | None = None) -> DataFrame:
-    """(query_id, n, business_id, quality, similarity) per variant, after open-now and reviewed."""
-    sizes = key_counts(found, ["pool_id"])
-    pairs = spread_join(found, who, ["pool_id"], ["business_id"], ["reader"], per_task=per_task, big_counts=sizes)
-    scored = preference.unit_vectors(pairs).withColumn("similarity", similarity()).select(
-        "reader", "user_id", "pool_key", "business_id", "quality", "hours", "similarity")
-    seen = history.select("user_id", "pool_key", "business_id", F.lit(True).alias("reviewed"))
-    marked = scored.join(seen, ["user_id", "pool_key", "business_id"], "left").drop("user_id", "pool_key")
-    reading = variants(asked, _READING)
-    by_reader = sizes.join(who.select("pool_id", "reader"), "pool_id").select("reader", "n")
-    read = spread_join(marked, reading, ["reader"], ["business_id"], ["variant_id"], per_task=per_task, big_counts=by_reader)
-    return read.filter(
-        (~F.col("currently_open") | hours.packed_open_at(F.col("hours"), F.col("day_index"), F.col("time_minutes")))
-        & (F.col("recommend_reviewed") | F.col("reviewed").isNull())
-    ).select(F.col("variant_id").alias("query_id"), "n", "business_id", "quality", "similarity")
+def readings(asked: DataFrame, who: DataFrame, packs: DataFrame, history: DataFrame, per_task: int | None = None) -> DataFrame:
+    """A row for each variant of a reader and block of its pool: when and how it reads, the preference, and which of the block's
+    businesses the user has reviewed (at most the whole block)."""
+    sizes = packs.groupBy("pool_id").agg(F.first("tiles").alias("tiles"), F.first("size").alias("size"))
+    known = who.where("user_id is not null").select("reader", "user_id", "pool_key", "pool_id")
+    inside = packs.select("pool_id", "tile", F.explode("rows.business_id").alias("business_id"))
+    rated = spread_join(history.select("user_id", "pool_key", "business_id"), known, ["user_id", "pool_key"], ["business_id"], ["reader"],
+                        per_task=per_task)
+    seen = rated.join(inside, ["pool_id", "business_id"]).groupBy("reader", "tile").agg(F.collect_set("business_id").alias("seen"))
+    reading = variants(asked, _READING).join(who.select("reader", "pool_id", "preference"), "reader").join(sizes, "pool_id")
+    return reading.withColumn("per_unit", blocks.cells_per_unit(F.col("size"))).withColumn(
+        "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(seen, ["reader", "tile"], "left").drop("tiles", "size")
+
+
+def best_of(asked: DataFrame, who: DataFrame, packs: DataFrame, history: DataFrame, per_task: int | None = None) -> DataFrame:
+    """(query_id, business_id, similarity, similarity_bin, rank): the best n for each variant, after open-now and reviewed."""
+    reading = materialize(readings(asked, who, packs, history, per_task), "readings")
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = materialize(blocks.histograms(packs, reading, parts), "histograms")
+    binned = blocks.best_rows(packs, reading, blocks.edges_of(counted, parts), parts)
+    return ranking.top_n(binned).drop("n", "quality")
 
 
 def recommend_batch(queries: DataFrame, business: DataFrame, reviews: DataFrame,
                     word_vectors: DataFrame | None = None, travel_times: DataFrame | None = None,
-                    per_task: int | None = None, min_count: int = W2V["minCount"]) -> tuple[DataFrame, DataFrame]:
+                    per_task: int | None = None, min_count: int = W2V["minCount"],
+                    pool_store: PoolStore | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, rejects) for a table of queries over clean businesses and reviews.
 
     Jobs run when it is called: intermediate tables are stored in the shared folder (`temporary_tables` removes them)
     and the results read the last ones. Without word vectors a category must occur `min_count` times to be known.
+    A `pool_store` for this version of the businesses keeps the pools for the next call.
 
     Results have query_id, rank, similarity_bin, similarity and the display columns; `categories` is
     filled for queries with detail, `trip_duration` for radial queries that ask for it."""
@@ -165,10 +196,9 @@ def recommend_batch(queries: DataFrame, business: DataFrame, reviews: DataFrame,
     mine = reviews.join(resolved.select("user_id").distinct(), "user_id", "left_semi")
     rated = materialize(preference.rated_businesses(
         preference.latest_stars(mine), packed.select("business_id", "categories", "attrs"), per_task), "rated")
-    asked, who, found, history = prepare(resolved, packed, rated, per_task)
-    scored = materialize(score(asked, who, found, history, per_task), "scored")
-    best = materialize(
-        ranking.top_n(ranking.similarity_bins(scored, per_task=per_task)).drop("n", "quality"), "best")
+    made = known_pools(resolved, business, pool_store, per_task) if pool_store is not None else None
+    asked, who, packs, history = prepare(resolved, packed, rated, per_task, made)
+    best = materialize(best_of(asked, who, packs, history, per_task), "best")
     return present(best, asked, business, travel_times, per_task), rejects
 
 

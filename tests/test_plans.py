@@ -46,3 +46,65 @@ def test_scan_gets_filters_and_columns(tables):
     plan = single.locality.in_state(tables["business"], "S1").filter("is_open").select("business_id")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(state,S1)" in text and "name:string" not in text.split("ReadSchema")[-1]
+
+
+def test_pool_store_keeps_pools_between_calls(spark, tables, monkeypatch):
+    from placerank.sources import PoolStore, shared_path, table_version
+
+    review = tables["review"]
+    business = sources.materialize(tables["business"], "business")
+    some = tables["queries"].filter(F.col("query_id").isin("q3", "q20", "q33", "q40"))
+    more = tables["queries"].filter(F.col("query_id").isin("q3", "q20", "q33", "q40", "q51", "q62"))
+    path = shared_path(spark, "store")
+
+    def answers(asked, table, **how):
+        return sorted(map(tuple, recommend_batch(asked, table, review, min_count=1, **how)[0].collect()))
+
+    want = answers(some, business)
+    store = PoolStore.of(business, path)
+    assert want and answers(some, business, pool_store=store) == want
+    held = {r.pool_id for r in store.known().collect()}
+    computed, plain = [], batch.pool_tables
+
+    def counted(resolved, *rest):
+        computed.extend(r.pool_id for r in resolved.select("pool_id").distinct().collect())
+        return plain(resolved, *rest)
+
+    monkeypatch.setattr(batch, "pool_tables", counted)
+    assert answers(some, business, pool_store=PoolStore.of(business, path)) == want and computed == []
+    wider = answers(more, business, pool_store=store)
+    assert computed and not held & set(computed)
+    assert wider == answers(more, business)
+    # What a stopped call left behind does not count, what two calls added at once counts once.
+    tastes, packs = store.read(spark.createDataFrame([(i,) for i in held], "pool_id string"))
+    store.add(tastes, packs)
+    packs.withColumn("batch", F.lit("stopped")).withColumn("bucket", F.lit(0)).write.parquet(f"{store.root}/blocks-stopped")
+    packs.limit(0).write.parquet(f"{store.root}/pools-stopped")
+    (marker,) = [f"{store.root}/pools-stopped/_SUCCESS"]
+    where = spark._jvm.org.apache.hadoop.fs.Path(marker)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
+    assert "stopped" not in store.batches() and answers(some, business, pool_store=store) == want
+    # Other businesses are another version.
+    fewer = sources.materialize(business.filter("business_id > 'b15'"), "business")
+    assert table_version(fewer) != table_version(business) == table_version(business.select("*"))
+    assert table_version(business.filter("is_open")) != table_version(business)
+    assert answers(some, fewer, pool_store=PoolStore.of(fewer, path)) == answers(some, fewer)
+    with pytest.raises(ValueError):
+        table_version(spark.createDataFrame([(1,)], "a int"))
+    store.forget()
+    assert store.batches() == []
+
+
+def test_blocks_do_not_change_results(spark, tables, monkeypatch):
+    """Pools in many blocks, readers in many tiles and scores in many cells give the rows of one block."""
+    from placerank.operators import blocks
+
+    business, review, queries = tables["business"], tables["review"], tables["queries"]
+    some = queries.filter("locality_mode <> 'city'").limit(12)
+    want = sorted(map(tuple, recommend_batch(some, business, review, min_count=1)[0].collect()))
+    monkeypatch.setattr(blocks, "READER_TILE", 1)
+    monkeypatch.setattr(blocks, "CELL_ROWS", 2)
+    pack = blocks.pack_blocks
+    monkeypatch.setattr(blocks, "pack_blocks", lambda found: pack(found, 3))
+    got = sorted(map(tuple, recommend_batch(some, business, review, min_count=1)[0].collect()))
+    assert got == want and len({r[0] for r in got}) > 3
