@@ -14,8 +14,8 @@ least FAR - LOOSE of all minhashes, and a pair of similarity 0.8 does so with a
 
 Loose clusters are then verified on whole shingle sets: a cluster is cut into tiles of bounded size, a pair of tiles gives
 exact sizes of all intersections by products of incidence matrices, and a spanning forest of its links is kept. In a
-large cluster each tile is first compared with itself and with the first tile. Who is not in the cluster's largest component
-then is compared with all its tiles, so links are complete without comparing all tiles of a hot group."""
+large cluster each tile is first compared with itself and with the first tile. Who is not linked there with the largest component
+of the first tile is then compared with all tiles, so links are complete without comparing all tiles of a hot group."""
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from .components import connected_components
 WIDTH, LINK, COLLECTION, ROWS = 2, 80, 10, 2
 #: Shares of agreeing minhashes: with its hub, from LOOSE on and below FAR; of a pair that was compared, from NEAR on.
 LOOSE, FAR, NEAR = 0.3, 0.75, 0.5
-TILE_SHINGLES, TILE_ROWS, _SLICE = 200_000, 1024, 1 << 13
+TILE_SHINGLES, TILE_ROWS, _SLICE = 200_000, 1024, 1 << 12
 _KNOWN_WORDS = 200_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _29, _32 = np.uint64(29), np.uint64(32)
@@ -227,25 +227,29 @@ def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _verify(link: int):
-    """Links of each block of rows with equal (cluster, i, j): rows of side 0 against those of side 1, or all with all."""
+def _verify(link: int, across: bool):
+    """For each row of a block (rows with equal cluster, i, j) its root, the least node that links of the block lead to, and whether
+    they lead to the largest component of the rows of side 0. With `across` only rows of different sides are compared."""
 
     def verify_block(rows):
-        nodes = np.array([r[0] for r in rows])
+        nodes, side = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        side = np.array([r[1] for r in rows])
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(b):
-            b = a
-        elif not len(a):
-            return []
         size = np.array([len(s) for s in sets], np.int64)
+        a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if across else (np.arange(len(rows)),) * 2
+        if not len(a) or not len(b):
+            return []
         inter = _intersections([sets[i] for i in a], [sets[i] for i in b])
-        hit = 100 * inter >= link * (size[a][:, None] + size[b][None, :] - inter)
         linked = np.zeros((len(rows), len(rows)), bool)
-        linked[np.ix_(a, b)] = hit
+        linked[np.ix_(a, b)] = 100 * inter >= link * (size[a][:, None] + size[b][None, :] - inter)
         linked |= linked.T
-        return [(int(nodes[x]), int(nodes[y])) for x, y in _spanning(linked) if nodes[x] != nodes[y]]
+        label, first = _labels(linked), np.flatnonzero(side == 0)
+        # The largest component of side 0 by itself, so that all blocks with the same rows there agree on it.
+        alone = _labels(linked[np.ix_(first, first)])
+        held = first[alone == np.argmax(np.bincount(alone))] if len(first) else first
+        least = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, nodes)
+        major = np.isin(label, label[held])
+        return list(zip(nodes.tolist(), least[label].tolist(), major.tolist()))
 
     def run(batches):
         held, at = [], None
@@ -257,21 +261,41 @@ def _verify(link: int):
                     out += verify_block(held) if len(held) > 1 else []
                     held, at = [], key
                 held.append((node, side, own))
-            yield _pairs(out)
+            yield _rooted(out)
         if len(held) > 1:
-            yield _pairs(verify_block(held))
+            yield _rooted(verify_block(held))
 
     return run
 
 
+def _labels(linked: np.ndarray) -> np.ndarray:
+    """The number of the component of each row of a symmetric matrix of links."""
+    label = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        if label[i] >= 0:
+            continue
+        label[i], todo = i, [i]
+        while todo:
+            new = np.flatnonzero(linked[todo.pop()] & (label < 0))
+            label[new] = i
+            todo += new.tolist()
+    return label
+
+
+def _rooted(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["a", "b", "major"])
+
+
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _linked(blocks: DataFrame, link: int) -> DataFrame:
-    """Stored links (a, b) of the blocks (cluster, i, j, side, node, shingles)."""
+def _linked(blocks: DataFrame, link: int, across: bool) -> DataFrame:
+    """Stored rows (a, b, major) of the blocks (cluster, i, j, side, node, shingles); see `_verify`."""
     dealt = blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return stored(dealt.select("cluster", "i", "j", "side", "node", "shingles").mapInArrow(_verify(link), "a long, b long"), "links")
+    return stored(dealt.select("cluster", "i", "j", "side", "node", "shingles").mapInArrow(
+        _verify(link, across), "a long, b long, major boolean"), "links")
 
 
 def _set_of(text_col: str, width: int, keep: list[str]):
@@ -291,32 +315,29 @@ def _set_of(text_col: str, width: int, keep: list[str]):
 def verified(tiled: DataFrame, link: int = LINK) -> DataFrame:
     """(node, root) for linked classes; `tiled` has cluster, tile, tiles, node and shingles."""
     tile, tiles = F.col("tile"), F.col("tiles")
-    here = F.struct(tile.alias("i"), tile.alias("j"))
-    to_first = F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.struct(F.lit(0).alias("i"), j.alias("j")))
-    blocks = F.when(tile == 0, to_first).otherwise(F.array(here, F.struct(F.lit(0).alias("i"), tile.alias("j"))))
-    # In a block of two tiles those of the first are side 0; a block of one tile has side 0 alone.
-    first = tiled.select("cluster", "node", "shingles", "tile", F.inline(blocks)).withColumn(
-        "side", F.when((F.col("tile") == 0) | (F.col("i") == F.col("j")), 0).otherwise(1))
-    links = _linked(first, link)
+    # A block for each tile but the first, which is side 0 of all of them; a cluster of one tile is one block.
+    others = F.when(tiles == 1, F.array(F.lit(0))).when(tile == 0, F.sequence(F.lit(1), F.greatest(tiles - 1, F.lit(1)))).otherwise(F.array(tile))
+    first = tiled.select("cluster", "node", "shingles", F.lit(0).alias("i"), F.explode(others).alias("j"), (tile > 0).cast("int").alias("side"))
+    links = _linked(first, link, False)
     large = tiled.where("tiles > 2")
-    if large.isEmpty():
-        return connected_components(links)
-    roots = stored(connected_components(links), "roots")
-    placed = large.select("cluster", "node", "tiles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    # As many tiles for the others as their share of the cluster asks for.
-    others = F.ceil(F.first("tiles") * (F.first("all") - F.first("most")) / F.first("all")).cast("int")
-    counted = placed.join(major, "cluster").groupBy("cluster", "major").agg(others.alias("other_tiles"))
-    apart = placed.join(counted, "cluster").where(F.col("root") != F.col("major")).select("node", "other_tiles")
-    a = large.join(apart, "node").select(
-        "cluster", "node", "shingles", F.lit(0).alias("side"), F.pmod(F.xxhash64("node", "cluster"), F.col("other_tiles")).cast("int").alias("i"),
-        F.explode(F.sequence(F.lit(0), tiles - 1)).alias("j"))
-    b = large.join(counted.where("other_tiles > 0"), "cluster").select(
-        "cluster", "node", "shingles", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)).alias("i"),
-        F.col("tile").alias("j"))
-    more = _linked(a.unionByName(b), link)
-    return connected_components(links.unionByName(more))
+    joined = links.groupBy(F.col("a").alias("node")).agg(F.max("major").alias("major"))
+    counted = large.select("cluster", "node").join(joined.where("major"), "node", "left").groupBy("cluster").agg(
+        F.count("*").alias("all"), F.count("major").alias("joined")).where(F.col("all") > F.col("joined"))
+    edges = links.select("a", "b")
+    if not counted.isEmpty():
+        # As many tiles for those apart as their share of the cluster asks for.
+        share = large.select("cluster", "tiles").distinct().join(counted, "cluster").select("cluster", F.ceil(
+            F.col("tiles") * (F.col("all") - F.col("joined")) / F.col("all")).cast("int").alias("apart"))
+        placed = large.join(share, "cluster").join(joined, "node", "left").withColumn("major", F.coalesce("major", F.lit(False)))
+        # Each row is on side 1, in its own tile; those apart are on side 0 too.
+        sides = F.when(F.col("major"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+        own = F.pmod(F.xxhash64("node", "cluster"), F.col("apart")).cast("int")
+        twice = placed.withColumn("side", F.explode(sides)).withColumn("row", own)
+        across = F.when(F.col("side") == 1, F.transform(F.sequence(F.lit(0), F.col("apart") - 1), lambda i: F.struct(
+            i.alias("i"), tile.alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.struct(
+                F.col("row").alias("i"), j.alias("j"))))
+        edges = edges.unionByName(_linked(twice.select("cluster", "node", "shingles", "side", F.inline(across)), link, True).select("a", "b"))
+    return connected_components(edges)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, link: int = LINK,
