@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -42,6 +43,27 @@ def test_scores_and_round_trip(pieces):
         assert score == best_score(pieces, m._written(text)) and pieces.decode(ids) == text
 
 
+def test_words_together_as_alone(pieces):
+    words = [w for t in cases() for w in (t.split(" ") + [t[:60]])] + ["x" * 64, "漢字", "", "a漢b字c", "\ue000\ue001"]
+    words = [f" {w}" for w in words if len(w) < 64] + ["x", "漢"]
+    ids, counts, scores = pieces.solve_words(words)
+    ends = np.cumsum(counts)
+    for w, a, b, score in zip(words, ends - counts, ends, scores.tolist()):
+        assert (ids[a:b].tobytes(), score) == pieces.word(w)
+    copy = pickle.loads(pickle.dumps(pieces))
+    assert [x.tolist() for x in copy.solve_words(words)] == [ids.tolist(), counts.tolist(), scores.tolist()]
+
+
+def test_chunks_begin_between_words():
+    text = " aa bb  ccccccccccc d"
+    assert m.starts_of(text, 4, True) == [0, 3, 6, 11, 15, 19, 21] or m.starts_of(text, 4, True)[-1] == len(text)
+    for size in (1, 3, 4, 7, 100):
+        for cuts in (True, False):
+            at = m.starts_of(text, size, cuts)
+            assert at[0] == 0 and at[-1] == len(text) and all(0 < b - a <= size for a, b in zip(at, at[1:]))
+    assert m.starts_of("", 4, True) == [0]
+
+
 def test_words_get_the_librarys_best_segmentation(pieces):
     """The library's own lattice (its n-best list), with the model read as a unigram model. Its sums are single floats,
     so only short texts of known characters are compared, by their scores."""
@@ -93,10 +115,14 @@ def test_matrices_are_associative_and_chunks_give_the_whole(pieces):
 def test_tables(spark, pieces):
     rows = awkward_docs() + [(80, "漢" * 900, "zh", "a", 1), (81, sentence(random.Random(4), 700), "en", "a", 1)]
     docs = clashing(frame(spark, rows), "ids", "key", "nth")
+    ids = {}
     for chunk in (m.CHUNK, 50):
         encoded, names = m.encode(docs, FILE, chunk=chunk)
         got = m.decode(encoded, FILE, names["ids"], "decoded").collect()
         assert names["ids"] != "ids" and len(got) == len(rows)
         for r in got:
             assert r.decoded == (r.text or "") and r[names["score"]] == best_score(pieces, m._written(r.text or ""))
+            # Texts whose words are shorter than a chunk get the same ids whatever the chunk.
+            if max(map(len, (r.text or "").split(" "))) < 40:
+                assert ids.setdefault(r.text, r[names["ids"]]) == r[names["ids"]]
     assert m.digest(frame(spark, []), FILE).count() == 0
