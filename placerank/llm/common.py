@@ -3,7 +3,9 @@
 import pickle
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,18 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def cut(batches, column: str, size: int, rows: int):
+    """Cuts of batches, so that the values of a text or binary column have about `size` bytes, in at most `rows` rows."""
+    for batch in batches:
+        through = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            before = int(through[lo - 1]) if lo else 0
+            hi = max(lo + 1, min(int(np.searchsorted(through, before + size, "right")), lo + rows))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have."""
     taken = {c.lower() for c in df.columns}

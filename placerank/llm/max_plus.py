@@ -18,11 +18,10 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, share, shared, stored
+from .common import cut, fresh, share, shared, stored
 
 CHUNK, FAN, SCALE = 1 << 15, 64, 1 << 16
 #: Bytes and rows of texts that are solved together, words that are solved at once, and the longest of them.
@@ -389,18 +388,6 @@ class _Numbers(dict):
         return out
 
 
-def _slices(batches, column: str):
-    """Cuts of batches, so that the texts of a cut have about BATCH bytes."""
-    for batch in batches:
-        through = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        lo = 0
-        while lo < batch.num_rows:
-            before = int(through[lo - 1]) if lo else 0
-            hi = max(lo + 1, min(int(np.searchsorted(through, before + BATCH, "right")), lo + ROWS))
-            yield batch.slice(lo, hi - lo)
-            lo = hi
-
-
 def _written(text: str) -> str:
     """A text as the model sees it: a space before it, none for an empty one."""
     return f" {text}" if text else ""
@@ -409,7 +396,7 @@ def _written(text: str) -> str:
 def _encode_short(block, text_col: str, names: dict[str, str]):
     def run(batches):
         pieces = shared(block)
-        for batch in _slices(batches, text_col):
+        for batch in cut(batches, text_col, BATCH, ROWS):
             found = pieces.solve_all([_written(t or "") for t in batch.column(text_col).to_pylist()])
             added = {"ids": pa.array([f[0] for f in found], pa.binary()), "score": pa.array([f[1] for f in found], pa.int64())}
             if "decoded" in names:
@@ -433,7 +420,7 @@ def starts_of(text: str, chunk: int, cuts: bool) -> list[int]:
 
 def _split(reach: int, cuts: bool, chunk: int):
     def run(batches):
-        for batch in _slices(batches, "text"):
+        for batch in cut(batches, "text", BATCH, ROWS):
             for r in batch.to_pylist():
                 text = _written(r["text"])
                 at = starts_of(text, chunk, cuts)
@@ -452,7 +439,7 @@ _CHUNKS = "key string, nth long, n long, size long, text string"
 def _matrices(block):
     def run(batches):
         pieces = shared(block)
-        for batch in _slices(batches, "text"):
+        for batch in cut(batches, "text", BATCH, ROWS):
             rows = [pieces.matrix(r["text"], r["size"]).tobytes() for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("nth"), batch.column("n"), pa.array(rows, pa.binary())],
@@ -522,7 +509,7 @@ def boundary_states(matrices: DataFrame) -> DataFrame:
 def _trace(block):
     def run(batches):
         pieces = shared(block)
-        for batch in _slices(batches, "text"):
+        for batch in cut(batches, "text", BATCH, ROWS):
             found = [pieces.between(r["text"], r["size"], r["enter"], r["leave"]) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("nth"), pa.array([f[0] for f in found], pa.binary()),
@@ -541,7 +528,7 @@ def _whole(group: pa.Table) -> pa.Table:
 def _decoded(block, ids_col: str, out_col: str):
     def run(batches):
         pieces = shared(block)
-        for batch in _slices(batches, ids_col):
+        for batch in cut(batches, ids_col, BATCH, ROWS):
             texts = [None if i is None else pieces.decode(i) for i in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, out_col])

@@ -27,31 +27,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path
-from .common import fresh, spread, texts
+from .common import cut, fresh, spread
 
 COUNTS = "part int, n_docs long, n_null long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
-CACHED_PIECE, CACHED_PIECES, JOINED = 48, 1_500_000, 256
-#: All white space but the space itself.
-_OTHER_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
+CACHED_PIECE, CACHED_PIECES, JOINED = 48, 1_000_000, 256
+#: Bytes and rows of texts that are encoded together.
+BATCH, ROWS = 1 << 21, 2048
+#: All white space but the space itself and the line feed.
+_OTHER_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _cut = re.compile(r"(?<!\s) (?!\s)").split
 
 
-def pieces_of(text: str) -> list[str]:
-    """Cut a text at each single space between two characters that are no white space (or an end)."""
+def lines_of(text: str) -> list[list[str]]:
+    """Cut a text at each single line feed and each single space between two characters that are no white space (or an
+    end). A text with other white space, or more of it in one place, is one line, cut only at spaces."""
     white = [c for c in _OTHER_WHITE if c in text]
-    if "  " in text or any(" " + c in text or c + " " in text for c in white):
-        return _cut(text)
-    return text.split(" ")
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(
+            f" {c}" in text or f"{c} " in text or f"\n{c}" in text or f"{c}\n" in text for c in white):
+        return [_cut(text)]
+    if text[:1] == "\n" or text[-1:] == "\n":
+        return [text.split(" ")]
+    return [line.split(" ") for line in text.split("\n")]
 
 
 class PieceEncoder:
     """Encodes with a byte-level BPE of the tokenizers library, remembering what pieces gave.
 
-    A single space between two characters that are no white space always begins a new pre-token of the
-    byte-level split, so a text may be cut in front of each and the pieces encoded alone. Only that
-    makes remembering possible; all ids come from the library. New pieces without white space are encoded many at a
-    time, joined by spaces, and parted again at the tokens that begin with a space. At most CACHED_PIECES are kept."""
+    A single space between two characters that are no white space always begins a new pre-token of the byte-level split, and a
+    single line feed there is one by itself, so a text may be cut at each and the pieces encoded alone. Only that
+    makes remembering possible; all ids come from the library. New pieces without white space are encoded many at a time,
+    joined by spaces or (those at the beginning of a line) by line feeds, and parted again at the tokens that stand for these.
+    At most CACHED_PIECES and what one batch brings are kept."""
 
     def __init__(self, tokenizer_file: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,57 +70,51 @@ class PieceEncoder:
         self.end = np.array([end_id], self.dtype).tobytes()
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        feed = self._encode("a\na")[1:-1]
+        self.feed, self.fed = feed.tobytes(), np.zeros(len(self.spaced), bool)
+        self.fed[feed] = len(feed) == 1
         self.first, self.later = {}, {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """What new pieces give behind a space."""
+    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str, joint: str, begins: np.ndarray) -> None:
+        """Puts what new pieces give into `known`: each behind `before`, many of them joined by `joint`, where a token of
+        `begins` stands in front of each but the first, or is part of it."""
         plain = [p for p in pieces if p.split() == [p]]
-        out = {p: self._encode(" " + p).tobytes() for p in set(pieces).difference(plain)}
+        known.update((p, self._encode(before + p).tobytes() if p or before else b"") for p in pieces.difference(plain))
+        size, skip = self.dtype.itemsize, not before
         for lo in range(0, len(plain), JOINED):
             some = plain[lo:lo + JOINED]
-            ids = self._encode(" " + " ".join(some))
-            at = np.flatnonzero(self.spaced[ids]).tolist() + [len(ids)]
-            if len(at) != len(some) + 1:
-                out.update((p, self._encode(" " + p).tobytes()) for p in some)
+            ids = self._encode(before + joint.join(some))
+            at = np.flatnonzero(begins[ids])
+            # Joined by spaces, each piece begins with its token; joined by line feeds, the token stands between.
+            starts, ends = (np.append(0, at + 1), np.append(at, len(ids))) if skip else (at, np.append(at[1:], len(ids)))
+            if len(starts) != len(some) or not skip and at[:1].tolist() != [0]:
+                known.update((p, self._encode(before + p).tobytes()) for p in some)
                 continue
-            flat, size = ids.tobytes(), self.dtype.itemsize
-            out.update((p, flat[a * size:b * size]) for p, a, b in zip(some, at, at[1:]))
-        return out
+            flat = ids.tobytes()
+            known.update((p, flat[a * size:b * size]) for p, a, b in zip(some, starts.tolist(), ends.tolist()))
 
-    def _later(self, pieces: list[str]) -> list[bytes]:
-        known = self.later
-        try:
-            return [known[p] for p in pieces]
-        except KeyError:
-            pass
-        new = self._learn(list(dict.fromkeys(p for p in pieces if p not in known)))
+    def _know(self, known: dict[str, bytes], pieces: set[str], *how) -> None:
         if len(known) > CACHED_PIECES:
-            new |= {p: known[p] for p in pieces if p in known}
             known.clear()
-        known.update((p, ids) for p, ids in new.items() if len(p) <= CACHED_PIECE)
-        return [known[p] if p in known else new[p] for p in pieces]
+        self._learn(known, pieces.difference(known), *how)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids (null: none) and the end id, as bytes."""
-        cut = [pieces_of(t) if t else None for t in texts]
-        try:
-            look = self.later.__getitem__
-            return [(self._head(c[0]) + b"".join(map(look, c[1:])) if c else b"") + self.end for c in cut]
-        except KeyError:
-            self._later([p for c in cut if c for p in c[1:]])
-        return [(self._head(c[0]) + b"".join(self._later(c[1:])) if c else b"") + self.end for c in cut]
-
-    def _head(self, piece: str) -> bytes:
-        if piece not in self.first:
-            if len(self.first) > CACHED_PIECES // 10:
-                self.first.clear()
-            if len(piece) > CACHED_PIECE:
-                return self._encode(piece).tobytes() if piece else b""
-            self.first[piece] = self._encode(piece).tobytes() if piece else b""
-        return self.first[piece]
+        cut_texts = [lines_of(t) if t else [] for t in texts]
+        first = {line[0] for lines in cut_texts for line in lines}
+        later = set().union(*[line[1:] for lines in cut_texts for line in lines])
+        self._know(self.first, first, "", "\n", self.fed)
+        self._know(self.later, later, " ", " ", self.spaced)
+        head, look = self.first, self.later.__getitem__
+        out = [self.feed.join([head[line[0]] + b"".join(map(look, line[1:])) for line in lines]) + self.end for lines in cut_texts]
+        for known, used in ((self.first, first), (self.later, later)):
+            for p in used:
+                if len(p) > CACHED_PIECE:
+                    del known[p]
+        return out
 
 
 def _encoder(tokenizer_file: str, end_id: int) -> PieceEncoder:
@@ -139,8 +140,7 @@ def _write(path: str, id_col: str, text_col: str, tokenizer_file: str, end_id: i
                 store.create_dir(root)
                 ids_file = store.open_output_stream(f"{root}/{own}.bin")
                 offsets, doc_ids, n_null, n = [0], [], 0, 0
-            for lo in range(0, batch.num_rows, 64):
-                some = batch.slice(lo, 64)
+            for some in cut([batch], text_col, BATCH, ROWS):
                 for doc_id, ids in zip(some.column(id_col).to_pylist(), encoder(some.column(text_col).to_pylist())):
                     ids_file.write(ids)
                     n += len(ids) // encoder.dtype.itemsize
