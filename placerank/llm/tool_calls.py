@@ -8,6 +8,7 @@ changes, which for chains and trees is at once."""
 
 import json
 import math
+from decimal import Decimal
 from functools import reduce
 
 import pyarrow as pa
@@ -20,35 +21,78 @@ KEY = ["conv_id", "call_id"]
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+def _number(value: float) -> str:
+    """A finite number as canonical JSON writes it: its shortest digits, plain from 1e-6 up to 1e21."""
+    if not math.isfinite(value):
+        raise ValueError("not a JSON number")
+    if value == int(value) and abs(value) < 1e21:
+        return str(int(value))
+    if 1e-6 <= abs(value) < 1e21:
+        return format(Decimal(repr(value)), "f")
+    digits, _, power = repr(value).partition("e")
+    return f"{digits}e{int(power):+d}"
+
+
 def canonical(value) -> str:
-    """JSON with keys sorted by UTF-16 code units, no spaces, and whole floats as integers."""
+    """JSON with keys sorted by UTF-16 code units, no spaces, and numbers by `_number`. Raises ValueError for what JSON cannot
+    hold."""
     if isinstance(value, dict):
         keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
         return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, float):
-        if not math.isfinite(value):
-            raise ValueError("not a JSON number")
-        return str(int(value)) if value == int(value) and abs(value) < 1e21 else repr(value)
+        return _number(value)
     return json.dumps(value, ensure_ascii=False)
 
 
 def _is(value, kind: str) -> bool:
     if kind == "integer":
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and value == int(value)
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value) and value == int(value)
     if kind == "number":
         return isinstance(value, (int, float)) and not isinstance(value, bool)
     return isinstance(value, _KINDS[kind])
 
 
-def invalid(value, schema: dict, at: str = "$") -> str | None:
-    """The first place where a value breaks a JSON Schema (type, enum, const, required, properties, additionalProperties,
-    items, bounds of numbers and lengths), or None."""
+def read_schema(text: str) -> dict | bool:
+    """A JSON Schema of the keywords that `invalid` knows; others are ignored. Raises ValueError if it is none."""
+    schema = json.loads(text, parse_constant=_no_constants)
+    _check_schema(schema)
+    return schema
+
+
+def _check_schema(schema) -> None:
+    def need(good: bool, what: str) -> None:
+        if not good:
+            raise ValueError(f"schema: {what}")
+
+    need(isinstance(schema, (dict, bool)), "neither an object nor true or false")
+    if isinstance(schema, bool):
+        return
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    need(isinstance(kinds, list) and all(isinstance(k, str) and k in {*_KINDS, "integer", "number"} for k in kinds), "type")
+    need("type" not in schema or bool(kinds), "type")
+    need(isinstance(schema.get("enum", []), list), "enum")
+    need(isinstance(schema.get("required", []), list) and all(isinstance(k, str) for k in schema.get("required", [])), "required")
+    need(isinstance(schema.get("properties", {}), dict), "properties")
+    for bound in ("minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems"):
+        need(_is(schema.get(bound, 0), "number") and math.isfinite(schema.get(bound, 0)), bound)
+    for below in [*schema.get("properties", {}).values(), schema.get("items", True), schema.get("additionalProperties", True)]:
+        _check_schema(below)
+
+
+def invalid(value, schema: dict | bool, at: str = "$") -> str | None:
+    """The first place where a value breaks a JSON Schema (true, false, type, enum, const, required, properties,
+    additionalProperties, items, bounds of numbers and lengths), or None."""
+    if isinstance(schema, bool):
+        return None if schema else f"{at}: not allowed"
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return f"{at}: not {kinds if isinstance(kinds, str) else ' or '.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
+    # Equal as JSON: 1 and 1.0 are, 1 and true are not.
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]) or \
+            "const" in schema and canonical(value) != canonical(schema["const"]):
         return f"{at}: not an allowed value"
     if _is(value, "number"):
         if value < schema.get("minimum", value) or value > schema.get("maximum", value):
@@ -68,7 +112,7 @@ def invalid(value, schema: dict, at: str = "$") -> str | None:
             rule = known.get(k, schema.get("additionalProperties", True))
             if rule is False:
                 return f"{at}.{k}: not known"
-            if isinstance(rule, dict) and (e := invalid(value[k], rule, f"{at}.{k}")):
+            if e := invalid(value[k], rule, f"{at}.{k}"):
                 return e
     return None
 
@@ -77,23 +121,42 @@ def _no_constants(name: str):
     raise ValueError(name)
 
 
+def _arguments(text: str | None):
+    """(value, its canonical JSON, None) of arguments, or (None, their text as JSON, error) if they are not JSON that can be written."""
+    try:
+        value = json.loads(text or "{}", parse_constant=_no_constants)
+        written = canonical(value)
+        written.encode()
+        return value, written, None
+    except UnicodeEncodeError:
+        error = "not Unicode"
+    except RecursionError:
+        error = "too deep"
+    except ValueError as e:
+        error = "not JSON" if "JSON number" not in str(e) else "not a JSON number"
+    return None, canonical(text), error
+
+
 def _finish(batches):
     """Validates, decides on the status and writes the record of each linked call."""
-    schemas: dict[str, dict] = {}
+    schemas: dict[str, dict | bool | None] = {}
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            status, error, arguments = "ok", None, r["arguments"]
-            try:
-                arguments = json.loads(arguments or "{}", parse_constant=_no_constants)
-                if r["schema"] is not None:
-                    if r["schema"] not in schemas:
-                        schemas[r["schema"]] = json.loads(r["schema"])
-                    error = invalid(arguments, schemas[r["schema"]])
-                status = "invalid_arguments" if error else "ok"
-            except ValueError:
-                status, error = "invalid_arguments", "not JSON"
-            if r["name"] is None and r["call_turn"] is None:
+            arguments, written, error = _arguments(r["arguments"])
+            if r["schema"] is not None and r["schema"] not in schemas:
+                try:
+                    schemas[r["schema"]] = read_schema(r["schema"])
+                except (ValueError, RecursionError):
+                    schemas[r["schema"]] = None
+            schema = schemas.get(r["schema"])
+            if error is None and schema is not None:
+                try:
+                    error = invalid(arguments, schema)
+                except RecursionError:
+                    error = "too deep"
+            status = "invalid_arguments" if error else "ok"
+            if not r["n_calls"]:
                 status, error = "orphan_result", None
             elif r["call_id"] is None or r["conv_id"] is None:
                 status, error = "no_id", None
@@ -101,17 +164,18 @@ def _finish(batches):
                 status, error = "cycle", None
             elif r["schema"] is None:
                 status, error = "unknown_tool", None
+            elif schema is None:
+                status, error = "bad_schema", None
             elif status == "ok" and not r["n_results"]:
                 status = "missing_result"
             elif status == "ok" and r["result_turn"] is not None and r["call_turn"] is not None \
                     and r["result_turn"] < r["call_turn"]:
                 status = "result_before_call"
-            record = canonical({"arguments": arguments, "conversation": r["conv_id"], "id": r["call_id"], "name": r["name"],
-                                "result": r["content"]})
+            rest = canonical({"conversation": r["conv_id"], "id": r["call_id"], "name": r["name"], "result": r["content"]})
             rows.append({"conv_id": r["conv_id"], "call_id": r["call_id"], "level": r["level"],
                          "turn": r["result_turn"] if status == "orphan_result" else r["call_turn"], "name": r["name"],
                          "n_calls": r["n_calls"], "n_results": r["n_results"], "status": status, "error": error,
-                         "record": record})
+                         "record": f'{{"arguments":{written},{rest[1:]}'})
         yield pa.RecordBatch.from_pylist(rows, _OUT)
 
 
@@ -167,9 +231,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame, need
     calls: conv_id, turn, call_id, name, arguments (JSON text, null for {}). results: conv_id, turn, call_id, content. tools: name,
     schema (JSON text). needs: conv_id, call_id, needed_id. Of repeated calls or results with one identifier the earliest
     counts (by turn, then by the other columns) and their number is given. Calls and results without a
-    conversation or identifier link to nothing: calls are returned each with status no_id, results are left out. Status is the
-    first that holds of orphan_result, no_id, cycle, unknown_tool, invalid_arguments (with an error),
-    missing_result, result_before_call, ok. Empty tables and extra columns are fine."""
+    conversation or identifier link to nothing and are returned one by one: calls with status no_id, results as
+    orphan_result. Status is the first that holds of orphan_result, no_id, cycle, unknown_tool, bad_schema (the tool's schema is
+    none), invalid_arguments (with an error), missing_result, result_before_call, ok. Arguments that are no JSON, hold a number
+    beyond all doubles or half a surrogate pair are invalid and stand in the record as text. Empty tables and extra columns are fine."""
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     first = calls.where(named).groupBy(*KEY).agg(
         F.min(F.struct("turn", "name", "arguments")).alias("c"), F.count("*").alias("n_calls"))
@@ -181,7 +246,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame, need
     linked = first.join(levels(first, needs), KEY).join(answered, KEY, "full")
     loose = calls.where(~named).select(
         "conv_id", "call_id", F.col("turn").alias("call_turn"), "name", "arguments", F.lit(1).cast("long").alias("n_calls"))
-    whole = linked.unionByName(loose, allowMissingColumns=True).join(schemas, "name", "left")
+    lost = results.where(~named).select(
+        "conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.lit(1).cast("long").alias("n_results"))
+    whole = linked.unionByName(loose, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True).join(schemas, "name", "left")
     ready = whole.select(F.col("conv_id").cast("long"), "call_id", F.col("level").cast("long"), F.col("call_turn").cast("long"),
                          F.col("result_turn").cast("long"), "name", "arguments", "content", "schema",
                          *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_calls", "n_results")])
@@ -199,7 +266,8 @@ TOOLS = [
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and needs of conversations without tools: each turn of a user is a call (answer in the first two turns,
-    continue or follow later), the next turn of an assistant its result, and a call needs the one two turns before."""
+    continue or follow later), the next turn of an assistant its result, and a call needs the one two turns before. Turns of
+    other roles (system prompts) are neither calls nor results and have no rows."""
     name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     turn = F.col("turn")
     users = conversations.where(F.col("role") == "user")
