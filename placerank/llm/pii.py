@@ -233,23 +233,18 @@ def pseudonymise(text: str | None, names: Pseudonyms, found: dict[str, int]) ->
     if not text:
         return text
 
-    def put(kind: str, value: str) -> str:
-        new = getattr(names, kind)(value)
-        if new is None:
-            return value
-        found[kind] = found.get(kind, 0) + 1
-        return new
-
     done: list[tuple[int, int, str]] = []
+    taken = bytearray(len(text))
 
     def put(kind: str, value: str, at: int) -> bool:
         end = at + len(value)
-        if any(a < end and at < b for a, b, _ in done):
+        if taken.find(1, at, end) >= 0:
             return False
         new = getattr(names, kind)(value)
         if new is not None:
             found[kind] = found.get(kind, 0) + 1
             done.append((at, end, new))
+            taken[at:end] = b"\1" * (end - at)
         return new is not None
 
     low = text.lower()
@@ -263,14 +258,15 @@ def pseudonymise(text: str | None, names: Pseudonyms, found: dict[str, int]) ->
     while m:
         m = _iban.search(text, next((m.start() + n for n in _iban_ends(m[0]) if put("iban", m[0][:n], m.start())), m.start() + 1))
     for stretch in _stretch.finditer(text):
-        m = _number.search(stretch[0])
+        body, first = stretch[0], stretch.start()
+        m = _number.search(body)
         while m:
             # What fails its check may hide another form from here on, or a value that begins further right.
             forms = [(next(k for k in KINDS if m.groupdict().get(k)), m)]
-            forms += [(k, other) for k, form in _forms.items() if k != forms[0][0] and (other := form.match(stretch[0], m.start()))]
-            end = next((f.end() for kind, f in forms if _alone(text, kind, stretch.start() + f.start(), stretch.start() + f.end())
-                        and put(kind, f[0], stretch.start() + f.start())), m.start() + 1)
-            m = _number.search(stretch[0], end)
+            forms += [(k, other) for k, form in _forms.items() if k != forms[0][0] and (other := form.match(body, m.start()))]
+            end = next((f.end() for kind, f in forms if _alone(text, kind, first + f.start(), first + f.end())
+                        and put(kind, f[0], first + f.start())), m.start() + 1)
+            m = _number.search(body, end)
     out, last = [], 0
     for a, b, new in sorted(done):
         out += [text[last:a], new]

@@ -1,4 +1,7 @@
+import random
 import re
+import time
+from collections import Counter
 
 import pytest
 
@@ -50,6 +53,49 @@ def test_values_stay_linked_and_keys_differ():
     assert a == b and a not in pii.pseudonymise("4041894974608795", pii.Pseudonyms(b"other"), {})
 
 
+def value(rng, kind):
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == "card":
+        body = digits(15)
+        return body + str(pii.luhn(body + "0"))
+    if kind == "ip":
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
+    if kind == "phone":
+        return f"{rng.randint(200, 999)}-{digits(3)}-{digits(4)}"
+    if kind == "ssn":
+        return f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    if kind == "date":
+        return f"{rng.randint(1950, 2050)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
+    if kind == "email":
+        return f"u{digits(3)}.{rng.choice('abc')}@mail{digits(1)}.example.org"
+    return rng.choice(["word", "12", "3.14", "4041894974608796", "300.1.1.1", "2023-02-29", "000-12-3456", "x@y", "v1.2", "1776-07-04"])
+
+
+def test_a_text_is_the_sum_of_its_values():
+    """The plain version: a text that is put together from known values is replaced value by value."""
+    rng, kinds = random.Random(4), ["card", "ip", "phone", "ssn", "date", "email", None]
+    for _ in range(60):
+        chosen = [rng.choice(kinds) for _ in range(rng.randint(1, 40))]
+        parts = [value(rng, k) for k in chosen]
+        gaps = [rng.choice([" ; ", "\n", ", and ", " <", "> "]) for _ in parts]
+        new = [getattr(NAMES, k)(p) if k else p for k, p in zip(chosen, parts)]
+        found = {}
+        assert pii.pseudonymise("".join(map("".join, zip(parts, gaps))), NAMES, found) == "".join(map("".join, zip(new, gaps)))
+        assert found == dict(Counter(k for k in chosen if k))
+
+
+@pytest.mark.parametrize("kind,gap", [("email", "\n"), ("ip", " ")])
+def test_time_grows_with_the_length(kind, gap):
+    rng, spent = random.Random(8), []
+    for n in (4_000, 32_000):
+        text = gap.join(value(rng, kind) for _ in range(n))
+        start, found = time.time(), {}
+        pii.pseudonymise(text, pii.Pseudonyms(b"key"), found)
+        spent.append(time.time() - start)
+        assert found == {kind: n}
+    assert spent[1] < 20 * max(spent[0], 0.05)
+
+
 def test_table(spark):
     rows = awkward_docs() + [(70, "mail a1@b.example.com", None, "s", 3)] * 2
     docs = clashing(frame(spark, rows), "n_email", "n_card")
