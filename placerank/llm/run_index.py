@@ -2,15 +2,16 @@
 
 import numpy as np
 
-_END = 0
+#: Symbols of nine bits that one number holds.
+_END, FIRST = 0, 7
 
 
 def suffix_order(text: np.ndarray, longest: int, window: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """Suffix array of ended texts written one after the other; the greatest power of two up to `window`, and the ranks
-    of suffixes by so many symbols.
+    """Suffix array of ended texts written one after the other; the greatest number of symbols up to `window` by which suffixes
+    were ranked on the way, more than half of it, and those ranks.
 
-    `text` holds symbols from 1 and ends each text with 0; no text is longer than `longest` with its end. Ranks are
-    doubled; suffixes that are equal up to their end keep the order of the texts. Ranks and positions share one
+    `text` holds symbols from 1 to 256 and ends each text with 0; no text is longer than `longest` with its end. Suffixes
+    are ranked by FIRST symbols at once, then ranks are doubled; suffixes that are equal up to their end keep the order of the texts. Ranks and positions share one
     64-bit key where they fit, so that a plain sort does."""
     n = len(text)
     bits = max(1, int(n).bit_length())
@@ -18,7 +19,19 @@ def suffix_order(text: np.ndarray, longest: int, window: int) -> tuple[np.ndarra
     # A suffix that reaches its end is only compared up to there: beyond it ranks count as 0.
     left = np.flatnonzero(text == _END)
     rest = left[np.searchsorted(left, np.arange(n))] - np.arange(n)
-    rank, depth, kept, order = text.astype(np.uint64), 1, (1, text), None
+    first = min(FIRST, window, longest)
+    code = text.astype(np.uint64)
+    for i in range(1, first):
+        following = np.zeros(n, np.uint64)
+        following[:-i] = text[i:]
+        following[rest < i] = 0
+        code = (code << np.uint64(9)) | following
+    order = np.argsort(code)
+    code = code[order]
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.cumsum(np.concatenate(([True], code[1:] != code[:-1])))
+    depth = first
+    kept = depth, rank.astype(np.int64)
     while True:
         more = np.zeros(n, np.uint64)
         reach = np.flatnonzero(rest >= depth)
@@ -59,11 +72,13 @@ class RunIndex:
         self.run_symbol = last[self.run_row]
         length = np.diff(np.append(self.run_row, len(flat)))
         self.run_end_position = order[self.run_row + length - 1]
-        # Runs by symbol: the number of rows of a symbol before each of its runs, and where its suffixes begin.
+        # Runs by symbol and row: the number of rows of the symbol before each.
         by = np.argsort(self.run_symbol, kind="stable")
-        before = np.cumsum(length[by]) - length[by]
         self.by_symbol = np.searchsorted(self.run_symbol[by], np.arange(258))
-        self.rows_of, self.before, self.length = self.run_row[by], before, length[by]
+        self.rows_of, self.length = self.run_row[by], length[by]
+        self.before = np.cumsum(self.length) - self.length
+        self.size = len(flat)
+        self.by_row = self.run_symbol[by] * self.size + self.rows_of
         # Rows whose suffixes agree on the whole window are neighbours.
         reach = np.repeat(self.starts[1:] - 1, sizes) - np.arange(len(flat)) >= window
         full = np.flatnonzero(reach[order])
@@ -75,18 +90,11 @@ class RunIndex:
 
     def step(self, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Rows before which `symbol` puts the suffixes that begin before `row`: one step of a backward search."""
-        out = np.empty(len(row), np.int64)
-        order = np.argsort(symbol, kind="stable")
-        edges = np.searchsorted(symbol[order], np.arange(258))
-        for s in np.unique(symbol):
-            own = order[edges[s]:edges[s + 1]]
-            lo, hi = self.by_symbol[s], self.by_symbol[s + 1]
-            r = row[own]
-            k = np.searchsorted(self.rows_of[lo:hi], r, "right") - 1
-            inside = np.minimum(r - self.rows_of[lo:hi][k], self.length[lo:hi][k])
-            count = np.where(k >= 0, self.before[lo:hi][k] + inside, self.before[lo] if hi > lo else 0)
-            out[own] = count
-        return out
+        first = self.by_symbol[symbol]
+        k = np.searchsorted(self.by_row, symbol * self.size + row, "right") - 1
+        # Before the first run of the symbol all of its rows are still to come.
+        inside = np.where(k >= first, np.minimum(row - self.rows_of[k], self.length[k]), 0)
+        return self.before[np.maximum(k, first)] + inside
 
     def matching_statistics(self, texts: list[bytes]):
         """Stream texts that are in the index, all at once, from their ends to their beginnings; yields for each place
