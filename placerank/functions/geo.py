@@ -2,16 +2,19 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EARTH_KM
 
-# Cell edges in degrees. A query uses the smallest edge that is at least its half-width, so its
+# Cell edges in degrees. A cover begins with the smallest edge that is at least a circle's half-width, so its
 # box meets at most 3 x 3 cells, whatever its radius.
 CELL_EDGES = [0.0125 * 2**level for level in range(15)]
 _KM_PER_DEGREE = EARTH_KM * math.pi / 180
 _SLACK = 1.001
+# How often a cell on a circle's border is cut, and by how much a distance may be off, in km.
+COVER_DEPTH, _MARGIN_KM = 2, 0.001
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -102,3 +105,66 @@ def circle_cells(lat: Column, lon: Column, radius_km: Column, level: Column) ->
         F.floor(F.greatest(lat - dlat, F.lit(-90.0)) / edge), F.floor(F.least(lat + dlat, F.lit(90.0)) / edge))
     return F.flatten(F.transform(
         rows, lambda r: F.transform(F.array_distinct(F.flatten(spans)), lambda c: cell_name(level, r, c))))
+
+
+def _distance(lat1, lat2, dlon):
+    """`haversine` of arrays, with the difference in longitude."""
+    a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(dlon) / 2) ** 2
+    return np.arcsin(np.sqrt(np.minimum(a, 1.0))) * 2 * EARTH_KM
+
+
+def _cell_distances(level, row, col, lat, lon):
+    """The least and the greatest distance in km from points to cells.
+
+    On a parallel the distance grows with the difference in longitude. Along a meridian it has one minimum and grows on
+    both sides, so the greatest distance is at a corner, the least one at that minimum or at the end next to it."""
+    edge = np.array(CELL_EDGES)[level]
+    south, north = np.maximum(row * edge, -90.0), np.minimum((row + 1) * edge, 90.0)
+    west = (col * edge - lon + 180.0) % 360.0 - 180.0
+    east = west + edge
+    spans = (west <= 0) & (east >= 0) | (east >= 360.0)
+    near = np.where(spans, 0.0, np.minimum(np.minimum(np.abs(west), np.abs(east)), np.abs(east - 360.0)))
+    far = np.where(east >= 180.0, 180.0, np.maximum(np.abs(west), np.abs(east)))
+    lowest = np.degrees(np.arctan2(np.sin(np.radians(lat)), np.cos(np.radians(lat)) * np.cos(np.radians(near))))
+    least = _distance(lat, np.clip(lowest, south, north), near)
+    return least, np.maximum(_distance(lat, south, far), _distance(lat, north, far))
+
+
+def _ranges(first, last):
+    """For each pair of bounds the numbers from one to the other, and whose they are."""
+    many = np.maximum(last - first + 1, 0)
+    owner = np.repeat(np.arange(len(many)), many)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + first[owner]
+
+
+def circle_cover(lat: np.ndarray, lon: np.ndarray, radius_km: np.ndarray, depth: int = COVER_DEPTH):
+    """(circle, level, row, col, inside) of the cells that cover circles: cells that lie whole in the circle, and others
+    that its border may cross, up to `depth` levels smaller than the ones that the circle's box begins with."""
+    # As `box_half_widths`.
+    dlat = radius_km / _KM_PER_DEGREE * _SLACK + 1e-6
+    pole = np.abs(lat) + dlat >= 89.99
+    ratio = np.sin(np.radians(np.minimum(dlat, 90.0))) / np.cos(np.radians(np.where(pole, 0.0, lat)))
+    wide = pole | (ratio >= 1.0)
+    dlon = np.where(wide, 180.0, np.degrees(np.arcsin(np.where(wide, 0.0, ratio))) * _SLACK + 1e-6)
+    level = np.clip(np.ceil(np.log2(np.maximum(dlat, dlon) / CELL_EDGES[0])), 0, len(CELL_EDGES) - 1).astype(np.int64)
+    edge = np.array(CELL_EDGES)[level]
+    whole = lambda x: np.floor(x / edge).astype(np.int64)
+    circle, row = _ranges(whole(np.maximum(lat - dlat, -90.0)), whole(np.minimum(lat + dlat, 90.0)))
+    found = []
+    # A box over the date line goes on at the other side: the same longitudes 360 degrees away.
+    for shift in (0.0, 360.0, -360.0):
+        west, east = np.maximum(lon - dlon + shift, -180.0), np.minimum(lon + dlon + shift, 180.0)
+        own, col = _ranges(whole(west)[circle], np.where(west <= east, whole(east), whole(west) - 1)[circle])
+        found.append(np.stack([circle[own], level[circle[own]], row[own], col]))
+    cells = np.unique(np.concatenate(found, axis=1), axis=1)
+    for d in range(depth + 1):
+        at = cells[0]
+        least, greatest = _cell_distances(*cells[1:], lat[at], lon[at])
+        meets = least <= radius_km[at] + _MARGIN_KM
+        cells, inside = cells[:, meets], (greatest <= radius_km[at] - _MARGIN_KM)[meets]
+        if d < depth:
+            split = ~inside & (cells[1] > 0)
+            c = cells[:, split]
+            parts = [np.stack([c[0], c[1] - 1, 2 * c[2] + i, 2 * c[3] + j]) for i in (0, 1) for j in (0, 1)]
+            cells = np.concatenate([cells[:, ~split], *parts], axis=1)
+    return (*cells, inside)

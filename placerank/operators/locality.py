@@ -1,5 +1,8 @@
 """Where: state, city or circle, for one query or as join keys for many."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,20 +47,37 @@ def in_locality(business: DataFrame, locality: tuple) -> DataFrame:
     return apply(business, *values)
 
 
-def place_keys(queries: DataFrame) -> DataFrame:
-    """Queries with the kind and names of their places: the state, the city, or the up to nine cells
-    of the circle."""
-    mode = F.lower("locality_mode")
-    level = F.when(mode == "radial", geo.circle_level(F.col("latitude"), F.col("radius_km")))
-    leveled = queries.withColumn("_level", level)
-    places = (
-        F.when(mode == "state", F.array(F.concat(F.lit("state:"), F.col("state"))))
-        .when(mode == "city", F.array(F.concat(F.lit("city:"), F.col("city"))))
-        .when(mode == "radial", geo.circle_cells(
-            F.col("latitude"), F.col("longitude"), F.col("radius_km"), F.col("_level")))
-    )
-    kind = F.when(mode == "radial", F.concat(F.lit("cell"), F.col("_level").cast("string"))).otherwise(mode)
-    return leveled.withColumns({"kind": kind, "places": places}).drop("_level")
+_PLACES = {"kind": "string", "place": "string", "inside": "boolean"}
+
+
+def _places(batches):
+    for batch in batches:
+        mode = pc.utf8_lower(batch.column("locality_mode")).to_pylist()
+        lat, lon, radius = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("latitude", "longitude", "radius_km"))
+        round_ = np.array([m == "radial" for m in mode]) & ~(np.isnan(lat) | np.isnan(lon) | np.isnan(radius))
+        where = np.flatnonzero(round_)
+        circle, level, row, col, inside = geo.circle_cover(lat[where], lon[where], radius[where])
+        kinds = [f"cell{n}" for n in level.tolist()]
+        rows = where[circle].tolist()
+        places = [f"{k}:{r}:{c}" for k, r, c in zip(kinds, row.tolist(), col.tolist())]
+        flags = inside.tolist()
+        for i, (m, state, city) in enumerate(zip(mode, batch.column("state").to_pylist(), batch.column("city").to_pylist())):
+            name = {"state": state, "city": city}.get(m)
+            if name is not None:
+                rows.append(i)
+                kinds.append(m)
+                places.append(f"{m}:{name}")
+                flags.append(True)
+        taken = batch.take(pa.array(rows, pa.int64()))
+        added = [pa.array(kinds, pa.string()), pa.array(places, pa.string()), pa.array(flags, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*taken.columns, *added], names=[*batch.schema.names, *_PLACES])
+
+
+def place_rows(queries: DataFrame) -> DataFrame:
+    """Queries with a row for each of their places: its `kind`, its name `place`, and whether it lies whole `inside`
+    the query's locality. A state or city is one place, a circle is covered by cells of several sizes."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema]
+    return queries.mapInArrow(_places, ", ".join([*fields, *[f"{n} {t}" for n, t in _PLACES.items()]]))
 
 
 def business_places(business: DataFrame, queried: DataFrame) -> DataFrame:
@@ -77,27 +97,23 @@ def business_places(business: DataFrame, queried: DataFrame) -> DataFrame:
 
 def within_query_circle(latitude: str = "latitude", longitude: str = "longitude",
                         query_latitude: str = "query_latitude", query_longitude: str = "query_longitude") -> Column:
-    """The exact test behind the cells, after a cheap one by latitude; always true outside radial mode."""
+    """The exact test behind the cells, for those that are not inside as a whole; always true outside radial mode."""
     distance = geo.haversine(F.col(latitude), F.col(longitude), F.col(query_latitude), F.col(query_longitude))
-    near = geo.in_band(F.col(latitude), F.col(query_latitude), F.col("radius_km"))
-    return (F.lower("locality_mode") != "radial") | (near & (distance <= F.col("radius_km")))
+    return F.col("inside") | (distance <= F.col("radius_km"))
 
 
 def radial_join(queries: DataFrame, business: DataFrame, per_task: int | None = None) -> DataFrame:
     """(query_id, business_id, distance_km) for every business inside a query's circle."""
-    circles = place_keys(queries.filter(F.lower("locality_mode") == "radial")).select(
-        "query_id", "kind", F.explode("places").alias("place"), "radius_km",
-        *[w.alias(n) for w, n in zip(geo.box_half_widths(F.col("latitude"), F.col("radius_km")), ("dlat", "dlon"))],
-        F.col("latitude").alias("query_latitude"), F.col("longitude").alias("query_longitude"))
+    circles = place_rows(queries.filter(F.lower("locality_mode") == "radial").select(
+        "query_id", "locality_mode", "state", "city", "latitude", "longitude", "radius_km")).select(
+        "query_id", "kind", "place", "inside", "radius_km", F.col("latitude").alias("query_latitude"), F.col("longitude").alias("query_longitude"))
     points = business_places(business.select("business_id", "state", "city", "latitude", "longitude"), circles)
     distance = geo.haversine(
         F.col("latitude"), F.col("longitude"), F.col("query_latitude"), F.col("query_longitude"))
     return (
         spread_join(points.select("place", "business_id", "latitude", "longitude"), circles.drop("kind"),
                     ["place"], ["business_id"], ["query_id"], per_task=per_task)
-        .filter(geo.in_widths(F.col("latitude") - F.col("query_latitude"), F.col("longitude") - F.col("query_longitude"),
-                              F.col("dlat"), F.col("dlon")))
         .withColumn("distance_km", distance)
-        .filter(F.col("distance_km") <= F.col("radius_km"))
+        .filter(F.col("inside") | (F.col("distance_km") <= F.col("radius_km")))
         .select("query_id", "business_id", "distance_km")
     )

@@ -80,15 +80,14 @@ def pools(resolved: DataFrame, packed: DataFrame, per_task: int | None = None) -
     columns = ["terms", "pool_key", *_LOCALITY]
     pool = resolved.groupBy("pool_id").agg(*[F.min_by(c, "query_id").alias(c) for c in columns])
     means = preference.pool_means(packed, pool, per_task)
-    filled = pool.join(means, "pool_key", "left").withColumn("means", F.coalesce("means", preference.default_means()))
-    return locality.place_keys(filled)
+    return pool.join(means, "pool_key", "left").withColumn("means", F.coalesce("means", preference.default_means()))
 
 
 def matches(pool: DataFrame, packed: DataFrame, per_task: int | None = None) -> DataFrame:
     """(pool_id, business_id, quality, hours, attrs): open businesses in each pool's locality and categories."""
-    renamed = pool.withColumnsRenamed({"latitude": "query_latitude", "longitude": "query_longitude"})
-    placed = renamed.withColumn("place", F.explode("places")).withColumn("term", F.explode("terms")).drop(
-        "state", "city", "places", "pool_key", "means")
+    renamed = locality.place_rows(pool.drop("pool_key", "means")).withColumnsRenamed(
+        {"latitude": "query_latitude", "longitude": "query_longitude"})
+    placed = renamed.withColumn("term", F.explode("terms")).drop("state", "city", "locality_mode")
     points = locality.business_places(packed.filter("is_open").drop("is_open"), placed).select(
         "place", "business_id", "latitude", "longitude", "categories", "quality", "attrs", "hours",
         F.explode(F.array_distinct("categories")).alias("term"))

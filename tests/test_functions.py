@@ -1,5 +1,11 @@
+import math
+import random
+from collections import namedtuple
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from placerank.config import EARTH_KM
 from placerank.functions import attributes, geo, hours, text
 
 
@@ -73,3 +79,31 @@ def test_circle_cells_cover_date_line_and_poles(spark):
     rows = c.crossJoin(p).select(near.alias("near"), hit.alias("hit")).collect()
     assert all(r.hit for r in rows if r.near) and sum(r.near for r in rows) >= 10
     assert c.select(F.max(F.size("places"))).first()[0] <= 12
+
+
+Cell = namedtuple("Cell", "c level row col inside")
+
+
+def test_covers_hold_circles_and_little_more():
+    rng = random.Random(6)
+    circles = [(10.0, 179.95, 30.0), (10.0, -179.95, 30.0), (89.9, 0.0, 50.0), (-89.95, 170.0, 500.0), (0.0, 0.0, 25000.0), (5.0, 5.0, 0.0),
+               (27.9, -82.4, 5.0), (60.0, 20.0, 300.0), (-45.0, 100.0, 9000.0), (27.9, -82.4, 0.4)]
+    circles += [(rng.uniform(-89, 89), rng.uniform(-180, 180), 10 ** rng.uniform(-1, 4)) for _ in range(30)]
+    covers = [Cell(*map(int, x)) for x in zip(*geo.circle_cover(*np.array(circles).T))]
+    assert {x.c for x in covers if x.inside} >= {0, 4, 6, 7, 8} and {x.c for x in covers} == set(range(len(circles)))
+    for i, (clat, clon, radius) in enumerate(circles):
+        own = {(x.level, x.row, x.col): x.inside for x in covers if x.c == i}
+        assert len(own) == len([x for x in covers if x.c == i]) <= 90
+        tested = hits = 0
+        points = [(clat, clon)] + [(clat + rng.uniform(-1, 1) * radius / 100, clon + rng.uniform(-1, 1) * radius / 100 / max(0.02, math.cos(math.radians(clat))))
+                                   for _ in range(400)]
+        for plat, plon in points:
+            plat, plon = max(-90.0, min(90.0, plat)), (plon + 180) % 360 - 180
+            a = math.sin(math.radians(plat - clat) / 2) ** 2 + math.cos(math.radians(clat)) * math.cos(math.radians(plat)) * math.sin(
+                math.radians(plon - clon) / 2) ** 2
+            near = 2 * EARTH_KM * math.asin(min(1.0, math.sqrt(a))) <= radius
+            at = [v for (level, row, col), v in own.items() if (math.floor(plat / geo.CELL_EDGES[level]), math.floor(plon / geo.CELL_EDGES[level])) == (row, col)]
+            assert len(at) <= 1 and (not near or at) and (near or not any(at))
+            tested, hits = tested + len(at), hits + near
+        if radius > 2 and abs(clat) < 80 and radius < 5000:
+            assert tested < 2 * hits
