@@ -16,7 +16,7 @@ about half of its places have besides: those behind it for places near its strin
 What a range receives from a chunk is distinct, so a passage that fills a third of the corpus is a string for each
 chunk and place in it. A line whose neighbours differ each time gives other strings each time, which go to different
 ranges. Chunks are bounded in bytes, the number of ranges follows that of partitions, and a range builds one index after
-another; one key adds at most about `index_bytes` to an index, or a string for each chunk if it is hot."""
+another; one key adds at most about HOT times `index_bytes` to an index, or a string for each chunk if it is hot."""
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ from .common import power_of_two, spread, stored, texts
 from .packing import pack, pack_sorted, unpack, unpack_sorted
 from .run_index import RunIndex
 
-WINDOW, GRAM, CHUNK, INDEX = 100, 40, 4 << 20, 1 << 20
+#: Indexes of this many bytes stay in a core's cache; a key is hot if its strings, of two windows each, could fill HOT of them.
+WINDOW, GRAM, CHUNK, INDEX, HOT = 100, 40, 4 << 20, 1 << 18, 4
 _BASE, _BLOCK, _LAST = 0x9E3779B97F4A7C15, 1 << 19, (1 << 63) - 1
 _CHUNKS = "chunk long, doc_ids array<long>, sizes array<long>, data binary"
 _ASKED = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -327,7 +328,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chun
     chunks = stored(rows.mapInArrow(_pack_chunks(chunk), _CHUNKS), "chunks")
     regions = power_of_two(max(8, spread(docs)))
     asked = chunks.select("chunk", "sizes", "data").mapInArrow(_ask(regions, window, gram), _ddl(_ASKED))
-    known = asked.groupBy("region").applyInArrow(_tell(index_bytes // (2 * window)), _ddl(_KNOWN))
+    known = asked.groupBy("region").applyInArrow(_tell(HOT * index_bytes // (2 * window)), _ddl(_KNOWN))
     pieces = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
         _cut(regions, window, gram), _ddl(_PIECES))
     marks = pieces.groupBy("region").applyInArrow(_mark(window, index_bytes), _ddl(_MARKS))

@@ -58,7 +58,7 @@ def rows():
 @pytest.mark.parametrize("chunk", [1 << 22, 700])
 def test_equals_brute_force(spark, chunk):
     docs = clashing(spark.createDataFrame(rows(), "doc_id long, text string").repartition(4), "chunk", "region", "kept")
-    got = d.remove_repeats(docs, chunk=chunk, index_bytes=2000 if chunk < 1000 else 1 << 20).collect()
+    got = d.remove_repeats(docs, chunk=chunk, index_bytes=500 if chunk < 1000 else 1 << 18).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows(), 100)
 
 
@@ -92,5 +92,5 @@ def test_a_line_with_other_neighbours_each_time_fills_no_index(spark, monkeypatc
             mark(d.pa.Table.from_pylist(own, d._PIECES))
     assert 0 < max(sizes) < 20_000
     frame_ = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = d.remove_repeats(frame_, chunk=5000, index_bytes=4000).collect()
+    got = d.remove_repeats(frame_, chunk=5000, index_bytes=1000).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(docs, 100)
