@@ -18,6 +18,7 @@ from placerank.plans import (
 )
 from placerank.plans import batch, single
 from placerank.plans.clean import with_category_vectors
+from placerank.plans.review_book import ReviewBook
 from . import fixtures as fx
 from . import oracle as o
 from .oracle import with_ctes
@@ -854,6 +855,38 @@ def delete_reviews(spark, sf):
     return edits.delete_reviews(fx.review_raw(spark, sf), _patches(spark, sf)).select("review_id", "stars", "text")
 
 
+_BOOK = {"book": f"""SELECT review_id, user_id, business_id, CASE WHEN {_PATCHED} THEN 4.5e0 ELSE stars END AS stars, useful, funny, cool,
+    CASE WHEN {_PATCHED} AND useful <> 3 THEN 'edited' ELSE text END AS text, date FROM review_raw WHERE useful <> 5 UNION ALL
+    SELECT 'web-' || c_custkey, 'u' || c_custkey, 'b' || c_custkey, CAST(c_nationkey % 10 AS DOUBLE) / 2, 0, 0, 0, c_mktsegment, '2024-05-06 07:08:09' FROM customer"""}
+
+
+def _book(spark, sf):
+    """The reviews as a book, after an append, a patch and a deletion."""
+    raw = fx.review_raw(spark, sf)
+    book = ReviewBook(spark, sources.shared_path(spark, "review-book"), buckets=16)
+    book.create(raw)
+    book.append(fx.table(spark, sf, "customer").select(
+        F.expr("concat('web-', c_custkey)").alias("review_id"), F.expr("concat('u', c_custkey)").alias("user_id"),
+        F.expr("concat('b', c_custkey)").alias("business_id"), F.expr("cast(c_nationkey % 10 / 2 as string)").alias("stars"),
+        F.col("c_mktsegment").alias("text")), "2024-05-06 07:08:09")
+    book.patch(_patches(spark, sf))
+    book.delete(raw.filter("useful = 5"))
+    return book
+
+
+@query("SELECT * FROM book", **_BOOK)
+def review_book(spark, sf):
+    """Edits that rewrite only the buckets they touch."""
+    return _book(spark, sf).reviews()
+
+
+@query("""SELECT user_id, business_id, stars AS user_stars FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, business_id ORDER BY date DESC, review_id DESC) AS rn FROM book) WHERE rn = 1""", **_BOOK)
+def review_book_latest(spark, sf):
+    """Latest stars kept up to date by the edits themselves."""
+    return _book(spark, sf).latest_stars()
+
+
 @query("""SELECT user_id, CASE WHEN k % 2 = 0 THEN 30e0 + k % 7 ELSE latitude END AS latitude,
     CASE WHEN k % 4 = 0 THEN -80e0 - k % 7 ELSE longitude END AS longitude FROM profiles""")
 def update_profile(spark, sf):

@@ -108,3 +108,64 @@ def test_blocks_do_not_change_results(spark, tables, monkeypatch):
     monkeypatch.setattr(blocks, "pack_blocks", lambda found: pack(found, 3))
     got = sorted(map(tuple, recommend_batch(some, business, review, min_count=1)[0].collect()))
     assert got == want and len({r[0] for r in got}) > 3
+
+
+def test_review_book_equals_whole_table_edits(spark, tmp_path):
+    import random
+
+    from placerank.operators import preference, reviews as edits
+    from placerank.plans.review_book import ReviewBook
+
+    rng = random.Random(5)
+    schema = "review_id string, user_id string, business_id string, stars double, useful bigint, funny bigint, cool bigint, text string, date string"
+    first = [(f"r{i}", f"u{rng.randrange(6)}", f"b{rng.randrange(5)}", rng.randrange(10) / 2, 0, 0, 0, "t", f"2020-01-{rng.randint(1, 28):02d} 00:00:00")
+             for i in range(120)]
+    first += [("r-null", "u1", "b1", None, 0, 0, 0, None, None), ("r-pair", None, "b1", 3.0, 0, 0, 0, "t", "2020-02-01 00:00:00")]
+    whole = spark.createDataFrame(first, schema)
+    book = ReviewBook(spark, f"file://{tmp_path}/book", buckets=16)
+
+    def same(version=None):
+        key = lambda r: tuple(map(str, r))
+        assert sorted(book.reviews(version).select(*whole.columns).collect(), key=key) == sorted(whole.collect(), key=key)
+        assert sorted(book.latest_stars(version).collect(), key=key) == sorted(preference.latest_stars(whole).collect(), key=key)
+
+    assert book.create(whole) == 1
+    same()
+    latest = preference.latest_stars(whole)
+    # The latest review of some pairs, and others.
+    top = [r.review_id for r in whole.groupBy("user_id", "business_id").agg(F.max_by("review_id", F.struct("date", "review_id")).alias("review_id")).collect()]
+    steps = [
+        ("append", spark.createDataFrame([("u1", "b1", "4.5", "new"), ("u9", "b9", "2", "new"), ("u9", "b9", "2", "new")],
+                                         "user_id string, business_id string, stars string, text string")),
+        ("patch", spark.createDataFrame([(top[0], "0.5", None), ("r7", "1.5", "edited"), ("gone", "1", "x")], "review_id string, stars string, text string")),
+        ("patch", spark.createDataFrame([(top[1], "2019-01-01 00:00:00"), ("r9", "2030-01-01 00:00:00")], "review_id string, date string")),
+        ("delete", spark.createDataFrame([(top[2],), (top[3],), ("r11",), ("gone",)], "review_id string")),
+        ("delete", whole.where("user_id = 'u2'").select("review_id")),
+    ]
+    for n, (kind, change) in enumerate(steps, 2):
+        before = book.store.manifest()
+        if kind == "append":
+            book.append(change, "2024-01-01 00:00:00")
+            whole = edits.append_reviews(whole, change, "2024-01-01 00:00:00")
+        else:
+            getattr(book, kind)(change)
+            whole = (edits.patch_reviews if kind == "patch" else edits.delete_reviews)(whole, change)
+        whole = spark.createDataFrame(whole.collect(), schema)
+        same()
+        after = book.store.manifest()
+        assert book.store.version() == n
+        if n < 6:
+            untouched = [k for k, v in before["reviews"]["buckets"].items() if after["reviews"]["buckets"].get(k) == v]
+            assert len(untouched) >= 8
+    # A run that stops before its manifest changes nothing; a writer that comes late is refused.
+    commit = book.store.commit
+    book.store.commit = lambda *a: (_ for _ in ()).throw(KeyboardInterrupt())
+    with pytest.raises(KeyboardInterrupt):
+        book.delete(whole.select("review_id"))
+    book.store.commit = commit
+    same()
+    with pytest.raises(RuntimeError):
+        commit(book.store.version() - 1, {}, {})
+    assert book.store.vacuum(1) and book.store.vacuum(1) == []
+    same()
+    assert latest.count() > 0
