@@ -17,7 +17,7 @@ from placerank.plans import (
     recommend_json,
 )
 from placerank.plans import batch, single
-from placerank.plans.clean import with_category_vectors
+from placerank.plans.clean import clean_file, with_category_vectors
 from placerank.plans.review_book import ReviewBook
 from . import fixtures as fx
 from . import oracle as o
@@ -1086,6 +1086,72 @@ def recommend_batch_stored(spark, sf):
     return _shown(recommend_batch(asked, business, fx.review(spark, sf), pool_store=store)[0])
 
 
+def _broken_reviews(spark, sf):
+    """Raw reviews as JSON lines; one in seven breaks off, some have stars that are no number, some lines are blank."""
+    raw = fx.review_raw(spark, sf)
+    line = F.when(F.col("useful") == 7, F.concat(F.lit('{"review_id":"'), F.col("review_id"))).when(
+        F.col("useful") == 6, F.concat(F.lit('{"review_id":"'), F.col("review_id"), F.lit('","stars":"none"}'))).when(
+        F.col("useful") == 5, F.lit("  ")).otherwise(F.to_json(F.struct(*raw.columns)))
+    path = sources.shared_path(spark, "broken")
+    raw.select(line.alias("value")).write.text(path)
+    return clean_file(spark, path, "review")
+
+
+@query("""SELECT '{"review_id":"' || review_id || CASE useful WHEN 6 THEN '","stars":"none"}' ELSE '' END AS line FROM review_raw WHERE useful IN (6, 7)""")
+def json_rejects(spark, sf):
+    """Lines that do not parse are returned as they are."""
+    return _broken_reviews(spark, sf)[1].select("line")
+
+
+@query("SELECT review_id, user_id, business_id, CAST(stars AS DOUBLE) AS stars, text FROM review_raw WHERE useful < 5")
+def json_accepted(spark, sf):
+    return _broken_reviews(spark, sf)[0].select("review_id", "user_id", "business_id", F.col("stars").cast("double"), "text")
+
+
+_SHOWN_TEXT = {
+    "shown_text": """SELECT name, CAST(CAST(stars AS DOUBLE) AS VARCHAR) AS stars, CAST(review_count AS VARCHAR) AS review_count,
+        '[' || array_to_string(categories, ', ') || ']' AS categories, business_id FROM business WHERE k <= 300""",
+    "text_widths": """SELECT greatest(max(length(name)), 4) AS n, greatest(max(length(stars)), 5) AS s, greatest(max(length(review_count)), 12) AS r,
+        greatest(max(length(categories)), 10) AS c FROM shown_text""",
+}
+
+
+@query("""SELECT 0 AS nth, lpad('name', n::int, ' ') || ' ' || lpad('stars', s::int, ' ') || ' ' || lpad('review_count', r::int, ' ') || ' ' || lpad('categories', c::int, ' ') AS line
+    FROM text_widths UNION ALL SELECT row_number() OVER (ORDER BY business_id), lpad(name, n::int, ' ') || ' ' || lpad(stars, s::int, ' ') || ' '
+        || lpad(review_count, r::int, ' ') || ' ' || lpad(categories, c::int, ' ') FROM shown_text JOIN text_widths ON true""", **_SHOWN_TEXT)
+def text_result(spark, sf):
+    """The text form of an answer: a header and columns as wide as their values."""
+    path = sources.shared_path(spark, "answer")
+    few = fx.business(spark, sf).filter("cast(substr(business_id, 2) as int) <= 300").orderBy("business_id")
+    sources.write_text(few.select("name", F.col("stars").cast("double").alias("stars"), "review_count", "categories"), path)
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("nth", "line"))
+
+
+@query("SELECT DISTINCT 'w' || (p_partkey % 40) || '-' || n AS word, 'w' || (p_partkey % 40) AS topic FROM part, (SELECT unnest([0, 1, 2, 3]) AS n)")
+def w2v_learns(spark, sf):
+    """Words that always occur together: the three nearest words of each are those of its own topic, here given by their common name."""
+    words = [F.expr(f"concat('w', p_partkey % 40, '-', (p_size + {n}) % 4)") for n in range(4)]
+    lists = fx.table(spark, sf, "part").select(F.array(*words).alias("categories")).repartition(1)
+    found = word2vec.word_vectors(word2vec.fit(lists, minCount=1, vectorSize=20, maxIter=15, windowSize=4, seed=7))
+    near = expansion.nearest_words(found.select(F.col("word").alias("term"), F.lit(3).alias("k")), found)
+    topic = lambda c: F.element_at(F.split(c, "-"), 1)
+    return near.groupBy(F.col("term").alias("word")).agg(F.array_join(F.collect_set(topic("word")), ",").alias("topic"))
+
+
+_WANTED = "lower(trim(substr(p_type, 1 + p_partkey % 5, 1 + p_partkey % 4)))"
+
+
+@query(f"""SELECT query_id, rank, word FROM (SELECT query_id, word, row_number() OVER (PARTITION BY query_id ORDER BY word) AS rank
+    FROM (SELECT 'r' || p_partkey AS query_id, {_WANTED} AS wanted, string_split(p_name, ' ') AS selected FROM part) JOIN vocabulary
+    ON wanted <> '' AND contains(lower(word), wanted) AND NOT list_contains(selected, word)) WHERE rank <= 7""")
+def suggestions_for_requests(spark, sf):
+    """Category suggestions for a whole table of texts as people type them."""
+    asked = fx.table(spark, sf, "part").select(
+        F.expr("concat('r', p_partkey)").alias("query_id"), F.expr("concat(' ', substr(p_type, 1 + p_partkey % 5, 1 + p_partkey % 4))").alias("text"),
+        F.split("p_name", " ").alias("selected"))
+    return expansion.suggest_for_requests(expansion.category_vocabulary(fx.business(spark, sf)), asked, 7).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 # ---- sharing, limits and results in other forms --------------------------------------------------
 
 

@@ -84,6 +84,20 @@ def point_cells(lat: Column, lon: Column) -> Column:
     ])
 
 
+def _spread_bits(x: Column) -> Column:
+    """The low 24 bits of a number with a gap behind each."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def curve_position(lat: Column, lon: Column) -> Column:
+    """The place of a point on a space-filling curve over the globe (bits of latitude and longitude in turn): points that are
+    near on the curve are near on the globe. NULL without coordinates."""
+    rows, columns = (F.floor((x + half) / (2 * half) * ((1 << 24) - 1)).cast("bigint") for x, half in ((lat, 90.0), (lon, 180.0)))
+    return F.shiftleft(_spread_bits(rows), 1).bitwiseOR(_spread_bits(columns))
+
+
 def circle_level(lat: Column, radius_km: Column) -> Column:
     """The grid level of a circle. The cells of any level would do; this one keeps them few."""
     dlat, dlon = box_half_widths(lat, radius_km)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import W2V
+from ..sources.shared import materialize
+from .skew import spread_join
 
 ROWS_PER_BLOCK = 4096
 _NEIGHBOURS = "term string, word string, cosine double, k int"
@@ -30,6 +32,38 @@ def suggest_categories(vocabulary: DataFrame, query: str, selected: Sequence[str
     return found.orderBy("word").limit(limit)
 
 
+def _grams(text: str, size: Column) -> Column:
+    """The distinct pieces of `size` characters of a text; none if it is shorter."""
+    last = F.char_length(text) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col(text), i, size)))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def suggest_for_requests(vocabulary: DataFrame, requests: DataFrame, limit: int = 50, per_task: int | None = None) -> DataFrame:
+    """(query_id, rank, word): for each request (query_id, text, selected) what `suggest_categories` gives.
+
+    Words are indexed by their pieces of one, two and three characters. A text is looked up by its rarest piece of three
+    characters, or of all it has, and the words found are tested whole; each text only once, for however many requests. Null
+    texts get nothing; query ids name requests and should differ."""
+    asked = requests.select("query_id", F.lower(F.trim("text")).alias("wanted"), F.coalesce(
+        F.col("selected"), F.array().cast("array<string>")).alias("selected")).filter(F.col("wanted") != "")
+    words = vocabulary.select("word", F.lower("word").alias("lower"))
+    pieces = F.flatten(F.array(*[_grams("lower", F.lit(n)) for n in (1, 2, 3)]))
+    index = materialize(words.withColumn("gram", F.explode(pieces)), "grams")
+    # What other requests of a text have selected bounds how many of its words can be needed.
+    texts = asked.groupBy("wanted").agg((F.max(F.size("selected")) + limit).alias("needed"))
+    own = texts.withColumn("gram", F.explode(_grams("wanted", F.least(F.char_length("wanted"), F.lit(3)))))
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "gram", "left").groupBy("wanted", "needed").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    hits = spread_join(index, rarest, ["gram"], ["word"], ["wanted"], per_task=per_task).filter(F.contains("lower", "wanted"))
+    first = hits.withColumn("nth", F.row_number().over(Window.partitionBy("wanted").orderBy("word"))).filter(F.col("nth") <= F.col("needed"))
+    found = spread_join(asked, first.select("wanted", "word"), ["wanted"], ["query_id"], ["word"], per_task=per_task).filter(
+        ~F.array_contains("selected", F.col("word")))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("word"))).filter(
+        F.col("rank") <= limit).select("query_id", "rank", "word")
+
+
 def document_vectors(documents: DataFrame, key: str, words: str, vectors: DataFrame) -> DataFrame:
     """(key, vector) for each key: the sum of the known words' vectors over the number of all words, and
     zeros for a document without a known word, an empty or a NULL one. Words repeat and are counted first;

@@ -1,12 +1,14 @@
 """Raw JSON tables to typed tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..config import DAYS, ORDINALS, PRICE, RAW_ATTRIBUTES, TRISTATES
 from ..functions import attributes, hours, text
 from ..operators.expansion import document_vectors
 from ..operators.columns import cast_columns, columns_matching, narrow_bigints, narrow_floats, promote_fields, row_sum
+from ..sources.readers import read_json_or_reject
 
 
 def clean_tip(tip: DataFrame) -> DataFrame:
@@ -59,3 +61,10 @@ def clean_business(business: DataFrame) -> DataFrame:
         *kept, text.split_list(F.col("categories")).alias("categories"), *flags,
         attributes.quality(F.col("review_count"), F.col("stars")).alias("quality"), *minutes,
     )
+
+
+def clean_file(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(clean table, rejected lines) of a raw JSON file of one `kind`: tip, checkin, user, review or business."""
+    plans = {"tip": clean_tip, "checkin": clean_checkin, "user": clean_user, "review": clean_review, "business": clean_business}
+    rows, rejects = read_json_or_reject(spark, path, schemas.RAW[kind])
+    return plans[kind](rows), rejects

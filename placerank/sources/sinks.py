@@ -2,15 +2,16 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_path
 
 
-def write_if_absent(df: DataFrame, path: str, cluster_by: Sequence[str] = (), partition_by: Sequence[str] = ()) -> None:
+def write_if_absent(df: DataFrame, path: str, cluster_by: Sequence[str | Column] = (), partition_by: Sequence[str] = ()) -> None:
     """Parquet, left alone when something is there already. `cluster_by` range-sorts the rows so
-    that row-group statistics can skip data; `partition_by` makes folders."""
+    that row-group statistics can skip data; `partition_by` makes folders. Rows clustered by `geo.curve_position`
+    lie near each other on the globe, so the box of a circle meets few row groups."""
     if cluster_by:
         df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     writer = df.write.mode("ignore")
@@ -30,14 +31,32 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         df.write.mode("overwrite").format(fmt).save(path)
 
 
-def write_text(df: DataFrame, path: str, width: int = 24) -> None:
-    """Overwrite a result table as text lines with padded columns."""
-    shown = [
-        F.array_join(c, ", ") if t.startswith("array<") else F.coalesce(F.col(c).cast("string"), F.lit(""))
-        for c, t in df.dtypes
-    ]
-    line = F.format_string(" ".join([f"%-{width}s"] * len(shown)), *shown)
-    df.select(F.rtrim(line).alias("value")).write.mode("overwrite").text(path)
+def _as_text(column: str, kind: str) -> Column:
+    if kind.startswith("array<"):
+        return F.concat(F.lit("["), F.array_join(column, ", ", "None"), F.lit("]"))
+    return F.coalesce(F.col(column).cast("string"), F.lit("NaN" if kind in ("float", "double") else "None"))
+
+
+def write_text(df: DataFrame, path: str, width: int | None = None) -> None:
+    """Overwrite a result table as one file of text lines in the order of `df`: a header, then the rows, each column as wide as
+    its widest value or name and flush right. With a `width` all columns are that wide, flush left, without a header.
+
+    One task writes the file: this is for the rows of an answer, whose number is bounded."""
+    shown = {c: _as_text(c, t) for c, t in df.dtypes}
+    if width is not None:
+        fixed = [F.when(F.col(c).isNull(), "").otherwise(F.array_join(c, ", ") if t.startswith("array<") else F.col(c).cast("string"))
+                 for c, t in df.dtypes]
+        line = F.format_string(" ".join([f"%-{width}s"] * len(fixed)), *fixed)
+        df.select(F.rtrim(line).alias("value")).write.mode("overwrite").text(path)
+        return
+    spark = df.sparkSession
+    texts = df.select(*[s.alias(c) for c, s in shown.items()])
+    longest = texts.agg(*[F.max(F.char_length(c)).alias(c) for c in texts.columns]).first()
+    widths = {c: max(len(c), longest[c] or 0) for c in texts.columns}
+    line = F.concat_ws(" ", *[F.lpad(c, widths[c], " ") for c in texts.columns])
+    rows = texts.select(F.monotonically_increasing_id().alias("nth"), line.alias("value"))
+    header = spark.createDataFrame([(-1, " ".join(c.rjust(widths[c]) for c in texts.columns))], "nth long, value string")
+    header.unionByName(rows).coalesce(1).sortWithinPartitions("nth").select("value").write.mode("overwrite").text(path)
 
 
 def sample_dump(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None, rows: int = 100) -> DataFrame:

@@ -178,3 +178,46 @@ def test_temporary_tables_are_removed(spark):
         path = kept.inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path) and kept.count() == 3
     assert not os.path.exists(path)
+
+
+def test_suggestions_for_requests_equal_single_ones(spark):
+    words = ["Bars", "Beer Bar", "barbers", "Café", "B", "Ba", "Sushi Bars", "Éclair", "aaa", "aab", "baab"]
+    vocabulary = spark.createDataFrame([(w,) for w in words], "word string")
+    texts = ["bar", " BAR ", "b", "a", "aa", "aab", "caf", "é", "xyz", "", "  ", None, "sushi bars", "sushi barsx"]
+    asked = [(f"q{i}", t, s) for i, (t, s) in enumerate((t, s) for t in texts for s in (None, [], ["Bars", "aab"]))]
+    table = spark.createDataFrame(asked, "query_id string, text string, selected array<string>")
+    got = {}
+    for r in expansion.suggest_for_requests(vocabulary, table, 3, per_task=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.word))
+    for q, t, chosen in asked:
+        want = [r.word for r in expansion.suggest_categories(vocabulary, t or "", chosen or [], 3).collect()]
+        assert [w for _, w in sorted(got.get(q, []))] == want
+
+
+def test_curve_layout_skips_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from placerank import sources
+    from placerank.functions import geo
+
+    rnd = random.Random(2)
+    points = [(f"b{i}", rnd.uniform(25, 45), rnd.uniform(-120, -70)) for i in range(8000)] + [("none", None, None)]
+    df = spark.createDataFrame(points, "business_id string, latitude double, longitude double").repartition(2)
+    curve = geo.curve_position(F.col("latitude"), F.col("longitude"))
+    box = lambda lo, hi, a, b: lo <= b and a <= hi
+    met = {}
+    for name, order in (("plain", ["business_id"]), ("curve", [curve])):
+        spark.conf.set("parquet.block.size", "16384")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        try:
+            sources.write_if_absent(df, str(tmp_path / name), order)
+        finally:
+            spark.conf.unset("parquet.block.size")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        groups = [g for f in (tmp_path / name).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in (m.row_group(i) for i in range(m.num_row_groups))]
+        stats = [(g.column(1).statistics, g.column(2).statistics) for g in groups if g.column(1).statistics.has_min_max]
+        met[name] = sum(box(27.0, 29.0, la.min, la.max) and box(-84.0, -81.0, lo.min, lo.max) for la, lo in stats), len(stats)
+        again = spark.read.parquet(str(tmp_path / name))
+        assert again.count() == 8001
+        assert rows(locality.in_radius(again, 28.0, -82.5, 100)) == rows(locality.in_radius(df, 28.0, -82.5, 100))
+    assert met["plain"][0] == met["plain"][1] >= 8 and met["curve"][0] <= met["curve"][1] // 4
