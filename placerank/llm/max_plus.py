@@ -25,7 +25,7 @@ from .common import cut, fresh, share, shared, stored
 
 CHUNK, FAN, SCALE = 1 << 15, 64, 1 << 16
 #: Bytes and rows of texts that are solved together, words that are solved at once, and the longest of them.
-BATCH, ROWS, WORDS, LONGEST = 1 << 22, 2048, 1 << 14, 64
+BATCH, ROWS, WORDS, LONGEST = 1 << 21, 2048, 1 << 14, 64
 NEVER = -(1 << 60)
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 _SPACE = "▁"
