@@ -144,15 +144,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text_col: str = "text
     (fingerprint as a long), `root` (the group's smallest fingerprint) and `component_id` (the smallest id in the group).
 
     Null and wordless texts have fingerprint 0 and link like any other. Rows with equal ids stay rows of their own. Null ids
-    count for no minimum; a group of nothing else has a null component_id. Ties need no rule."""
+    count for no minimum; a group of nothing else has a null component_id. Ties need no rule. `keep` is stored with the
+    fingerprints, so leave texts out of it."""
     keep = keep or [id_col]
     names = {n: fresh(docs, n) for n in ("fp", "root", "component_id")}
-    rows = with_fingerprints(docs, names["fp"], list(dict.fromkeys([*keep, id_col])), text_col)
-    seen = stored(rows.groupBy(F.col(names["fp"]).alias("fp")).agg(F.min(id_col).alias("first")), "fingerprints")
+    rows = stored(with_fingerprints(docs, names["fp"], list(dict.fromkeys([*keep, id_col])), text_col), "fingerprints")
+    seen = stored(rows.groupBy(F.col(names["fp"]).alias("fp")).agg(F.min(id_col).alias("first")), "distinct")
     linked = groups(seen, radius)
     rooted = seen.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.select("fp", "root").join(first, "root").withColumnsRenamed(names)
+    # A fingerprint that very many rows have is a lookup with one row: adaptive execution may cut its partition.
     return rows.join(by_fp, names["fp"]).select(*keep, *names.values()), names
 
 
@@ -165,6 +167,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that have their group's smallest id, one for each group."""
-    rows, names = near_duplicates(docs, keep=docs.columns)
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col(names["component_id"])))
-    return first.dropDuplicates([names["root"]]).select(*docs.columns)
+    key, root = fresh(docs, "text_key"), fresh(docs, "group_root")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    rows, names = near_duplicates(keyed.select("doc_id", "text", key), keep=["doc_id", key])
+    # Of rows with the smallest id one text is taken, and of equal rows with that text one.
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col(names["component_id"]))).groupBy(F.col(names["root"]).alias(root)).agg(
+        F.min(F.struct("doc_id", key)).alias("row")).select(root, F.col("row.doc_id").alias("own_id"), F.col(f"row.{key}").alias(key))
+    own = fresh(docs, "own_id")
+    kept = keyed.join(first.withColumnRenamed("own_id", own), key).where(F.col("doc_id").eqNullSafe(F.col(own)))
+    return kept.dropDuplicates([root]).select(*docs.columns)
