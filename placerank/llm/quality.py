@@ -170,6 +170,19 @@ def with_scores(measured: DataFrame, forest, names: list[str], score: str) -> Da
     return measured.mapInArrow(_scored(forest, names, score), f"{fields}, `{score}` double")
 
 
+def _first_by_hash(labelled: DataFrame, id_col: str, sample: int) -> list:
+    """The `sample` rows with the smallest hashes. A bound on the hash, from the number of rows, keeps what tasks send to the driver
+    near that number; should it let too few through, all rows are taken in."""
+    h, n = F.xxhash64(id_col, F.lit(11)), labelled.count()
+    bound = min(1.0, 1.2 * sample / max(n, 1) + 1e-3)
+    for part in ([bound] if bound < 1 else []) + [1.0]:
+        few = labelled if part == 1.0 else labelled.where(h < F.lit(int(part * 2.0**64 - 2.0**63)))
+        rows = few.orderBy(h, id_col, *STATISTICS).limit(sample).select(*STATISTICS, "quality").collect()
+        if len(rows) == min(n, sample):
+            return rows
+    return rows
+
+
 @dataclass
 class Verdict:
     """A fitted forest (broadcast; its size depends on TREES and DEPTH only) and the least score that is rejected."""
@@ -188,7 +201,7 @@ def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample:
     spark = measured.sparkSession
     labelled = measured.join(labels.where(F.col("quality").isin(0, 1)).select(id_col, "quality"), id_col)
     labelled = stored(labelled.select(id_col, *STATISTICS, "quality"), "labelled")
-    rows = labelled.orderBy(F.xxhash64(id_col, F.lit(11)), id_col, *STATISTICS).limit(sample).select(*STATISTICS, "quality").collect()
+    rows = _first_by_hash(labelled, id_col, sample)
     x = features(np.array([r[:-1] for r in rows], np.int64).reshape(-1, len(STATISTICS)))
     good = np.array([r["quality"] == 1 for r in rows], bool)
     if not good.any():
@@ -225,7 +238,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null, empty and wordless texts fail the limits. Repeated rows are judged alike. An id with several labels counts once
     for each. Rows without an id are judged too; they only cannot be labelled."""
-    verdict = fit(with_statistics(docs.select("doc_id", "text"), STATISTICS, ["doc_id"]), labels)
+    judged = labels.where(F.col("quality").isin(0, 1)).select("doc_id").distinct()
+    labelled = docs.select("doc_id", "text").join(judged, "doc_id", "left_semi")
+    verdict = fit(with_statistics(labelled, STATISTICS, ["doc_id"]), labels)
     names = {n: fresh(docs, n) for n in [*STATISTICS, "score"]}
     own = [names[n] for n in STATISTICS]
     rows = with_scores(with_statistics(docs, own, docs.columns), verdict.forest, own, names["score"])
