@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, share, shared, stored, texts
 
-WINDOW, SHINGLE, BLOCK_WORDS = 13, 3, 4_000_000
+WINDOW, SHINGLE, BLOCK_WORDS = 13, 3, 200_000
 #: Every ASCII character that is neither digit nor small letter parts words, once A-Z are lower-cased.
 _GAPS = bytes.maketrans(
     bytes(i for i in range(128) if not (48 <= i <= 57 or 97 <= i <= 122)),
@@ -194,14 +194,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     names = {n: fresh(docs, n) for n in ("n_words", "runs", "items")}
     spark = docs.sparkSession
     item = F.col(item_text_col).cast("binary")
-    asked = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), item.alias("text"))
+    asked = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), item.alias("text")).distinct()
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // (4 * block_words)))
     out = docs
     schema = f"{{}}, `{names['n_words']}` long, `{names['runs']}` array<struct<at:long,n:long>>, `{names['items']}` array<string>"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for k in range(n_blocks):
-        rows = asked.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).collect()
+        rows = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).collect()
         windows = Windows(sorted(((r["item"], bytes(r["text"])) for r in rows), key=lambda x: (str(x[0]), x[1])), window)
         rarity = np.zeros(len(windows.codes), np.int64)
         block = share(spark, windows)
