@@ -2,15 +2,16 @@
 
 All steps are DataFrame functions. A rule is a canonical prefix `host || path`; it fits a url whose host is the
 rule's or a subdomain of it and whose path starts with the rule's. For each shape of a rule that occurs (number
-of host labels, length of path) a url has at most one prefix, so its keys are few and row-local. The filter
+of host labels, length of path) a url has at most one prefix, found by a join with the table of shapes. The filter
 is split into blocks of four 64-bit words, and a key sets or tests one bit of each word of one block."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, power_of_two
 
-BLOCKS = 1 << 14
+#: Listed prefixes for each block of 256 bits (a missing one then passes with a chance of about 0.003), and how many blocks are broadcast.
+ROOM, LEAST, SENT = 16, 1 << 10, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = ["w0", "w1", "w2", "w3"]
 
@@ -39,8 +40,8 @@ def _bits(key: Column) -> list[Column]:
             for i in range(len(WORDS))]
 
 
-def bloom_filter(rules: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """The filter of the rules' keys: at most `blocks` rows (block, w0..w3), whatever their number."""
+def bloom_filter(rules: DataFrame, blocks: int) -> DataFrame:
+    """The filter of the rules' keys: at most `blocks` rows (block, w0..w3)."""
     bits = _bits(F.col("rule"))
     return (
         rules.select(_place(F.col("rule"), blocks).alias("block"), *[b.alias(w) for b, w in zip(bits, WORDS)])
@@ -48,15 +49,16 @@ def bloom_filter(rules: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     )
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", blocks: int = BLOCKS,
+def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", blocks: int | None = None,
                 otherwise: str = "allow") -> DataFrame:
     """All columns of `pages` and host, path, rule, verdict; columns of these names are replaced.
 
     `rules` has host, path and verdict (the listed prefixes; rows with a null in host or path are left out, of
     repeated ones the smallest verdict counts). The longest fitting rule gives the verdict, the greater text
     among equally long ones; a url that none fits gets `otherwise`. Null urls and those without a
-    host are kept. An empty list or table is fine. The filter, at most `blocks` rows of 40 bytes, is broadcast; the
-    list itself is joined by hash, as Spark sees fit for its size, after equal urls have been put together."""
+    host are kept. An empty list or table is fine. The filter has a block of 40 bytes for every ROOM listed prefixes (or `blocks`)
+    and is broadcast up to SENT blocks; beyond that, and for the list itself, Spark joins as it sees fit for the size, after equal
+    urls have been put together. Runs a job that counts the list."""
     own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     host, path = canonical(F.col(url_col))
     seen = pages.select(*own, host.alias("host"), path.alias("path"))
@@ -65,25 +67,22 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", blocks
         .groupBy(F.translate("host", UPPER, LOWER).alias("host"), "path").agg(F.min("verdict").alias("verdict"))
         .select(F.concat("host", "path").alias("rule"), "host", "path", "verdict")
     )
-    # Shapes are bounded by the longest host name (127 labels) and the longest listed path.
-    shapes = listed.select(_labels(F.col("host")).alias("n"), F.length("path").alias("m")).distinct().collect()
-    if not shapes:
-        return seen.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
-
-    labels = _labels(F.col("host"))
-    keys = F.array(*[
-        F.when((labels >= s["n"]) & (F.length("path") >= s["m"]),
-               F.concat(F.substring_index("host", ".", -s["n"]), F.substring("path", 1, s["m"])))
-        for s in sorted(shapes)])
+    blocks = blocks or max(LEAST, power_of_two(listed.count() / ROOM))
+    # Shapes, a row for each number of labels (127 at most) with the lengths of path listed for it.
+    shapes = listed.groupBy(_labels(F.col("host")).alias("n")).agg(F.collect_set(F.length("path")).alias("lengths"))
+    urls = seen.select("host", "path").where(F.col("host") != "").distinct().withColumn(
+        "n", F.explode(F.sequence(F.lit(1), _labels(F.col("host")))))
+    fitting = F.filter("lengths", lambda m: m <= F.length("path"))
     probes = (
-        seen.select("host", "path").where(F.col("host") != "").distinct()
-        .select("host", "path", F.explode(F.array_compact(keys)).alias("key"))
+        urls.join(F.broadcast(shapes), "n").select("host", "path", "n", F.explode(fitting).alias("m"))
+        .select("host", "path", F.concat(F.expr("substring_index(host, '.', -n)"), F.expr("substring(path, 1, m)")).alias("key"))
         .withColumn("block", _place(F.col("key"), blocks))
     )
     all_set = F.lit(True)
     for word, bit in zip(WORDS, _bits(F.col("key"))):
         all_set = all_set & (F.col(word).bitwiseAND(bit) != 0)
-    possible = probes.join(F.broadcast(bloom_filter(listed, blocks)), "block").where(all_set)
+    words = bloom_filter(listed, blocks)
+    possible = probes.join(F.broadcast(words) if blocks <= SENT else words, "block").where(all_set)
     hits = possible.select("host", "path", F.col("key").alias("rule")).join(listed.select("rule", "verdict"), "rule")
     best = fresh(seen, "best")
     longest = hits.groupBy("host", "path").agg(
