@@ -18,6 +18,7 @@ import re
 import sys
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,29 @@ _OTHER_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not
 _cut = re.compile(r"(?<!\s) (?!\s)").split
 
 
-def lines_of(text: str) -> list[list[str]]:
+def pieces_of(text: str | None) -> list:
     """Cut a text at each single line feed and each single space between two characters that are no white space (or an
-    end). A text with other white space, or more of it in one place, is one line, cut only at spaces."""
+    end): pieces behind a space stand alone, those behind a line feed begin with it, the first one is in a tuple, and None
+    stands for the end. A text with other white space, or more of it in one place, is cut only at spaces."""
+    if not text:
+        return [None]
     white = [c for c in _OTHER_WHITE if c in text]
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] == "\n" or text[-1] == "\n" or any(
             f" {c}" in text or f"{c} " in text or f"\n{c}" in text or f"{c}\n" in text for c in white):
-        return [_cut(text)]
-    if text[:1] == "\n" or text[-1:] == "\n":
-        return [text.split(" ")]
-    return [line.split(" ") for line in text.split("\n")]
+        pieces = _cut(text)
+    else:
+        pieces = text.replace("\n", " \n").split(" ")
+    pieces[0] = (pieces[0],)
+    pieces.append(None)
+    return pieces
+
+
+class _Numbers(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece) -> int:
+        self[piece] = out = len(self)
+        return out
 
 
 class PieceEncoder:
@@ -56,9 +70,9 @@ class PieceEncoder:
 
     A single space between two characters that are no white space always begins a new pre-token of the byte-level split, and a
     single line feed there is one by itself, so a text may be cut at each and the pieces encoded alone. Only that
-    makes remembering possible; all ids come from the library. New pieces without white space are encoded many at a time,
-    joined by spaces or (those at the beginning of a line) by line feeds, and parted again at the tokens that stand for these.
-    At most CACHED_PIECES and what one batch brings are kept."""
+    makes remembering possible; all ids come from the library. New pieces without further white space are encoded many at a time
+    and parted again at the tokens that they begin with. The distinct pieces of a batch are looked up once; at most
+    CACHED_PIECES and what one batch brings are kept."""
 
     def __init__(self, tokenizer_file: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,48 +87,67 @@ class PieceEncoder:
         feed = self._encode("a\na")[1:-1]
         self.feed, self.fed = feed.tobytes(), np.zeros(len(self.spaced), bool)
         self.fed[feed] = len(feed) == 1
-        self.first, self.later = {}, {}
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str, joint: str, begins: np.ndarray) -> None:
-        """Puts what new pieces give into `known`: each behind `before`, many of them joined by `joint`, where a token of
-        `begins` stands in front of each but the first, or is part of it."""
-        plain = [p for p in pieces if p.split() == [p]]
-        known.update((p, self._encode(before + p).tobytes() if p or before else b"") for p in pieces.difference(plain))
-        size, skip = self.dtype.itemsize, not before
-        for lo in range(0, len(plain), JOINED):
-            some = plain[lo:lo + JOINED]
-            ids = self._encode(before + joint.join(some))
-            at = np.flatnonzero(begins[ids])
-            # Joined by spaces, each piece begins with its token; joined by line feeds, the token stands between.
-            starts, ends = (np.append(0, at + 1), np.append(at, len(ids))) if skip else (at, np.append(at[1:], len(ids)))
-            if len(starts) != len(some) or not skip and at[:1].tolist() != [0]:
-                known.update((p, self._encode(before + p).tobytes()) for p in some)
+    def _learn(self, pieces: list[str], begins: np.ndarray) -> None:
+        """Puts what new pieces give into `known`; each begins with a token of `begins`, and has none behind."""
+        size, known = self.dtype.itemsize, self.known
+        for lo in range(0, len(pieces), JOINED):
+            some = pieces[lo:lo + JOINED]
+            ids = self._encode("".join(some))
+            at = np.flatnonzero(begins[ids]).tolist()
+            if len(at) != len(some) or at[0]:
+                known.update((p[p[0] == " ":], self._encode(p).tobytes()) for p in some)
                 continue
             flat = ids.tobytes()
-            known.update((p, flat[a * size:b * size]) for p, a, b in zip(some, starts.tolist(), ends.tolist()))
+            known.update((p[p[0] == " ":], flat[a * size:b * size]) for p, a, b in zip(some, at, [*at[1:], len(ids)]))
 
-    def _know(self, known: dict[str, bytes], pieces: set[str], *how) -> None:
+    def _look_up(self, pieces: list) -> list[bytes]:
+        """What each distinct piece of a batch gives."""
+        known, texts = self.known, [p for p in pieces if p.__class__ is str]
+        heads = {h: f"\n{h}" for h, in (p for p in pieces if p.__class__ is tuple) if h.split() == [h]}
         if len(known) > CACHED_PIECES:
             known.clear()
-        self._learn(known, pieces.difference(known), *how)
+        new = {*texts, *heads.values()}.difference(known)
+        fed = [p for p in new if p[:1] == "\n" and p[1:].split() == [p[1:]]]
+        spaced = [f" {p}" for p in new if p.split() == [p] and p[:1] != "\n"]
+        self._learn(fed, self.fed)
+        self._learn(spaced, self.spaced)
+        if len(fed) + len(spaced) < len(new):
+            known.update((p, self._encode(f" {p}").tobytes()) for p in new if p not in known)
+        skip, out = len(self.feed), []
+        for p in pieces:
+            if p.__class__ is str:
+                out.append(known[p])
+            elif p is None:
+                out.append(self.end)
+            else:
+                out.append(known[heads[p[0]]][skip:] if p[0] in heads else self._encode(p[0]).tobytes() if p[0] else b"")
+        for p in new:
+            if len(p) > CACHED_PIECE:
+                del known[p]
+        return out
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none), one after the other, each with the end id, and how many each has."""
+        number, cut_texts = _Numbers(), [pieces_of(t) for t in texts]
+        index = np.fromiter(map(number.__getitem__, chain.from_iterable(cut_texts)), np.int64)
+        found = self._look_up(list(number))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        begin, many = np.cumsum(sizes) - sizes, sizes[index]
+        through = np.cumsum(many)
+        place = np.repeat(begin[index] - through + many, many) + np.arange(int(through[-1]) if len(through) else 0)
+        ends = np.cumsum([len(c) for c in cut_texts]) - 1
+        return np.frombuffer(b"".join(found), self.dtype)[place], np.diff(through[ends], prepend=0) if len(ends) else np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids (null: none) and the end id, as bytes."""
-        cut_texts = [lines_of(t) if t else [] for t in texts]
-        first = {line[0] for lines in cut_texts for line in lines}
-        later = set().union(*[line[1:] for lines in cut_texts for line in lines])
-        self._know(self.first, first, "", "\n", self.fed)
-        self._know(self.later, later, " ", " ", self.spaced)
-        head, look = self.first, self.later.__getitem__
-        out = [self.feed.join([head[line[0]] + b"".join(map(look, line[1:])) for line in lines]) + self.end for lines in cut_texts]
-        for known, used in ((self.first, first), (self.later, later)):
-            for p in used:
-                if len(p) > CACHED_PIECE:
-                    del known[p]
-        return out
+        ids, counts = self.encode(texts)
+        ends = np.cumsum(counts).tolist()
+        return [ids[b - n:b].tobytes() for n, b in zip(counts.tolist(), ends)]
 
 
 def _encoder(tokenizer_file: str, end_id: int) -> PieceEncoder:
@@ -135,28 +168,29 @@ def _write(path: str, id_col: str, text_col: str, tokenizer_file: str, end_id: i
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder, own = _encoder(tokenizer_file, end_id), f"_{part:05d}-{uuid.uuid4().hex}"
+                encoder, name = _encoder(tokenizer_file, end_id), f"_{part:05d}-{uuid.uuid4().hex}"
                 store, root = fs.FileSystem.from_uri(path)
                 store.create_dir(root)
-                ids_file = store.open_output_stream(f"{root}/{own}.bin")
-                offsets, doc_ids, n_null, n = [0], [], 0, 0
+                ids_file = store.open_output_stream(f"{root}/{name}.bin")
+                offsets, doc_ids, n_null, n = [np.zeros(1, np.int64)], [], 0, 0
             for some in cut([batch], text_col, BATCH, ROWS):
-                for doc_id, ids in zip(some.column(id_col).to_pylist(), encoder(some.column(text_col).to_pylist())):
-                    ids_file.write(ids)
-                    n += len(ids) // encoder.dtype.itemsize
-                    offsets.append(n)
-                    doc_ids.append(doc_id or 0)
-                    n_null += doc_id is None
+                ids, counts = encoder.encode(some.column(text_col).to_pylist())
+                ids_file.write(ids.tobytes())
+                offsets.append(n + np.cumsum(counts))
+                n += len(ids)
+                own = some.column(id_col)
+                doc_ids.append(own.fill_null(0).to_numpy())
+                n_null += own.null_count
         if encoder is None:
             return
         ids_file.close()
         for suffix, values, kind in (("idx", offsets, "<u8"), ("doc", doc_ids, "<i8")):
-            with store.open_output_stream(f"{root}/{own}.{suffix}") as out:
-                out.write(np.array(values, kind).tobytes())
+            with store.open_output_stream(f"{root}/{name}.{suffix}") as out:
+                out.write(np.concatenate(values).astype(kind).tobytes())
         for suffix in ("bin", "idx", "doc"):
-            store.move(f"{root}/{own}.{suffix}", f"{root}/part-{part:05d}.{suffix}")
+            store.move(f"{root}/{name}.{suffix}", f"{root}/part-{part:05d}.{suffix}")
         yield pa.RecordBatch.from_pylist(
-            [{"part": part, "n_docs": len(doc_ids), "n_null": n_null, "n_tokens": n}],
+            [{"part": part, "n_docs": sum(map(len, doc_ids)), "n_null": n_null, "n_tokens": n}],
             pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_tokens", pa.int64())]))
 
     return write
