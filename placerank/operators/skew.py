@@ -33,10 +33,17 @@ def hot_keys(big_counts: DataFrame, small_counts: DataFrame, keys: Sequence[str]
     return hot.withColumn(_BIG, big_parts.cast("bigint")).drop("_b", "_s")
 
 
-def _no_key_is_hot(big_counts: DataFrame, small_counts: DataFrame, per_task: int) -> bool:
-    """Whether the largest keys of both sides, even if they were the same one, stay under the limit."""
-    most = [c.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] for c in (big_counts, small_counts)]
-    return most[0] * most[1] <= per_task
+def _largest_block(sides: Sequence[tuple[DataFrame, DataFrame | None]], keys: Sequence[str]) -> float:
+    """The most pairs that any key has, from the rows of both sides or counts that are known; one shuffle of combined
+    counts by the keys' hash, so a collision can only make it greater."""
+    parts = []
+    for i, (rows, counts) in enumerate(sides):
+        known = counts if counts is not None else rows.withColumn("n", F.lit(1).cast("bigint"))
+        not_null = reduce(and_, [F.col(k).isNotNull() for k in keys])
+        own = [F.col("n").cast("double") if i == j else F.lit(0.0) for j in (0, 1)]
+        parts.append(known.filter(not_null).select(F.xxhash64(*keys).alias("k"), own[0].alias("b"), own[1].alias("s")))
+    both = parts[0].unionByName(parts[1]).groupBy("k").agg((F.sum("b") * F.sum("s")).alias("pairs"))
+    return both.agg(F.coalesce(F.max("pairs"), F.lit(0.0))).first()[0]
 
 
 def _own_part(spread_by: Sequence[str], parts: str) -> Column:
@@ -62,15 +69,13 @@ def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by
         return big.join(small, keys, how)
     if how != "inner":
         raise ValueError("only inner joins can repeat the big side")
-    counts = (big_counts if big_counts is not None else key_counts(big, keys),
-              small_counts if small_counts is not None else key_counts(small, keys))
     per_task = per_task or PAIRS_PER_TASK
-    if _no_key_is_hot(*counts, per_task):
+    if _largest_block(((big, big_counts), (small, small_counts)), keys) <= per_task:
         return big.join(small, keys)
+    counts = (big_counts if big_counts is not None else key_counts(big, keys),
+              small_counts if small_counts is not None else key_counts(small, keys))
     # A stored table, so that both sides agree on it also when tasks run again.
     hot = materialize(hot_keys(*counts, keys, per_task), "hot")
-    if hot.isEmpty():
-        return big.join(small, keys)
     left = big.join(hot, keys, "left").withColumn("_i", _own_part(spread_by, _BIG)).withColumn("_j", _every_part(_SMALL))
     right = small.join(hot, keys, "left").withColumn("_i", _every_part(_BIG)).withColumn("_j", _own_part(spread_small_by, _SMALL))
     return left.drop(_BIG, _SMALL).join(right.drop(_BIG, _SMALL), keys + ["_i", "_j"]).drop("_i", "_j")
