@@ -238,9 +238,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null, empty and wordless texts fail the limits. Repeated rows are judged alike. An id with several labels counts once
     for each. Rows without an id are judged too; they only cannot be labelled."""
-    judged = labels.where(F.col("quality").isin(0, 1)).select("doc_id").distinct()
-    labelled = docs.select("doc_id", "text").join(judged, "doc_id", "left_semi")
-    verdict = fit(with_statistics(labelled, STATISTICS, ["doc_id"]), labels)
+    # All texts are measured for the fit too: joining the labels first would send the texts through a shuffle.
+    verdict = fit(with_statistics(docs.select("doc_id", "text"), STATISTICS, ["doc_id"]), labels)
     names = {n: fresh(docs, n) for n in [*STATISTICS, "score"]}
     own = [names[n] for n in STATISTICS]
     rows = with_scores(with_statistics(docs, own, docs.columns), verdict.forest, own, names["score"])
