@@ -1288,15 +1288,19 @@ def vector_correlation(spark, sf):
     return profile.vector_correlation(wide, _CORRELATED).withColumn("correlation", F.round("correlation", 6))
 
 
-def _padded(c):
-    return f"CASE WHEN length({c}) < 24 THEN rpad({c}, 24, ' ') ELSE {c} END"
+_ANSWER_COLUMNS = ["name", "address", "city", "stars", "review_count", "categories"]
+_ANSWER_TEXT = {
+    **_SINGLE,
+    "answer": """SELECT b.name, b.address, b.city, CAST(CAST(b.stars AS DOUBLE) AS VARCHAR) AS stars, CAST(b.review_count AS VARCHAR) AS review_count,
+        '[' || array_to_string(b.categories, ', ') || ']' AS categories FROM business b JOIN top t ON t.business_id = b.business_id WHERE t.rank <= 10""",
+    "answer_widths": "SELECT " + ", ".join(f"greatest(max(length({c})), {len(c)})::int AS {c}_w" for c in _ANSWER_COLUMNS) + " FROM answer",
+}
 
 
-@query("SELECT rtrim(" + " || ' ' || ".join(_padded(c) for c in [
-    "b.name", "b.address", "b.city", "CAST(CAST(b.stars AS DOUBLE) AS VARCHAR)", "CAST(b.review_count AS VARCHAR)",
-    "array_to_string(b.categories, ', ')"]) + ") AS line FROM business b JOIN top t ON t.business_id = b.business_id WHERE t.rank <= 10", **_SINGLE)
+@query("SELECT " + " || ' ' || ".join(f"lpad({c}, {c}_w, ' ')" for c in _ANSWER_COLUMNS) + " AS line FROM answer JOIN answer_widths ON true UNION ALL SELECT "
+       + " || ' ' || ".join(f"lpad('{c}', {c}_w, ' ')" for c in _ANSWER_COLUMNS) + " FROM answer_widths", **_ANSWER_TEXT)
 def recommend_text(spark, sf):
-    """A recommendation saved as text lines."""
+    """A recommendation saved as text lines: a header, and columns as wide as their values."""
     found = recommend(_stored(fx.business(spark, sf), "business"), fx.review(spark, sf), _single_query(), n=10, detail=True)
     path = sources.shared_path(spark, "recommendation")
     single.save_recommendation(found.withColumn("stars", F.col("stars").cast("double")), path)
