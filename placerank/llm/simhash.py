@@ -175,4 +175,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", key)).alias("row")).select(root, F.col("row.doc_id").alias("own_id"), F.col(f"row.{key}").alias(key))
     own = fresh(docs, "own_id")
     kept = keyed.join(first.withColumnRenamed("own_id", own), key).where(F.col("doc_id").eqNullSafe(F.col(own)))
-    return kept.dropDuplicates([root]).select(*docs.columns)
+    # Only equal rows are repeated here; by the key of the join they need no further shuffle.
+    return kept.dropDuplicates([key, "doc_id"]).select(*docs.columns)
