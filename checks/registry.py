@@ -7,7 +7,7 @@ from placerank import config, schemas, sources
 from placerank.config import (
     AMBIENCES, ATTRIBUTE_NAMES, COMPLIMENTS, DAYS, ORDINALS, RAW_ATTRIBUTES, TRISTATES,
 )
-from placerank.functions import attributes, geo, hours, text, vectors
+from placerank.functions import attributes, hours, text, vectors
 from placerank.operators import (
     columns, expansion, locality, preference, profile, queries as requests, ranking, reviews as edits,
     trips, word2vec,

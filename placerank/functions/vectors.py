@@ -2,7 +2,7 @@
 
 Vectors travel as arrays and are worked on through unrolled element access, so the arithmetic stays
 plain generated code. Sums that decide a ranking are kept exact: terms are put on a fixed grid of
-1e-12 and added as decimals, so the result does not depend on the order in which rows arrive."""
+1e-12 and added as pairs of longs, so the result does not depend on the order in which rows arrive."""
 
 from functools import reduce
 from operator import add
