@@ -25,7 +25,7 @@ from .common import cut, fresh, share, shared, stored
 
 CHUNK, FAN, SCALE = 1 << 15, 64, 1 << 16
 #: Bytes and rows of texts that are solved together, words that are solved at once, and the longest of them.
-BATCH, ROWS, WORDS, LONGEST = 1 << 21, 2048, 1 << 14, 64
+BATCH, ROWS, WORDS, LONGEST = 1 << 20, 2048, 1 << 13, 64
 NEVER = -(1 << 60)
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
 _SPACE = "▁"
@@ -518,11 +518,16 @@ def _trace(block):
     return run
 
 
-def _whole(group: pa.Table) -> pa.Table:
-    """The chunks of one text, in order."""
-    rows = sorted(group.to_pylist(), key=lambda r: r["nth"])
-    return pa.table({"key": [rows[0]["key"]], "ids": pa.array([b"".join(r["ids"] for r in rows)], pa.binary()),
-                     "score": [sum(r["score"] for r in rows)]})
+def _whole(block, check: bool):
+    """The chunks of one text, in order, and with `check` what its ids stand for."""
+
+    def join(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["nth"])
+        ids = b"".join(r["ids"] for r in rows)
+        out = {"key": [rows[0]["key"]], "ids": pa.array([ids], pa.binary()), "score": [sum(r["score"] for r in rows)]}
+        return pa.table(out | ({"decoded": [shared(block).decode(ids)]} if check else {}))
+
+    return join
 
 
 def _decoded(block, ids_col: str, out_col: str):
@@ -560,9 +565,8 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", chunk: int
     states = boundary_states(matrices)
     traced = chunks.join(states, ["key", "nth"]).select("key", "nth", "size", "text", "enter", "leave").mapInArrow(
         _trace(block), "key string, nth long, ids binary, score long")
-    whole = traced.groupBy("key").applyInArrow(lambda t: _whole(t), "key string, ids binary, score long")
-    if check:
-        whole = decode(whole, model_file, "ids", "decoded")
+    whole = traced.groupBy("key").applyInArrow(
+        _whole(block, check), "key string, ids binary, score long" + ", decoded string" * check)
     whole = whole.select(F.col("key").alias(key), *[F.col(n).alias(own) for n, own in names.items()])
     return short.unionByName(giants.join(whole, key).drop(key)), names
 

@@ -242,5 +242,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     verdict = fit(with_statistics(docs.select("doc_id", "text"), STATISTICS, ["doc_id"]), labels)
     names = {n: fresh(docs, n) for n in [*STATISTICS, "score"]}
     own = [names[n] for n in STATISTICS]
-    rows = with_scores(with_statistics(docs, own, docs.columns), verdict.forest, own, names["score"])
+    # Measured and scored by one worker in one pass.
+    measure, score = _measure("text", docs.columns, own), _scored(verdict.forest, own, names["score"])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{n}` long" for n in own] + [f"`{names['score']}` double"]
+    rows = docs.mapInArrow(lambda batches: score(measure(batches)), ", ".join(fields))
     return rows.where(~base_failed(names) & (F.col(names["score"]) < verdict.cut_off)).select(*docs.columns)
