@@ -76,7 +76,7 @@ def rated_in_pools(asked: DataFrame, rated: DataFrame, per_task: int | None = No
 
 
 def pools(resolved: DataFrame, packed: DataFrame, per_task: int | None = None) -> DataFrame:
-    """One row per pool: terms, means of its categories everywhere, and its places."""
+    """One row per pool: terms, locality, and means of its categories everywhere."""
     columns = ["terms", "pool_key", *_LOCALITY]
     pool = resolved.groupBy("pool_id").agg(*[F.min_by(c, "query_id").alias(c) for c in columns])
     means = preference.pool_means(packed, pool, per_task)
