@@ -42,6 +42,16 @@ def test_spread_join_splits_any_number_of_hot_keys(spark):
     assert total(pairs) == total(plain) and total(plain)[0] == 3000 * 36
 
 
+@pytest.mark.parametrize("rows_, groups, per_task", [(1500, 30, 20000), (300, 2, 4000)])
+def test_spread_join_deals_out_pairs_of_few_bytes(spark, rows_, groups, per_task):
+    """Adaptive execution would put rows of a few kilobytes into one task, with all their pairs."""
+    b = spark.range(rows_).selectExpr("id as i", f"id % {groups} as key")
+    m = spark.range(rows_).selectExpr("id as j", f"id % {groups} as key")
+    pairs = spread_join(b, m, ["key"], ["i"], ["j"], per_task=per_task)
+    held = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert sum(held) == rows_ * rows_ // groups and max(held) <= sum(held) / 5
+
+
 def brute_bins(values):
     bins = pd.qcut(pd.Series(values), max(int(math.sqrt(len(values))), 1), duplicates="drop", labels=False)
     return bins.fillna(0).astype(int).tolist()
