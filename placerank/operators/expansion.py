@@ -66,20 +66,24 @@ def suggest_for_requests(vocabulary: DataFrame, requests: DataFrame, limit: int
 
 def document_vectors(documents: DataFrame, key: str, words: str, vectors: DataFrame) -> DataFrame:
     """(key, vector) for each key: the sum of the known words' vectors over the number of all words, and
-    zeros for a document without a known word, an empty or a NULL one. Words repeat and are counted first;
-    the sum runs per dimension."""
+    zeros for a document without a known word, an empty or a NULL one. A document is one row of sums from the
+    lookup of its words on, not a row for each dimension."""
     size = F.greatest(F.size(F.coalesce(words, F.array().cast("array<string>"))), F.lit(0))
-    tokens = documents.select(key, size.alias("_size"), F.explode(words).alias("word"))
-    counts = tokens.groupBy(key, "_size", "word").agg(F.count("*").alias("_n"))
-    parts = counts.join(vectors, "word").select(key, "_size", "_n", F.posexplode("vector").alias("_dim", "_x"))
-    dims = parts.groupBy(key, "_size", "_dim").agg(F.sum(F.col("_n") * F.col("_x").cast("double")).alias("_sum"))
-    listed = dims.groupBy(key).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("_dim", (F.col("_sum") / F.col("_size")).alias("x")))),
-        lambda d: d["x"]).alias("vector"))
-    width = vectors.agg(F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("n")).scalar()
+    known = materialize(vectors.select("word", "vector").filter(F.size("vector") > 0), "word-vectors")
+    width = known.agg(F.max(F.size("vector"))).first()[0] or 0
     zeros = F.array_repeat(F.lit(0.0), width)
-    return documents.select(key).distinct().join(listed, key, "left").select(
-        key, F.coalesce("vector", zeros).alias("vector"))
+    if not width:
+        return documents.select(key).distinct().withColumn("vector", zeros)
+    tokens = documents.select(key, size.alias("_size"), F.explode_outer(words).alias("word")).join(known, "word", "left")
+    sums = [F.sum(F.get("vector", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(width)]
+    summed = tokens.groupBy(key, "_size").agg(F.max(F.when(F.col("vector").isNotNull(), F.size("vector"))).alias("_dims"), *sums)
+    dims = F.transform(F.slice(F.array(*[f"_s{i}" for i in range(width)]), F.lit(1), F.coalesce("_dims", F.lit(0))),
+                       lambda x: x / F.greatest("_size", F.lit(1)))
+    placed = F.transform("_rows", lambda row: F.transform(row, lambda x, i: F.struct(i.alias("_dim"), x.alias("x"))))
+    listed = summed.select(key, dims.alias("_own")).groupBy(key).agg(F.collect_list("_own").alias("_rows")).select(
+        key, F.sort_array(F.flatten(placed)).alias("_all"))
+    found = F.col(key).isNotNull() & (F.size("_all") > 0)
+    return listed.select(key, F.when(found, F.transform("_all", lambda d: d["x"])).otherwise(zeros).alias("vector"))
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:

@@ -167,6 +167,37 @@ def test_document_vectors_keep_zeros(spark):
     assert found == {"a": [2.0, 1.0], "b": [0.0, 0.0], "c": [0.0, 0.0], "d": [0.0, 0.0]}
 
 
+def test_document_vectors_shuffle_a_row_for_each_document(spark):
+    """Rows between the lookup and the result do not grow with the dimensions."""
+    docs = spark.range(300).selectExpr("concat('d', id) as key", "array('x', 'y', concat('u', id % 3)) as words")
+    known = spark.createDataFrame([("x", [float(i) for i in range(40)]), ("y", [0.5] * 40)], "word string, vector array<double>")
+    found = expansion.document_vectors(docs, "key", "words", known)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+    assert found.filter("vector[3] = 3.5D / 3 and size(vector) = 40").count() == 300
+    odd = spark.createDataFrame([("a", ["x"]), ("a", ["x"]), (None, ["x"])], "key string, words array<string>")
+    short = spark.createDataFrame([("x", [1.0]), ("z", [1.0, 2.0])], "word string, vector array<double>")
+    assert {r.key: r.vector for r in expansion.document_vectors(odd, "key", "words", short).collect()} == {"a": [2.0], None: [0.0, 0.0]}
+
+
+def test_nearest_words_of_a_block_with_ties_and_small_k():
+    """Many terms of one block at once: ties by word, a term's own word left out, k up to all words."""
+    rnd = np.random.default_rng(3)
+    grid = rnd.integers(-1, 2, (60, 3)).astype(float)
+    names = [f"w{(7 * i) % 60:02d}" for i in range(60)]
+    words = pd.DataFrame({"word": names, "vector": list(grid)})
+    terms = pd.DataFrame({"term": [*names[:20], "other"], "term_vector": [*grid[:20], grid[0]], "k": [1, 3, 59, 70, 2] * 4 + [60]})
+    found = expansion._block_neighbours(terms, words)
+    lengths = np.linalg.norm(grid, axis=1)
+    units = np.divide(grid, lengths[:, None], out=np.zeros_like(grid), where=lengths[:, None] > 0)
+    expected = []
+    for term, vector, k in zip(terms["term"], units[[*range(20), 0]], terms["k"]):
+        near = sorted((-round(float(c), 9), w) for w, c in zip(names, units @ vector) if w != term)[:k]
+        expected += [(term, w, -c, k) for c, w in near]
+    assert [(t, w, k) for t, w, _, k in found.itertuples(index=False)] == [(t, w, k) for t, w, _, k in expected]
+    assert np.allclose(found["cosine"], [c for _, _, c, _ in expected], atol=2e-9)
+
+
 def test_scope_zero_starts_no_search(spark):
     words = spark.createDataFrame([("x", [1.0])], "word string, vector array<double>")
     terms = spark.createDataFrame([(1, "x", 0), (2, "y", 0)], "query_id int, term string, scope int")
