@@ -11,7 +11,7 @@ from ..sources.shared import materialize
 
 PAIRS_PER_TASK = 20_000_000
 # Small inputs with many pairs get a partition for each share of the work limit, however few bytes they are.
-SHARES, MOST_PARTITIONS = 20, 8192
+SHARES, MOST_PARTITIONS, FEW_PAIRS = 20, 8192, 8
 ROWS_PER_TASK = 2_000_000
 
 _BIG, _SMALL = "_big_part", "_small_part"
@@ -35,8 +35,8 @@ def hot_keys(big_counts: DataFrame, small_counts: DataFrame, keys: Sequence[str]
     return hot.withColumn(_BIG, big_parts.cast("bigint")).drop("_b", "_s")
 
 
-def _pairs(sides: Sequence[tuple[DataFrame, DataFrame | None]], keys: Sequence[str]) -> tuple[float, float]:
-    """(most pairs that any key has, pairs in all), from the rows of both sides or counts that are known; one shuffle of
+def _pairs(sides: Sequence[tuple[DataFrame, DataFrame | None]], keys: Sequence[str]) -> tuple[float, float, float]:
+    """(most pairs that any key has, pairs in all, rows of the first side), from the rows of both sides or counts that are known; one shuffle of
     combined counts by the keys' hash, so a collision can only make them greater."""
     parts = []
     for i, (rows, counts) in enumerate(sides):
@@ -44,8 +44,8 @@ def _pairs(sides: Sequence[tuple[DataFrame, DataFrame | None]], keys: Sequence[s
         not_null = reduce(and_, [F.col(k).isNotNull() for k in keys])
         own = [F.col("n").cast("double") if i == j else F.lit(0.0) for j in (0, 1)]
         parts.append(known.filter(not_null).select(F.xxhash64(*keys).alias("k"), own[0].alias("b"), own[1].alias("s")))
-    both = parts[0].unionByName(parts[1]).groupBy("k").agg((F.sum("b") * F.sum("s")).alias("pairs"))
-    return tuple(both.agg(*[F.coalesce(f("pairs"), F.lit(0.0)) for f in (F.max, F.sum)]).first())
+    both = parts[0].unionByName(parts[1]).groupBy("k").agg((F.sum("b") * F.sum("s")).alias("pairs"), F.sum("b").alias("b"))
+    return tuple(both.agg(*[F.coalesce(a, F.lit(0.0)) for a in (F.max("pairs"), F.sum("pairs"), F.sum("b"))]).first())
 
 
 def _own_part(spread_by: Sequence[str], parts: str) -> Column:
@@ -73,8 +73,9 @@ def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by
     if how != "inner":
         raise ValueError("only inner joins can repeat the big side")
     per_task = per_task or PAIRS_PER_TASK
-    most, pairs = _pairs(((big, big_counts), (small, small_counts)), keys)
-    parts = min(int(pairs * SHARES / per_task) + 1, MOST_PARTITIONS)
+    most, pairs, rows = _pairs(((big, big_counts), (small, small_counts)), keys)
+    # Where pairs are hardly more than rows, bytes say enough about the work.
+    parts = min(int(pairs * SHARES / per_task) + 1, MOST_PARTITIONS) if pairs > FEW_PAIRS * rows else 1
 
     def dealt(df: DataFrame, by: list[str]) -> DataFrame:
         return df.repartition(parts, *by) if parts > 1 else df

@@ -68,11 +68,10 @@ def variants(resolved: DataFrame, keys: list[str] = _VARIANT) -> DataFrame:
 def rated_in_pools(asked: DataFrame, rated: DataFrame, per_task: int | None = None) -> DataFrame:
     """(user_id, pool_key, business_id, user_stars, attrs): each user's rated businesses that share a
     term with one of the user's pools, wherever they are and whether or not they are open."""
-    wanted = asked.select("user_id", "pool_key", "terms").distinct().withColumn("term", F.explode("terms"))
-    history = rated.withColumn("term", F.explode(F.array_distinct("categories")))
-    return spread_join(history, wanted, ["user_id", "term"], ["business_id"], ["pool_key"], per_task=per_task).filter(
-        is_first_match(F.col("categories"), F.col("terms"), F.col("term"))
-    ).select("user_id", "pool_key", "business_id", "user_stars", "attrs")
+    wanted = asked.select("user_id", "pool_key", "terms").distinct()
+    # By user alone, and the terms tested in the pairs: a rating is one row of the shuffle, however many categories it has.
+    return spread_join(rated, wanted, ["user_id"], ["business_id"], ["pool_key"], per_task=per_task).filter(
+        F.arrays_overlap("categories", "terms")).select("user_id", "pool_key", "business_id", "user_stars", "attrs")
 
 
 def pools(resolved: DataFrame, packed: DataFrame, per_task: int | None = None) -> DataFrame:

@@ -169,3 +169,15 @@ def test_review_book_equals_whole_table_edits(spark, tmp_path):
     assert book.store.vacuum(1) and book.store.vacuum(1) == []
     same()
     assert latest.count() > 0
+
+
+
+def test_rated_in_pools_keeps_a_rating_one_row(spark):
+    """Ratings are not multiplied by their categories before the join; each pair comes once."""
+    asked = spark.createDataFrame([("u", "p", ["a", "b"]), ("u", "q", ["c"]), ("v", "p", ["a", "b"]), (None, "p", ["a"])], "user_id string, pool_key string, terms array<string>")
+    rated = spark.createDataFrame(
+        [("u", "1", ["a", "b", "a"], 4.0, [1]), ("u", "2", ["z", None], 3.0, [2]), ("u", "3", None, 1.0, [3]), ("v", "1", ["b", "c"], 2.0, [1]), (None, "1", ["a"], 2.0, [1])],
+        "user_id string, business_id string, categories array<string>, user_stars double, attrs array<tinyint>")
+    found = batch.rated_in_pools(asked, rated)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.user_id, r.pool_key, r.business_id, r.user_stars) for r in found.collect()) == [("u", "p", "1", 4.0), ("v", "p", "1", 2.0)]
