@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_path
+from .shared import materialize
 
 
 def write_if_absent(df: DataFrame, path: str, cluster_by: Sequence[str | Column] = (), partition_by: Sequence[str] = ()) -> None:
@@ -66,10 +66,9 @@ def sample_dump(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] |
 
 def rewrite_json(df: DataFrame, path: str) -> None:
     """Replace a JSON-lines table that `df` may itself be derived from: the new rows are complete in
-    a staged copy before the old ones are overwritten, so a crash never leaves neither."""
-    staged = shared_path(df.sparkSession, "staged-json")
-    df.write.json(staged)
-    df.sparkSession.read.schema(df.schema).json(staged).write.mode("overwrite").json(path)
+    a staged copy before the old ones are overwritten, so a crash never leaves neither. The copy is Parquet, a fraction of the
+    bytes of JSON text."""
+    materialize(df, "staged-json").write.mode("overwrite").json(path)
 
 
 def preview(df: DataFrame, rows: int = 5, truncate: bool = True) -> None:
