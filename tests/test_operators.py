@@ -180,14 +180,18 @@ def test_document_vectors_shuffle_a_row_for_each_document(spark):
     assert {r.key: r.vector for r in expansion.document_vectors(odd, "key", "words", short).collect()} == {"a": [2.0], None: [0.0, 0.0]}
 
 
-def test_nearest_words_of_a_block_with_ties_and_small_k():
-    """Many terms of one block at once: ties by word, a term's own word left out, k up to all words."""
+def test_nearest_words_of_a_block_with_ties_and_small_k(monkeypatch):
+    """Many terms of one block at once: ties by word, a term's own word left out, k up to all words; one frame for all."""
     rnd = np.random.default_rng(3)
     grid = rnd.integers(-1, 2, (60, 3)).astype(float)
     names = [f"w{(7 * i) % 60:02d}" for i in range(60)]
     words = pd.DataFrame({"word": names, "vector": list(grid)})
     terms = pd.DataFrame({"term": [*names[:20], "other"], "term_vector": [*grid[:20], grid[0]], "k": [1, 3, 59, 70, 2] * 4 + [60]})
+    made, frame = [], pd.DataFrame
+    monkeypatch.setattr(expansion.pd, "DataFrame", lambda *a, **k: made.append(1) or frame(*a, **k))
     found = expansion._block_neighbours(terms, words)
+    monkeypatch.undo()
+    assert len(made) == 1
     lengths = np.linalg.norm(grid, axis=1)
     units = np.divide(grid, lengths[:, None], out=np.zeros_like(grid), where=lengths[:, None] > 0)
     expected = []
@@ -198,6 +202,37 @@ def test_nearest_words_of_a_block_with_ties_and_small_k():
     assert np.allclose(found["cosine"], [c for _, _, c, _ in expected], atol=2e-9)
 
 
+def test_base_key_collisions_deals_customers_out(spark, tmp_path, monkeypatch):
+    """A file of few bytes becomes several tasks before its rows grow; ids may repeat or be null."""
+    from checks import registry
+
+    monkeypatch.setattr(registry, "CUSTOMERS_PER_TASK", 10)
+    ids = [(i,) for i in range(35)] + [(3,), (None,)]
+    spark.createDataFrame(ids, "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = registry.QUERIES["base_key_collisions"](spark, str(tmp_path))
+    assert "hashpartitioning(c_custkey" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
+    assert sorted(((r.c_custkey, r["keys"]) for r in found.collect()), key=str) == sorted([*((i, 6) for i in range(35)), (None, 6)], key=str)
+
+
+def test_rewrite_json_stages_a_compact_copy(spark, tmp_path):
+    from placerank import sources
+
+    path = f"{tmp_path}/rows"
+    df = spark.range(3000).selectExpr("id", "repeat('long text ', 20) as text", "cast(null as string) as gap")
+    df.write.json(path)
+    with sources.temporary_tables(spark):
+        staged = []
+        real = sources.shared.shared_path
+        sources.shared.shared_path = lambda *a: staged.append(real(*a)) or staged[-1]
+        try:
+            sources.rewrite_json(spark.read.schema(df.schema).json(path).withColumn("id", F.col("id") + 1), path)
+        finally:
+            sources.shared.shared_path = real
+        bytes_of = lambda d: sum(os.path.getsize(f"{d}/{f}") for f in os.listdir(d))
+        assert len(staged) == 1 and bytes_of(staged[0]) * 5 < bytes_of(path)
+    assert spark.read.schema(df.schema).json(path).agg(F.sum("id"), F.count("text"), F.count("gap")).first()[:] == (3000 * 3001 // 2, 3000, 0)
+
+
 def test_scope_zero_starts_no_search(spark):
     words = spark.createDataFrame([("x", [1.0])], "word string, vector array<double>")
     terms = spark.createDataFrame([(1, "x", 0), (2, "y", 0)], "query_id int, term string, scope int")
