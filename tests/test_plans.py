@@ -110,6 +110,31 @@ def test_blocks_do_not_change_results(spark, tables, monkeypatch):
     assert got == want and len({r[0] for r in got}) > 3
 
 
+def test_areas_in_parts_do_not_change_results(spark, tables, monkeypatch):
+    """Areas cut into parts, whose bins come from merged histograms, give the rows of whole ones."""
+    from placerank.operators import blocks
+
+    business, review, queries = tables["business"], tables["review"], tables["queries"]
+    some = queries.filter("locality_mode <> 'city'").limit(8)
+    want = sorted(map(tuple, recommend_batch(some, business, review, min_count=1)[0].collect()))
+    monkeypatch.setattr(blocks, "WHOLE_ROWS", 15)
+    monkeypatch.setattr(blocks, "CELL_ROWS", 20)
+    monkeypatch.setattr(blocks, "TILE", 4)
+    pack = blocks.pack_blocks
+    monkeypatch.setattr(blocks, "pack_blocks", lambda found: pack(found, 4))
+    assert want and sorted(map(tuple, recommend_batch(some, business, review, min_count=1)[0].collect())) == want
+
+
+def test_blocks_grow_with_businesses_not_with_pools(spark, tables):
+    """Pools of one state share its blocks, however many they are."""
+    asked = tables["queries"].filter("locality_mode = 'state' and state = 'S2'")
+    resolved = batch.resolve_queries(asked, tables["business"].selectExpr("explode(categories) as word").distinct(), None)[0]
+    tastes, packs = batch.pool_tables(sources.materialize(resolved, "resolved"), batch.pack_business(tables["business"]))
+    assert tastes.where("neutral is not null").count() > 3
+    open_ = tables["business"].filter("is_open and state = 'S2' and categories is not null").count()
+    assert packs.dropDuplicates(["area"]).selectExpr("sum(size)").first()[0] == open_
+
+
 def test_review_book_equals_whole_table_edits(spark, tmp_path):
     import random
 
