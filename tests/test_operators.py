@@ -136,6 +136,48 @@ def test_locality_errors(spark):
     assert locality.in_locality(df, ("RADIAL", (1.0, 1.0), 0)).count() == 1
 
 
+def test_areas_hold_their_circles(spark):
+    """Each point in a circle is dealt to the circle's area, also over the date line and the poles."""
+    import random
+
+    import numpy as np
+
+    from placerank.functions import geo
+
+    rng = random.Random(3)
+    points = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)]
+    circles = [(*rng.choice([(0.0, 179.9), (89.5, 10.0), (-89.9, -170.0), (27.9, -82.4), (60.0, -179.99)]), 10 ** rng.uniform(0, 4.4)) for _ in range(60)]
+    points += [(min(max(a + rng.uniform(-1, 1), -90.0), 90.0), (o + rng.uniform(-1, 1) + 180) % 360 - 180) for a, o, _ in circles]
+    asked = spark.createDataFrame([("radial", None, None, *c) for c in circles], "locality_mode string, state string, city string, latitude double, longitude double, radius_km double")
+    areas = [r[0] for r in asked.select(locality.query_area()).collect()]
+    where = spark.createDataFrame([(i, None, None, *p) for i, p in enumerate(points)], "i int, state string, city string, latitude double, longitude double")
+    rows = locality.area_rows(where, asked.withColumn("area", locality.query_area())).select("i", "area").collect()
+    dealt = {tuple(r) for r in rows}
+    assert len(dealt) == len(rows)
+    order = sorted(range(len(points)), key=lambda i: points[i][0])
+    lat, lon = (np.array([points[i][k] for i in order]) for k in (0, 1))
+    inside = 0
+    for (a, o, r), area in zip(circles, areas):
+        true = {order[j] for j in np.flatnonzero(geo._distance(lat, a, o - lon) <= r)}
+        assert {order[j] for j in geo.circle_rows(lat, lon, np.arange(len(order)), a, o, r)} == true
+        assert all((i, area) in dealt for i in true)
+        inside += len(true)
+    assert inside > 500
+
+
+def test_drop_reviewed_with_ratings_brought_along(spark):
+    """The same candidates as by a join with the ratings, without a shuffle of the candidates."""
+    asked = spark.createDataFrame([("q", "u", "c"), ("r", None, "c"), ("s", "v", "d"), ("t", "u", "d")], "query_id string, user_id string, city string")
+    df = spark.createDataFrame([("1", "c"), ("2", "c"), (None, "c"), ("1", "d"), ("3", "d"), ("3", "d")], "business_id string, city string")
+    rated = spark.createDataFrame([("u", "1", "c"), ("u", "1", "d"), ("v", "3", "d"), (None, "2", "c"), ("v", None, "c")], "user_id string, business_id string, city string")
+    plain = preference.drop_reviewed(asked.join(df, "city"), rated).select("query_id", "business_id")
+    candidates = preference.with_reviewed(asked, rated, ["user_id", "city"]).join(df, "city")
+    found = preference.drop_reviewed(candidates).select("query_id", "business_id")
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(found.collect(), key=key) == sorted(plain.collect(), key=key) and found.count() == 8
+
+
 def test_requests(spark):
     bodies = [("1", "u", "{}"), ("2", "u", '{"categories": [" Bars ", ""], "n": "x"}'), ("3", "u", '{"locality_mode": "moon"}')]
     df = queries.normalize_requests(spark.createDataFrame(bodies, "query_id string, user_id string, body string"))
