@@ -81,6 +81,30 @@ def test_circle_cells_cover_date_line_and_poles(spark):
     assert c.select(F.max(F.size("places"))).first()[0] <= 12
 
 
+def test_haversine_within_equals_haversine(spark):
+    """Also on the border itself, a step of a double beside it, and far from where the bounds are close."""
+    rng = random.Random(4)
+    pairs = [(rng.uniform(-90, 90), rng.uniform(-180, 180), 10 ** rng.uniform(-7, 2.2)) for _ in range(1500)]
+    rows = [(a, o, max(-90.0, min(90.0, a + rng.uniform(-d, d))), (o + rng.uniform(-d, d) + 180) % 360 - 180) for a, o, d in pairs]
+    rows += [(10.0, 20.0, 10.0, 20.0), (0.0, 0.0, 0.0, 180.0), (90.0, 0.0, -90.0, 0.0), (0.0, 179.99, 0.0, -179.99), (-89.9, 0.0, -90.2, 170.0), (math.nan, 0.0, 0.0, 0.0)]
+    lat1, lon1, lat2, lon2 = map(F.col, ("a", "o", "b", "p"))
+    cosines = F.cos(F.radians(lat1)), F.cos(F.radians(lat2))
+    df = spark.createDataFrame(rows, "a double, o double, b double, p double").withColumn("d", geo.haversine(lat1, lon1, lat2, lon2))
+    radii = [F.col("d") * x for x in (1.0, 1 + 2**-52, 1 - 2**-53, 1 + 1e-9, 1 - 1e-9, 0.5, 2.0)] + [F.lit(x) for x in (-1.0, 0.0, 20.0, 9000.0, 20016.0, 50000.0)]
+    df = df.withColumn("r", F.explode(F.array(*radii)))
+    true, found = F.col("d") <= F.col("r"), geo.haversine_within(lat2 - lat1, lon2 - lon1, *cosines, F.col("r"))
+    assert df.count() == len(rows) * len(radii) and df.filter(~true.eqNullSafe(found)).count() == 0
+    assert df.filter(~geo.haversine_of(lat2 - lat1, lon2 - lon1, *cosines).eqNullSafe(F.col("d"))).count() == 0
+
+
+def test_round_km_equals_round(spark):
+    rng = random.Random(5)
+    values = [10 ** rng.uniform(-9, 5) for _ in range(3000)] + [k / 2e6 for k in range(1, 4000)] + [math.nextafter(k / 2e6, 9e9) for k in range(1, 999, 2)]
+    values += [0.0, -0.0, 1.5e-6, -1.2345675, 1e9, 1e17, 1e300, math.inf, math.nan, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.filter(~geo.round_km(F.col("v"), 6).eqNullSafe(F.round("v", 6))).collect() == []
+
+
 Cell = namedtuple("Cell", "c level row col inside")
 
 

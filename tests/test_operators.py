@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from placerank.functions import geo
 from placerank.operators import expansion, locality, preference, queries, ranking, reviews, skew, word2vec
 from placerank.operators.skew import spread_join
 
@@ -52,6 +53,44 @@ def test_spread_join_deals_out_pairs_of_few_bytes(spark, rows_, groups, per_task
     assert sum(held) == rows_ * rows_ // groups and max(held) <= sum(held) / 5
 
 
+def test_spread_join_keeps_pairs_apart_if_its_first_side_could_be_broadcast(spark):
+    """The side that is dealt out is the lesser one, and the other is one task's."""
+    b = spark.range(200).selectExpr("id as i", "id % 20 as key").coalesce(1)
+    m = spark.range(3000).selectExpr("id as j", "id % 20 as key").coalesce(1)
+    pairs = spread_join(b, m, ["key"], ["i"], ["j"], per_task=20000)
+    held = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert sum(held) == 200 * 150 and max(held) <= sum(held) / 4
+
+
+def test_spread_join_cuts_many_rows_of_the_held_side(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 30)
+    b = spark.createDataFrame([(i, i % 3) for i in range(6)], "i long, key long")
+    m = spark.createDataFrame([(j, j % 2 * 2) for j in range(150)], "j long, key long")
+    counts = skew.key_counts(b, ["key"]), skew.key_counts(m, ["key"])
+    assert rows(skew.hot_keys(*counts, ["key"], 10**6)) == [(0, 3, 1), (2, 3, 1)]
+    pairs = spread_join(b, m, ["key"], ["i"], ["j"])
+    assert rows(pairs.select("i", "j")) == rows(b.join(m, "key").select("i", "j")) and pairs.count() == 300
+
+
+def test_radial_join_equals_brute_force(spark):
+    """With repeated and missing ids, points and radii, over the date line and the poles, in one task or many."""
+    rng = random.Random(8)
+    points = [(rng.choice([27.0, 89.5, -89.9, 10.0]) + rng.uniform(-.4, .4), rng.choice([-82.0, 179.9, -179.9]) + rng.uniform(-.2, .2)) for _ in range(150)]
+    points = [(f"b{i}", None, None, min(a, 90.0), (o + 180) % 360 - 180) for i, (a, o) in enumerate(points)]
+    points += points[:5] + [(None, *points[0][1:]), ("x", None, None, None, 1.0), ("y", None, None, 1.0, None)]
+    circles = [(f"q{i}", "Radial", None, None, *rng.choice(points[:150])[3:], rng.choice([0.0, 3.0, 20.0, 60.0, 5000.0, 25000.0])) for i in range(40)]
+    circles += circles[:3] + [(None, *circles[0][1:]), ("n", "radial", None, None, 27.0, -82.0, None), ("s", "state", "S1", None, 27.0, -82.0, 20.0)]
+    asked = spark.createDataFrame(circles, "query_id string, locality_mode string, state string, city string, latitude double, longitude double, radius_km double")
+    where = spark.createDataFrame(points, "business_id string, state string, city string, latitude float, longitude double")
+    distance = geo.haversine(F.col("b.latitude"), F.col("b.longitude"), F.col("q.latitude"), F.col("q.longitude"))
+    plain = asked.alias("q").crossJoin(where.alias("b")).filter("lower(locality_mode) = 'radial' and b.latitude + b.longitude is not null").filter(distance <= F.col("radius_km")).select(
+        "query_id", "business_id", distance.alias("distance_km"))
+    true = sorted(map(repr, plain.collect()))
+    assert len(true) > 1000
+    for per_task in (None, 40):
+        assert sorted(map(repr, locality.radial_join(asked, where, per_task=per_task).collect())) == true
+
+
 def brute_bins(values):
     bins = pd.qcut(pd.Series(values), max(int(math.sqrt(len(values))), 1), duplicates="drop", labels=False)
     return bins.fillna(0).astype(int).tolist()
