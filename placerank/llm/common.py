@@ -25,6 +25,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """`df` as a join's side that is dealt out and never sent whole to the driver and to all tasks: Spark sizes rows after an explode, long
+    lists and well-packed files far too low."""
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> int:
     """How many partitions to deal `df` out to: what its scan has, or the session's setting if that is more."""
     return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unsent
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -27,10 +27,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Large star: the greater neighbours of each node are tied to its smallest neighbour, or to itself.
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(unsent(least), "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
         # Small star: the smaller neighbours of each node, and the node, are tied to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(low, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
+        tied = large.join(unsent(low), "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         edges = stored(tied.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         after = _fingerprint(edges)
         if after == before:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import stored, texts, unsent
 from .components import connected_components
 
 WIDTH, LINK, COLLECTION, ROWS = 2, 80, 10, 2
@@ -168,12 +168,12 @@ def loose_links(classes: DataFrame, collection: int = COLLECTION, tile_rows: int
     members, signature = table_keys(classes, collection), classes.select("node", "halves")
     hubs = signature.select(F.col("node").alias("hub"), F.col("halves").alias("hub_halves"))
     shared = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    starred = stored(members.join(shared, "key").where("node != hub"), "starred")
+    starred = stored(members.join(unsent(shared), "key").where("node != hub"), "starred")
     pairs = starred.select("node", "hub").distinct()
-    compared = pairs.join(signature, "node").join(hubs, "hub").select("node", "hub", "halves", "hub_halves")
+    compared = pairs.join(unsent(signature), "node").join(unsent(hubs), "hub").select("node", "hub", "halves", "hub_halves")
     compared = stored(compared.mapInArrow(_agreement, "node long, hub long, share double"), "compared")
     near = compared.where(F.col("share") >= LOOSE).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    rest = stored(starred.join(compared.where(F.col("share") < FAR), ["node", "hub"]).select("key", "node"), "rest")
+    rest = stored(starred.join(unsent(compared.where(F.col("share") < FAR)), ["node", "hub"]).select("key", "node"), "rest")
     # Buckets with the same classes are known by number, sum and exclusive-or of their hashes; one of them is compared.
     h = F.xxhash64("node")
     buckets = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(h).alias("x"))
@@ -181,9 +181,9 @@ def loose_links(classes: DataFrame, collection: int = COLLECTION, tile_rows: int
         F.col("n") / F.lit(tile_rows)).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    blocks = rest.join(chosen, "key").withColumn("tile", tile).withColumn("other", other).select(
+    blocks = rest.join(unsent(chosen), "key").withColumn("tile", tile).withColumn("other", other).select(
         "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", (F.col("tile") > F.col("other")).cast("int").alias("side"))
-    dealt = blocks.join(signature, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = blocks.join(unsent(signature), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return near.unionByName(dealt.select("key", "i", "j", "node", "side", "halves").mapInArrow(_close, "a long, b long"))
 
 
@@ -321,14 +321,14 @@ def verified(tiled: DataFrame, link: int = LINK) -> DataFrame:
     links = _linked(first, link, False)
     large = tiled.where("tiles > 2")
     joined = links.groupBy(F.col("a").alias("node")).agg(F.max("major").alias("major"))
-    counted = large.select("cluster", "node").join(joined.where("major"), "node", "left").groupBy("cluster").agg(
+    counted = large.select("cluster", "node").join(unsent(joined.where("major")), "node", "left").groupBy("cluster").agg(
         F.count("*").alias("all"), F.count("major").alias("joined")).where(F.col("all") > F.col("joined"))
     edges = links.select("a", "b")
     if not counted.isEmpty():
         # As many tiles for those apart as their share of the cluster asks for.
         share = large.select("cluster", "tiles").distinct().join(counted, "cluster").select("cluster", F.ceil(
             F.col("tiles") * (F.col("all") - F.col("joined")) / F.col("all")).cast("int").alias("apart"))
-        placed = large.join(share, "cluster").join(joined, "node", "left").withColumn("major", F.coalesce("major", F.lit(False)))
+        placed = large.join(share, "cluster").join(unsent(joined), "node", "left").withColumn("major", F.coalesce("major", F.lit(False)))
         # Each row is on side 1, in its own tile; those apart are on side 0 too.
         sides = F.when(F.col("major"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
         own = F.pmod(F.xxhash64("node", "cluster"), F.col("apart")).cast("int")
@@ -357,21 +357,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     clusters = stored(connected_components(loose_links(classes, collection, tile_rows)), "clusters")
     asked = clusters.withColumnRenamed("root", "cluster").join(
-        classes.select("node", "n", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key")), "node")
+        unsent(classes.select("node", "n", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"))), "node")
     totals = asked.groupBy("cluster").agg(F.greatest(
         F.ceil(F.sum("n") / F.lit(tile_shingles)), F.ceil(F.count("*") / F.lit(tile_rows))).cast("int").alias("tiles"))
     placed = asked.join(totals, "cluster").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     placed = placed.withColumnRenamed("doc_id", "own_id")
-    texts_of = keyed.join(placed, "text_key").where(F.col("doc_id").eqNullSafe(F.col("own_id")))
+    texts_of = keyed.join(unsent(placed), "text_key").where(F.col("doc_id").eqNullSafe(F.col("own_id")))
     kept = ["cluster", "tile", "tiles", "node"]
     tiled = stored(texts_of.select(*kept, "text").dropDuplicates(["node"]).mapInArrow(
         _set_of("text", width, kept), "cluster long, tile int, tiles int, node long, shingles binary"), "tiles")
     linked = verified(tiled, link)
-    rooted = classes.select("set_hash", "first", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = classes.select("set_hash", "first", "node").join(unsent(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_set = rooted.select("set_hash", "root").join(least, "root").select("set_hash", "component_id")
     own = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_hash")).alias("set_hash"))
-    return own.join(by_set, "set_hash", "left").select("doc_id", "n_shingles", F.when(
+    return own.join(unsent(by_set), "set_hash", "left").select("doc_id", "n_shingles", F.when(
         F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

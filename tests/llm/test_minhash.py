@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from helpers import DOCS, awkward_docs, clashing, frame, sentence
-from placerank.llm import minhash as m
+from placerank.llm import components, minhash as m
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -102,3 +102,19 @@ def test_tables_find_pairs_as_often_as_stated():
     assert missed <= 2
     sizes = m._intersections([a, b[:50]], [b, a, a[:7]])
     assert sizes.tolist() == [[len(np.intersect1d(x, y)) for y in (b, a, a[:7])] for x in (a, b[:50])]
+
+
+def test_no_table_of_many_rows_is_broadcast(spark, monkeypatch):
+    """Exploded keys and signatures look small to Spark; joins with them are dealt out, however small they seem."""
+    plans, stored = {}, m.stored
+
+    def noted(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    for module in (m, components):
+        monkeypatch.setattr(module, "stored", noted)
+    rows = [(i, " ".join(f"w{(i // 3 + j) % 50}" for j in range(40))) for i in range(60)]
+    assert m.near_duplicates(frame(spark, rows, "doc_id long, text string")).count() == 60
+    for name in ("starred", "compared", "rest", "edges"):
+        assert plans[name] and not any("Broadcast" in p for p in plans[name]), name
