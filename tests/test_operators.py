@@ -292,7 +292,19 @@ def test_base_key_collisions_deals_customers_out(spark, tmp_path, monkeypatch):
     spark.createDataFrame(ids, "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     found = registry.QUERIES["base_key_collisions"](spark, str(tmp_path))
     assert "hashpartitioning(c_custkey" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
-    assert sorted(((r.c_custkey, r["keys"]) for r in found.collect()), key=str) == sorted([*((i, 6) for i in range(35)), (None, 6)], key=str)
+    assert sorted(((r.c_custkey, r["keys"]) for r in found.collect()), key=str) == sorted([*((i, 18) for i in range(35)), (None, 18)], key=str)
+
+
+def test_base_key_collisions_tells_kinds_of_places_apart(spark, tmp_path, monkeypatch):
+    """Of three lists, two users and three kinds of places each has its own key; a key that forgets the kind would show."""
+    from checks import registry
+
+    spark.createDataFrame([(1,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert registry.QUERIES["base_key_collisions"](spark, str(tmp_path)).first()["keys"] == 18
+    digest = registry.requests._digest
+    forgetful = lambda: digest(F.col("user_id"), F.col("categories"), F.coalesce("state", "city"))
+    monkeypatch.setattr(registry.requests, "base_key", forgetful)
+    assert registry.QUERIES["base_key_collisions"](spark, str(tmp_path)).first()["keys"] == 12
 
 
 def test_rewrite_json_stages_a_compact_copy(spark, tmp_path):
