@@ -390,3 +390,95 @@ def test_curve_layout_skips_row_groups(spark, tmp_path):
         assert again.count() == 8001
         assert rows(locality.in_radius(again, 28.0, -82.5, 100)) == rows(locality.in_radius(df, 28.0, -82.5, 100))
     assert met["plain"][0] == met["plain"][1] >= 8 and met["curve"][0] <= met["curve"][1] // 4
+
+
+def _area(rows, tile=2048):
+    """An area of (id, quality, hours, attrs, categories, latitude, longitude)."""
+    import pyarrow as pa
+
+    from placerank.operators import blocks
+
+    kind = pa.struct([("business_id", pa.string()), ("quality", pa.float64()), ("hours", pa.list_(pa.int32())), ("attrs", pa.list_(pa.int8())),
+                      ("categories", pa.list_(pa.string())), ("latitude", pa.float32()), ("longitude", pa.float32())])
+    names = [f.name for f in kind]
+    batches = [pa.RecordBatch.from_pydict({
+        "area": ["a"], "tile": [0], "tiles": [1], "size": [len(rows)],
+        "rows": pa.array([[dict(zip(names, r)) for r in rows[lo:lo + tile]]], pa.list_(kind))}) for lo in range(0, len(rows), tile)]
+    return blocks.Area([b.column("rows")[0].as_py() for b in blocks._squeeze(batches)])
+
+
+def _some_rows(n, seed=5):
+    rnd = np.random.default_rng(seed)
+
+    def maybe(x):
+        return None if rnd.random() < 0.2 else int(x)
+
+    return [(f"b{rnd.integers(n)}", maybe(rnd.integers(5)), [maybe(x) for x in rnd.integers(0, 1440, 14)], [maybe(x) for x in rnd.integers(0, 4, 23)],
+             [str(w) for w in rnd.choice(["x", "y", "z", "x"], rnd.integers(0, 4))] + [None] * (i % 7 == 0), float(rnd.integers(9)), float(rnd.integers(9)))
+            for i in range(n)]
+
+
+def test_scores_of_many_readers_are_those_of_each():
+    """One product for all readers of a pool gives every score to the last bit, also where the grid's steps are near, and it is one."""
+    from placerank.operators import blocks
+
+    rows = _some_rows(900)
+    area = _area(rows, 100)
+    rnd = np.random.default_rng(6)
+    block = blocks.Block(area, area.matching(["x", "y", "gone"], None, None, None), rnd.random(23))
+    exact = np.eye(23)[:5] * 0.5
+    tastes = np.concatenate([rnd.random((300, 23)) / 5, exact, np.zeros((1, 23)), np.full((1, 23), np.nan), 1e-12 * rnd.random((40, 23)), 40 * exact])
+    expected, calls = np.array([block.similarity(t) for t in tastes]), []
+    block.similarity = lambda *a: calls.append(a)
+    found = block.similarities(tastes)
+    assert np.array_equal(found.view(np.int64), expected.view(np.int64)) and not calls
+
+
+def test_area_and_places_agree_with_rows():
+    """Blocks read one by one: categories, attributes, hours and repeated ids are those of the rows."""
+    from placerank.operators import blocks
+
+    rows = _some_rows(300)
+    area = _area(rows, 64)
+    order = sorted(range(len(rows)), key=lambda i: rows[i][5])
+    assert area.ids.to_pylist() == [rows[i][0] for i in order] and area.quality.to_pylist() == [rows[i][1] for i in order]
+    for terms in (["x"], ["y", "z"], [], ["gone"]):
+        assert area.matching(terms, None, None, None).tolist() == [k for k, i in enumerate(order) if set(terms) & set(rows[i][4])]
+    own = np.arange(0, 300, 2)
+    block = blocks.Block(area, own, np.full(23, 0.25))
+    assert block.filled.T.tolist() == [[0.25 if a is None else a for a in rows[order[k]][3]] for k in own]
+    for day, minutes in ((-1, -1), (0, 0), (3, 700), (6, 1439)):
+        def opened(hours):
+            def at(d):
+                return hours[2 * d:2 * d + 2]
+            o, c = at(day) if day >= 0 else (None, None)
+            p, q = at((day + 6) % 7)
+            today = o is not None and o <= minutes and c is not None and (c > minutes or c <= o)
+            return today or p is not None and q is not None and q <= p and q > minutes
+        assert block.open_at(day, minutes).tolist() == [opened(rows[order[k]][2]) for k in own]
+    import pyarrow as pa
+
+    names = [rows[order[k]][0] for k in own]
+    lists = [[names[4], "gone", names[9]], None, [], [names[0]]]
+    last = {n: i for i, n in enumerate(names)}
+    assert [p.tolist() for p in block.places(pa.array(lists, pa.list_(pa.string())))] == [[last[n] for n in some or [] if n in last] for some in lists]
+
+
+def test_only_bins_near_the_top_are_worked_out():
+    from placerank.operators import blocks
+
+    rnd = np.random.default_rng(8)
+    for k in range(200):
+        values = rnd.integers(0, rnd.integers(1, 60), rnd.integers(1, 400)) / 8
+        if k % 10 == 0:
+            values[rnd.integers(len(values))] = np.nan
+        ordered = np.sort(values)
+        edges = np.unique(ordered[::max(1, int(np.sqrt(len(values))))])
+        bins = np.maximum(np.searchsorted(edges, values, "left"), 1) - 1
+        for n in (1, 5, len(values), 1000):
+            for known in (ordered, None):
+                near, own = blocks._near(values, edges, n, known)
+                assert own.tolist() == bins[near].tolist()
+                nth = np.sort(bins)[max(0, len(bins) - n)]
+                assert set(np.flatnonzero(bins >= nth)) <= set(near.tolist())
+        assert len(blocks._near(np.arange(10_000.0), np.arange(0, 10_000, 100.0), 5, None)[0]) <= 100
