@@ -206,3 +206,43 @@ def test_rated_in_pools_keeps_a_rating_one_row(spark):
     found = batch.rated_in_pools(asked, rated)
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.user_id, r.pool_key, r.business_id, r.user_stars) for r in found.collect()) == [("u", "p", "1", 4.0), ("v", "p", "1", 2.0)]
+
+
+def test_stored_tables_and_edits_leave_nothing_behind(spark, tmp_path, monkeypatch):
+    """A stored table's shuffle files go when it is written, an edit's intermediate tables when it is done; the setting is as before."""
+    import os
+    import time
+
+    from placerank import sources
+    from placerank.plans import review_book
+
+    def files():
+        names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {names.apply(i).getName() for i in range(names.size()) if names.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert sources.materialize(spark.range(500).groupBy((F.col("id") % 7).alias("k")).count(), "t").count() == 7
+    stored = spark.range(500).groupBy((F.col("id") % 9).alias("k")).count()
+    before |= files()
+    sources.materialize(stored, "t")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    made = []
+    real = review_book.materialize
+    monkeypatch.setattr(review_book, "materialize", lambda df, name: made.append(real(df, name)) or made[-1])
+    rows = spark.createDataFrame([(f"r{i}", f"u{i % 3}", f"b{i % 4}", float(i % 5), 0, "t", f"2020-01-{i + 1:02d}") for i in range(12)],
+                                 "review_id string, user_id string, business_id string, stars double, useful int, text string, date string")
+    book = review_book.ReviewBook(spark, f"{tmp_path}/book", buckets=2)
+    book.create(rows)
+    paths = []
+    for edit in (lambda: book.patch(spark.createDataFrame([("r11", "1.0")], "review_id string, stars string")),
+                 lambda: book.delete(rows.where("review_id = 'r10'")),
+                 lambda: book.append(spark.createDataFrame([("u9", "b9", "2.0")], "user_id string, business_id string, stars string"), "2021-01-01")):
+        edit()
+        paths += [f for df in made for f in df._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation().location().rootPaths().mkString().split("file:")[1:]]
+        made.clear()
+    assert paths and not any(os.path.exists(p) for p in paths)
+    assert book.reviews().count() == 12 and {r.user_stars for r in book.latest_stars().where("user_id = 'u2' and business_id = 'b3'").collect()} == {1.0}
